@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import line_rules, packing, pii
+from tessera.llm import html_text, language_id, line_rules, packing, pii, piece_nbest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +23,26 @@ def op5_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 
+def op7_line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(_table(spark, sf_dir, "pages"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the documents that are not held out; sees only the texts of those it labels."""
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    languages, prob = language_id.learn(docs.where(~held_out).select("doc_id", "text", "lang"))
+    texts = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return language_id.predict(texts, languages, prob).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.summarize(pii.find_pii(_table(spark, sf_dir, "documents")))
 
 
+def op10_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_nbest.nbest_encode(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
