@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import html_text, language_id, line_rules, packing, pii, piece_nbest
+from tessera.llm import cotraining, ego_join, html_text, language_id, line_rules, packing, pii, piece_nbest
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +18,19 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op4_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego_join.similar_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_rules.line_frequency_rules(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 
+def op6_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(_table(spark, sf_dir, "pages"))
 
