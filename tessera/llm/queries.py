@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import cotraining, ego_join, html_text, language_id, line_rules, minhash, packing, pii, piece_nbest
+from tessera.llm import cotraining, ego_join, html_text, language_id, line_rules, minhash, packing, pii, piece_nbest, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both derivatives of every page's response, their fields and a digest of all."""
+    made = warc.derive(warc.responses_from_pages(_table(spark, sf_dir, "pages")))
+    named = lambda name: F.element_at("headers", F.lit(name))
+    return made.select(
+        "page_id", "warc_type", "record_id", "refers_to", named("WARC-Target-URI").alias("target_uri"), named("WARC-Concurrent-To").alias("concurrent_to"), named("WARC-Source-Payload-Digest").alias("source_payload_digest"),
+        named("WARC-Block-Digest").alias("block_digest"), named("Content-Type").alias("content_type"), named("Content-Length").cast("long").alias("content_length"), F.sha2(warc.serialize(made), 256).alias("record_sha256"),
+    )
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
