@@ -18,10 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
-from tessera.llm.vocab import byte_pieces
+from tessera.llm.vocab import HashedPieces, byte_pieces
 
 LETTERS = re.compile(r"[^\W\d_]{1,64}")
-STEP, SLOTS = np.uint64(0x9E3779B97F4A7C15), 19
 
 
 def words_of(text: str) -> list[str]:
@@ -30,41 +29,14 @@ def words_of(text: str) -> list[str]:
 
 
 @lru_cache(2)
-def piece_table(path: str | None):
-    """Of the pieces that words in lower case can hold: how many, the longest, and a two-way hash table.
-
-    The table gives, for the hash of a byte string, the piece's number or -1. Numbers follow the vocabulary's.
-    """
+def piece_table(path: str | None) -> HashedPieces:
+    """The pieces that words in lower case can hold, in the vocabulary's order; every single byte is one."""
     keep = []
     for piece in sorted(byte_pieces(path), key=byte_pieces(path).get):
         text = piece.decode("utf-8", "ignore")
         if len(piece) == 1 or text == text.lower() and re.fullmatch(r" ?[^\W\d_]*", text):
             keep.append(piece)
-    hashes = np.array([_hash(p) for p in keep], np.uint64)
-    tables = [np.full(1 << SLOTS, -1, np.int32) for _ in range(2)]
-    for number, h in enumerate(hashes.tolist()):
-        for table, slot in zip(tables, _slots(h)):
-            if table[slot] < 0:
-                table[slot] = number
-                break
-        else:
-            raise ValueError("the vocabulary doesn't fit the table")
-    return len(keep), max(map(len, keep)), hashes, tables
-
-
-def _hash(piece: bytes) -> int:
-    h = 0
-    for b in piece:
-        h = (h * int(STEP) + b + 1) & (2**64 - 1)
-    return h
-
-
-def _slots(h):
-    """Two places for a hash, from its mixed high bits."""
-    if isinstance(h, int):
-        return [((h ^ h >> 32) * m & (2**64 - 1)) >> (64 - SLOTS) for m in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
-    x = h ^ (h >> np.uint64(32))
-    return [((x * np.uint64(m)) >> np.uint64(64 - SLOTS)).astype(np.int64) for m in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
+    return HashedPieces(keep)
 
 
 def lattices(words: list[str], path: str | None) -> Iterator[tuple[np.ndarray, int, dict[tuple[int, int], np.ndarray]]]:
@@ -72,20 +44,19 @@ def lattices(words: list[str], path: str | None) -> Iterator[tuple[np.ndarray, i
 
     arcs[i, j]: for each word the number of the piece that spells its bytes i to j, or -1. A word begins with a space.
     """
-    _, longest, hashes, tables = piece_table(path)
+    table = piece_table(path)
     coded = [b" " + w.encode() for w in words]
     sizes = np.array([len(w) for w in coded])
     for n in np.unique(sizes):
         at = np.flatnonzero(sizes == n)
         for at in np.array_split(at, -(-at.size * n // 400_000)):
-            chars = np.frombuffer(b"".join(coded[i] for i in at), np.uint8).reshape(at.size, n).astype(np.uint64) + np.uint64(1)
+            chars = np.frombuffer(b"".join(coded[i] for i in at), np.uint8).reshape(at.size, n).astype(np.uint64)
             arcs = {}
             for i in range(n):
                 h = np.zeros(at.size, np.uint64)
-                for j in range(i + 1, min(n, i + longest) + 1):
-                    h = h * STEP + chars[:, j - 1]
-                    first, second = (table[slot] for table, slot in zip(tables, _slots(h)))
-                    number = np.where((first >= 0) & (hashes[first] == h), first, np.where((second >= 0) & (hashes[second] == h), second, -1))
+                for j in range(i + 1, min(n, i + table.longest) + 1):
+                    h = table.extend(h, chars[:, j - 1])
+                    number = table.find(h)
                     if (number >= 0).any():
                         arcs[i, j] = number
             yield at, int(n), arcs
@@ -97,7 +68,7 @@ def forward(n: int, arcs: dict, prob: np.ndarray, size: int) -> tuple[np.ndarray
     scale = np.zeros((n + 1, size, prob.shape[1]))
     alpha[0] = 1
     for j in range(1, n + 1):
-        into = [(i, arcs[i, j]) for i in range(max(0, j - 64), j) if (i, j) in arcs]
+        into = [(i, arcs[i, j]) for i in range(j) if (i, j) in arcs]
         top = np.max([scale[i] for i, _ in into], axis=0)
         for i, number in into:
             alpha[j] += alpha[i] * np.exp(scale[i] - top) * np.where((number >= 0)[:, None], prob[number], 0)
@@ -114,7 +85,7 @@ def word_scores(words: list[str], prob: np.ndarray, path: str | None) -> np.ndar
         shift = np.zeros((at.size, prob.shape[1]))
         for j in range(1, n + 1):
             now = np.zeros((at.size, prob.shape[1]))
-            for i in range(max(0, j - 64), j):
+            for i in range(j):
                 if (i, j) in arcs:
                     now += sums[i] * prob[arcs[i, j]]
             sums.append(now)
@@ -168,7 +139,7 @@ def learn(train: DataFrame, per_language: int = 2000, rounds: int = 3, vocabular
     counts = chosen.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = materialize(counts)
     languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
-    size = piece_table(vocabulary)[0]
+    size = len(piece_table(vocabulary).hashes)
     prob = np.full((size + 1, len(languages)), 1 / size)
     prob[size] = 0
     for _ in range(rounds if languages else 0):

@@ -1,7 +1,6 @@
 """N-best SentencePiece segmentation and decoding.
 
-Pieces never run across the start of a run of word marks, nor between characters that no piece has
-side by side, so a text is a chain of short links. In a
+Pieces never run between characters that no piece has side by side, so a text is a chain of short links. In a
 link, forward Viterbi scores are the exact heuristic of a backward A-star search over the piece
 lattice; over the chain, only the n - 1 links that lose least by deviating can deviate in the n best.
 """
@@ -9,21 +8,19 @@ lattice; over the chain, only the n - 1 links that lose least by deviating can d
 from __future__ import annotations
 
 import heapq
-import re
-import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.vocab import sentencepiece_model
+from tessera.llm.vocab import HashedPieces, sentencepiece_model
 
 MARK = "▁"
-CHUNK = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
 class Lattice:
@@ -36,20 +33,24 @@ class Lattice:
         self.scores = {p: model.get_score(i) for p, i in self.pieces.items()}
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in range(size) if model.is_byte(i)}
         self.fallback = min(self.scores.values()) - 10
-        self.spelled = {i: p.encode() for p, i in self.pieces.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
+        spelled = {i: p.encode() for p, i in self.pieces.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
+        self.spelled = [spelled.get(i, b"") for i in range(size)]
+        self.hashed = HashedPieces([list(map(ord, p)) for p in self.pieces])
+        self.hashed_ids, self.hashed_scores = np.array([*self.pieces.values(), -1]), np.array([*map(self.scores.get, self.pieces), -np.inf])
         #: Score of a piece, None for what only begins pieces.
         self.begun = {p[:k]: None for p in self.pieces for k in range(1, len(p))} | self.scores
-        #: Neighbours within pieces: between others, every segmentation has a boundary.
-        self.inside = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
+        #: Characters of longer pieces are numbered; joined tells which pairs are neighbours in one. Between others, every segmentation has a boundary.
+        pairs = {p[k : k + 2] for p in self.pieces for k in range(len(p) - 1)}
+        number = {c: k for k, c in enumerate(sorted(set("".join(pairs))), 1)}
+        self.kinds = np.zeros(0x110000, np.int32)
+        self.kinds[list(map(ord, number))] = list(number.values())
+        self.joined = np.zeros((len(number) + 1,) * 2, bool)
+        for a, b in pairs:
+            self.joined[number[a], number[b]] = True
 
     def ids(self, piece: str) -> tuple[int, ...]:
         return (self.pieces[piece],) if piece in self.pieces else tuple(self.bytes[b] for b in piece.encode())
 
-    def links(self, chunk: str) -> list[str]:
-        """chunk cut where no piece can run across."""
-        cuts = [0, *(k for k in range(1, len(chunk)) if chunk[k - 1 : k + 1] not in self.inside), len(chunk)]
-        return [chunk[i:j] for i, j in zip(cuts, cuts[1:])] if len(cuts) > 2 else [chunk]
-
     def arcs(self, chunk: str) -> list[tuple[int, int, float]]:
         """(start, end, score) of every piece in chunk, by start."""
         n, begun, out = len(chunk), self.begun, []
@@ -95,6 +96,53 @@ class Lattice:
                 second = fore[i] + after
         return fore[n], fore[n] - second, cuts
 
+    def viterbi_alike(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For links of one length, rows of code points: best scores, losses of the second best, how many ids the best has, all ids."""
+        m, n = codes.shape
+        chars, low = codes.T.astype(np.uint64), -np.inf
+        arcs: dict[tuple[int, int], np.ndarray] = {}
+        for i in range(n):
+            h = np.zeros(m, np.uint64)
+            for j in range(i + 1, min(n, i + self.hashed.longest) + 1):
+                h = self.hashed.extend(h, chars[j - 1])
+                number = self.hashed.find(h)
+                if j == i + 1 or (number >= 0).any():
+                    arcs[i, j] = number
+        scores = {at: self.hashed_scores[number] for at, number in arcs.items()}
+        for i in range(n):
+            scores[i, i + 1] = np.where(arcs[i, i + 1] < 0, self.fallback, scores[i, i + 1])
+        fore, back = np.full((n + 1, m), low), np.full((n + 1, m), low)
+        fore[0] = back[n] = 0
+        came, piece = np.zeros((n + 1, m), np.int64), np.zeros((n + 1, m), np.int64)
+        for (i, j), s in scores.items():
+            total = fore[i] + s
+            better = total > fore[j]
+            fore[j] = np.where(better, total, fore[j])
+            came[j] = np.where(better, i, came[j])
+            piece[j] = np.where(better, arcs[i, j], piece[j])
+        cut, every = np.zeros((n + 1, m), bool), np.arange(m)
+        cut[n] = True
+        for j in range(n, 0, -1):
+            on = cut[j]
+            cut[came[j][on], every[on]] = True
+        second = np.full(m, low)
+        for (i, j), s in reversed(scores.items()):
+            after = s + back[j]
+            back[i] = np.maximum(back[i], after)
+            second = np.maximum(second, np.where(cut[j] & (came[j] == i), low, fore[i] + after))
+        chosen, pieces = cut[1:].T, piece[1:].T
+        counts, ids = chosen.sum(1), self.hashed_ids[pieces]
+        if (odd := np.flatnonzero(((pieces < 0) & chosen).any(1))).size:  # characters that fall back to bytes
+            spelled = [ids[k][chosen[k]] for k in range(m)]
+            for k in odd:
+                link = codes[k].astype("<u4").tobytes().decode("utf-32-le")
+                spelled[k] = np.array(self.cut_ids(link, self.viterbi(link)[2]))
+            return fore[n], fore[n] - second, np.array(list(map(len, spelled))), np.concatenate(spelled)
+        return fore[n], fore[n] - second, counts, ids[chosen]
+
+    def cut_ids(self, link: str, cuts: list[int]) -> list[int]:
+        return [x for i, j in zip(cuts, cuts[1:]) for x in self.ids(link[i:j])]
+
     def nbest(self, chunk: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations as (score, boundaries), best first; ties by order of discovery."""
         fore: list[float] = [0.0] + [-float("inf")] * len(chunk)
@@ -120,8 +168,7 @@ class Lattice:
 
     def decode(self, ids: np.ndarray) -> str:
         """The text that ids spell, without the mark put before it."""
-        spelled = self.spelled
-        text = b"".join([spelled.get(i, b"") for i in ids.tolist()]).decode("utf-8", "replace").replace(MARK, " ")
+        text = b"".join(map(self.spelled.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text[:1] == " " else text
 
 
@@ -131,67 +178,94 @@ def lattice(path: str | None = None) -> Lattice:
 
 
 class Encoder:
-    """N-best encoding of texts, with the best segmentations of chunks kept for reuse (up to most_cached)."""
-
-    def __init__(self, n: int, path: str | None = None, most_cached: int = 300_000) -> None:
-        self.n, self.lattice, self.most = n, lattice(path), most_cached
-        self.forget()
-
-    def forget(self) -> None:
-        self.split: dict[str, tuple[int, ...]] = {}
-        self.known: dict[str, int] = {}
-        self.links: list[str] = []
-        self.best: list[bytes] = []
-        self.score: list[float] = []
-        self.loss: list[float] = []
-
-    def packed(self, chunk: str, cuts: list[int]) -> bytes:
-        ids = [x for i, j in zip(cuts, cuts[1:]) for x in self.lattice.ids(chunk[i:j])]
-        return struct.pack(f"<{len(ids)}i", *ids)
-
-    def number(self, link: str) -> int:
-        at = self.known.get(link)
-        if at is None:
-            at = self.known[link] = len(self.best)
-            score, loss, cuts = self.lattice.viterbi(link)
-            self.links.append(link)
-            self.best.append(self.packed(link, cuts))
-            self.score.append(score)
-            self.loss.append(loss)
-        return at
-
-    def encode(self, text: str) -> list[tuple[float, bytes]]:
-        """(score, packed ids) of the n best segmentations of a whole text, best first."""
-        if not text:
-            return [(0.0, b"")]
-        if len(self.split) > self.most:
-            self.forget()
-        chunks, split = CHUNK.findall(MARK + text.replace(" ", MARK)), self.split
-        for c in chunks:
-            if c not in split:
-                split[c] = tuple(map(self.number, self.lattice.links(c)))
-        at = [i for c in chunks for i in split[c]]
-        parts = [self.best[i] for i in at]
-        base = sum([self.score[i] for i in at])
-        losses = np.array([self.loss[i] for i in at])
-        few = np.flatnonzero(np.isfinite(losses))
-        if few.size >= self.n:
-            few = few[np.argsort(losses[few], kind="stable")[: self.n - 1]]
-        choices: list[tuple[float, tuple]] = [(0.0, ())]  # loss, deviations
-        for k in sorted(few.tolist()):
-            found = self.lattice.nbest(self.links[at[k]], self.n)
-            top = found[0][0]
-            options = [(loss + top - s, how + ((k, cuts),) if s_rank else how) for loss, how in choices for s_rank, (s, cuts) in enumerate(found)]
-            choices = heapq.nsmallest(self.n, options, key=lambda x: x[0])
-        out = []
-        for loss, how in choices:
-            own = parts
-            if how:
-                own = list(parts)
-                for k, cuts in how:
-                    own[k] = self.packed(self.links[at[k]], cuts)
-            out.append((base - loss, b"".join(own)))
-        return out
+    """N-best encoding of batches of texts; equal links of a batch are segmented once."""
+
+    def __init__(self, n: int, path: str | None = None) -> None:
+        self.n, self.lattice = n, lattice(path)
+        self.alternatives = lru_cache(100_000)(lambda link: self._alternatives(link))
+
+    def _alternatives(self, link: str) -> list[tuple[float, bytes]]:
+        """What each of the n best segmentations of a link loses against the best, and its packed ids."""
+        found = self.lattice.nbest(link, self.n)
+        return [(found[0][0] - s, np.array(self.lattice.cut_ids(link, cuts), "<i4").tobytes()) for s, cuts in found]
+
+    def encode_all(self, texts: list[str]) -> Iterator[list[tuple[float, bytes]]]:
+        """(score, packed ids) of the n best segmentations of each whole text, best first."""
+        marked = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+        whole = "".join(marked)
+        if not whole:
+            yield from ([(0.0, b"")] for _ in texts)
+            return
+        codes = np.frombuffer(whole.encode("utf-32-le"), "<u4")
+        ends = np.cumsum(list(map(len, marked)))
+        starts = np.ones(len(codes), bool)
+        kind = self.lattice.kinds[codes]
+        starts[1:] = ~self.lattice.joined[kind[:-1], kind[1:]]
+        starts[ends[ends < len(codes)]] = True
+        first = np.flatnonzero(starts)
+        size = np.diff(np.append(first, len(codes)))
+        number = np.zeros(len(first), np.int64)
+        scores, losses, counts, ids = [], [], [], []
+        known = 0
+        for n in np.unique(size):
+            at = np.flatnonzero(size == n)
+            rows = codes[first[at][:, None] + np.arange(n)]
+            h = np.zeros(len(at), np.uint64)
+            for k in range(n):
+                h = self.lattice.hashed.extend(h, rows[:, k])
+            _, one, which = np.unique(h, return_index=True, return_inverse=True)
+            number[at] = known + which
+            known += len(one)
+            if n > 64:
+                links = [whole[f : f + n] for f in first[at[one]]]
+                found = [self.lattice.viterbi(x) for x in links]
+                spelled = [self.lattice.cut_ids(x, cuts) for x, (_, _, cuts) in zip(links, found)]
+                parts = [f[0] for f in found], [f[1] for f in found], list(map(len, spelled)), list(chain.from_iterable(spelled))
+            else:
+                step = max(1, 400_000 // int(n))
+                some = [self.lattice.viterbi_alike(rows[one[k : k + step]]) for k in range(0, len(one), step)]
+                parts = tuple(np.concatenate(x) for x in zip(*some))
+            for into, part in zip((scores, losses, counts, ids), parts):
+                into.append(np.asarray(part))
+        scores, losses, counts, ids = (np.concatenate(x) for x in (scores, losses, counts, ids))
+        offset = np.cumsum(counts) - counts
+        score, loss, count = scores[number], losses[number], counts[number]
+        place = np.cumsum(count) - count
+        packed = ids[np.repeat(offset[number] - place, count) + np.arange(count.sum())].astype("<i4").tobytes()
+        bounds = [0, *np.searchsorted(first, ends).tolist()]
+        for a, z in zip(bounds, bounds[1:]):
+            if a == z:
+                yield [(0.0, b"")]
+                continue
+            lo, hi = 4 * int(place[a]), 4 * int(place[z - 1] + count[z - 1])
+            few = a + np.flatnonzero(np.isfinite(loss[a:z]))
+            if few.size >= self.n:
+                few = few[np.argsort(loss[few], kind="stable")[: self.n - 1]]
+            choices: list[tuple[float, tuple]] = [(0.0, ())]  # loss, deviations in order
+            for k in sorted(few.tolist()):
+                options = self.alternatives(whole[first[k] : first[k] + size[k]])
+                choices = heapq.nsmallest(self.n, [(x + lost, how + ((k, own),) if rank else how) for x, how in choices for rank, (lost, own) in enumerate(options)], key=lambda c: c[0])
+            best, out = float(score[a:z].sum()), []
+            for lost, how in choices:
+                parts, at = [], lo
+                for k, own in how:
+                    parts += [packed[at : 4 * int(place[k])], own]
+                    at = 4 * int(place[k] + count[k])
+                out.append((best - lost, b"".join([*parts, packed[at:hi]])))
+            yield out
+
+
+def _in_runs(texts: list[str], most_chars: int = 2_000_000) -> Iterator[list[str]]:
+    """texts in order, in lists of about most_chars characters."""
+    run, size = [], 0
+    for t in texts:
+        run.append(t)
+        size += len(t)
+        if size >= most_chars:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
 
 
 RESULT = "doc_id long, n_pieces long, score double, ids_crc32 long, decoded boolean, nbest_scores array<double>, nbest_crc32 array<long>"
@@ -210,9 +284,10 @@ def nbest_encode(docs: DataFrame, n: int = 4, model: str | None = None, keep_ids
         encoder = Encoder(n, model)
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = encoder.encode(text or "")
-                decoded = all(encoder.lattice.decode(np.frombuffer(ids, "<i4")) == (text or "") for _, ids in found)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            encoded = chain.from_iterable(map(encoder.encode_all, _in_runs(texts)))
+            for doc_id, text, found in zip(batch.column(0).to_pylist(), texts, encoded):
+                decoded = all(encoder.lattice.decode(np.frombuffer(ids, "<i4")) == text for _, ids in found)
                 crcs = [zlib.crc32(ids) for _, ids in found]
                 rows.append((doc_id, len(found[0][1]) // 4, found[0][0], crcs[0], decoded, [s for s, _ in found], crcs, [np.frombuffer(ids, "<i4").tolist() for _, ids in found] if keep_ids else None))
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.bool_(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int32()))]

@@ -5,6 +5,8 @@ from __future__ import annotations
 import base64
 from functools import lru_cache
 
+import numpy as np
+
 
 def vocabulary_path(name: str) -> str:
     import public_tokenizers
@@ -35,3 +37,38 @@ def sentencepiece_model(path: str | None = None):
     import sentencepiece
 
     return sentencepiece.SentencePieceProcessor(model_file=path or vocabulary_path("piece_bpe_32k.model"))
+
+
+class HashedPieces:
+    """Looks up many pieces at once by rolling hashes of their characters (or bytes), in a two-way table."""
+
+    STEP, BITS, MIXES = np.uint64(0x9E3779B97F4A7C15), 19, (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
+
+    def __init__(self, pieces: list) -> None:
+        """pieces: sequences of whole numbers, as bytes or code points; find() gives places in this list."""
+        self.longest = max(map(len, pieces))
+        self.hashes = np.zeros(len(pieces), np.uint64)
+        sizes = np.array([len(p) for p in pieces])
+        for n in np.unique(sizes):
+            at = np.flatnonzero(sizes == n)
+            rows = np.array([list(pieces[i]) for i in at], np.uint64)
+            for k in range(n):
+                self.hashes[at] = self.extend(self.hashes[at], rows[:, k])
+        self.tables = [np.full(1 << self.BITS, -1, np.int32) for _ in self.MIXES]
+        for number, slots in enumerate(zip(*(x.tolist() for x in self._slots(self.hashes)))):
+            free = next((k for k, slot in enumerate(slots) if self.tables[k][slot] < 0), None)
+            if free is None:
+                raise ValueError("the vocabulary doesn't fit the table")
+            self.tables[free][slots[free]] = number
+
+    def extend(self, h: np.ndarray, char: np.ndarray) -> np.ndarray:
+        return h * self.STEP + char + np.uint64(1)
+
+    def _slots(self, h: np.ndarray) -> list[np.ndarray]:
+        x = h ^ (h >> np.uint64(32))
+        return [((x * m) >> np.uint64(64 - self.BITS)).astype(np.int64) for m in self.MIXES]
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of the piece with each hash, or -1."""
+        first, second = (table[slot] for table, slot in zip(self.tables, self._slots(h)))
+        return np.where((first >= 0) & (self.hashes[first] == h), first, np.where((second >= 0) & (self.hashes[second] == h), second, -1))
