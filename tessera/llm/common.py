@@ -48,7 +48,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     last = None
     for _ in range(most_rounds):
         both = now.where("u <> v").union(now.where("u <> v").select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written first, so that the join below deals both sides anew and a hub's rows can be split
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         # large star: neighbours above the node point to the least of its neighbourhood
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.union(now.where("u = v")).distinct()
