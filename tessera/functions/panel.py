@@ -11,15 +11,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_TICKER = Window.partitionBy("ticker").orderBy("date")
-RUNNING = BY_TICKER.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def by_ticker() -> WindowSpec:
+    return Window.partitionBy("ticker").orderBy("date")
 
 
-def last_rows(n: int, over: WindowSpec = BY_TICKER) -> WindowSpec:
-    return over.rowsBetween(1 - n, 0)
+def running(over: WindowSpec | None = None) -> WindowSpec:
+    return (over or by_ticker()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def rolling(agg: Callable[..., Column], *x: Column, n: int, over: WindowSpec = BY_TICKER, least: int | None = None) -> Column:
+def last_rows(n: int, over: WindowSpec | None = None) -> WindowSpec:
+    return (over or by_ticker()).rowsBetween(1 - n, 0)
+
+
+def rolling(agg: Callable[..., Column], *x: Column, n: int, over: WindowSpec | None = None, least: int | None = None) -> Column:
     """agg of the last n rows, NULL where fewer than `least` (n by default) of them have all arguments."""
     frame, least = last_rows(n, over), n if least is None else least
     there = F.lit(True)
@@ -33,22 +37,22 @@ def ratio(a: Column, b: Column) -> Column:
     return a / F.when(b != 0, b)
 
 
-def change(x: Column, rows: int, over: WindowSpec = BY_TICKER) -> Column:
+def change(x: Column, rows: int, over: WindowSpec | None = None) -> Column:
     """Relative change against `rows` rows before."""
-    return ratio(x, F.lag(x, rows).over(over)) - 1
+    return ratio(x, F.lag(x, rows).over(over or by_ticker())) - 1
 
 
-def padded(x: Column, over: WindowSpec = RUNNING) -> Column:
+def padded(x: Column, over: WindowSpec | None = None) -> Column:
     """The last known value."""
-    return F.last(x, ignorenulls=True).over(over)
+    return F.last(x, ignorenulls=True).over(over or running())
 
 
-def filled(x: Column, rows: int, over: WindowSpec = BY_TICKER) -> Column:
+def filled(x: Column, rows: int, over: WindowSpec | None = None) -> Column:
     """x, or its last value of at most `rows` rows before."""
-    return F.last(x, ignorenulls=True).over(over.rowsBetween(-rows, 0))
+    return F.last(x, ignorenulls=True).over((over or by_ticker()).rowsBetween(-rows, 0))
 
 
-def slope(x: Column, n: int, order: Column, over: WindowSpec = BY_TICKER) -> Column:
+def slope(x: Column, n: int, order: Column, over: WindowSpec | None = None) -> Column:
     """Least-squares slope of x on row number over the last n rows; order: the ticker's row numbers."""
     frame = last_rows(n, over)
     return F.when(F.count(x).over(frame) == n, F.regr_slope(x, order.cast("double")).over(frame))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tessera.functions.panel import BY_TICKER, RUNNING, annualised, change, failing, imputed, last_rows, padded, ratio, rolling, slope, zscore
+from tessera.functions.panel import annualised, by_ticker, change, failing, imputed, padded, ratio, rolling, slope, zscore
 from tessera.operators.asof import asof_join
 
 RETURNS = (1, 5, 21, 63, 126, 252)
-#: One series for the whole market: a row a date, thousands in decades, so one partition orders it.
-MARKET = Window.partitionBy("symbol").orderBy("date")
+
+
+def market() -> WindowSpec:
+    """One series for the whole market: a row a date, thousands in decades, so one partition orders it."""
+    return Window.partitionBy("symbol").orderBy("date")
+
 
 # The features in the order of the catalogue (name, formula, how gaps are filled, horizons).
 CONTINUOUS = [
@@ -32,11 +36,11 @@ def macro_frame(benchmark: DataFrame, volatility: DataFrame, risk_free: DataFram
     """
     whole = Window.partitionBy("symbol").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     b = benchmark.select("date", F.col("adj_close").alias("spx_close"), F.lit(0).alias("symbol")).withColumn("_px", padded(F.col("spx_close"), whole))
-    b = b.withColumns({f"spx_ret_{k}d": change(F.col("_px"), k, MARKET) for k in (1, 5, 21, 63)})
-    trend = rolling(F.avg, F.col("spx_close"), n=200, over=MARKET)
+    b = b.withColumns({f"spx_ret_{k}d": change(F.col("_px"), k, market()) for k in (1, 5, 21, 63)})
+    trend = rolling(F.avg, F.col("spx_close"), n=200, over=market())
     b = b.withColumn("spx_above_200d", F.coalesce(F.col("spx_close") > trend, F.lit(False)).cast("double"))
     v = volatility.select("date", F.col("adj_close").alias("vix_close"), F.lit(0).alias("symbol")).withColumn("_px", padded(F.col("vix_close"), whole))
-    v = v.select("date", "vix_close", change(F.col("_px"), 5, MARKET).alias("vix_change_5d"))
+    v = v.select("date", "vix_close", change(F.col("_px"), 5, market()).alias("vix_change_5d"))
     r = risk_free.select("date", F.lit(0).alias("symbol"), (F.expr("try_cast(value as double)") / 100).alias("_r"))
     r = r.select("date", padded(F.col("_r"), whole).alias("risk_free_rate"))
     return b.drop("_px", "symbol").join(v, "date", "left").join(r, "date", "left")
@@ -49,7 +53,7 @@ def security_features(panel: DataFrame, pad: bool = True) -> DataFrame:
     All windows share one partitioning, so the panel is shuffled once.
     """
     px, vol = F.col("adj_close"), F.col("volume").cast("double")
-    out = panel.withColumns({"_px": padded(px) if pad else px, "_prev": F.lag(px, 1).over(BY_TICKER), "_row": F.row_number().over(BY_TICKER)})
+    out = panel.withColumns({"_px": padded(px) if pad else px, "_prev": F.lag(px, 1).over(by_ticker()), "_row": F.row_number().over(by_ticker())})
     out = out.withColumns({f"ret_{k}d": change(F.col("_px"), k) for k in RETURNS})
     diff = px - F.col("_prev")
     out = out.withColumns(

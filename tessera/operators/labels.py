@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.panel import BY_TICKER, padded, ratio, share_rank
+from tessera.functions.panel import by_ticker, padded, ratio, share_rank
 from tessera.operators.asof import event_in_window
 
 # Horizons by name, in rows.
@@ -19,7 +19,7 @@ def forward_labels(prices: DataFrame, horizons: dict[str, int] | None = None) ->
     """
     out = prices.select("date", "ticker", padded(F.col("adj_close")).alias("_px"))
     each = [
-        F.struct(F.lit(n).alias("horizon"), F.lit(k).alias("horizon_days"), F.lead("date", k).over(BY_TICKER).alias("label_end_date"), F.lead("_px", k).over(BY_TICKER).alias("_future"))
+        F.struct(F.lit(n).alias("horizon"), F.lit(k).alias("horizon_days"), F.lead("date", k).over(by_ticker()).alias("label_end_date"), F.lead("_px", k).over(by_ticker()).alias("_future"))
         for n, k in (horizons or HORIZONS).items()
     ]
     out = out.withColumn("x", F.array(*each)).select("date", "ticker", "_px", F.explode("x").alias("x")).select("date", "ticker", "_px", "x.*")
@@ -44,4 +44,4 @@ def label_store(prices: DataFrame, universe: DataFrame, earnings: DataFrame, hor
 def next_day_returns(prices: DataFrame) -> DataFrame:
     """Each row's return to the ticker's next row, across gaps from the last known price."""
     out = prices.select("date", "ticker", padded(F.col("adj_close")).alias("_px"))
-    return out.select("date", "ticker", (ratio(F.lead("_px", 1).over(BY_TICKER), F.col("_px")) - 1).alias("next_day_return"))
+    return out.select("date", "ticker", (ratio(F.lead("_px", 1).over(by_ticker()), F.col("_px")) - 1).alias("next_day_return"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.panel import BY_TICKER, RUNNING, filled, last_rows, padded
+from tessera.functions.panel import by_ticker, running, filled, last_rows, padded
 
 PRICES = ["open", "high", "low", "close", "adj_close"]
 
@@ -37,12 +37,12 @@ def quality_flags(grid: DataFrame, limit: int = 5, min_history: int = 252, ipo_b
     seen = F.col("was_observed")
     date = F.col("date")
     seen_on = F.when(seen, date)
-    first = F.first(seen_on, ignorenulls=True).over(BY_TICKER.rowsBetween(0, 2**31 - 1)) if compat else F.min(seen_on).over(RUNNING)
+    first = F.first(seen_on, ignorenulls=True).over(by_ticker().rowsBetween(0, 2**31 - 1)) if compat else F.min(seen_on).over(running())
     out = grid.select(
-        "date", "ticker", seen.alias("observed_price"), F.sum(seen.cast("long")).over(RUNNING).alias("history_days"),
+        "date", "ticker", seen.alias("observed_price"), F.sum(seen.cast("long")).over(running()).alias("history_days"),
         F.coalesce(F.datediff(date, first).cast("long") + 1, F.lit(0)).alias("listing_age_days"),
         F.coalesce(F.datediff(date, padded(seen_on)).cast("double"), F.lit(float("inf"))).alias("stale_price_days"),
-        F.sum((~seen).cast("long")).over(RUNNING).alias("_missing"),
+        F.sum((~seen).cast("long")).over(running()).alias("_missing"),
     )
     # missing rows since the last observed one: the running count less its value there
     out = out.withColumn("_at_seen", F.coalesce(padded(F.when(F.col("observed_price"), F.col("_missing"))), F.lit(0)))

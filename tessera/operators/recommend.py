@@ -15,6 +15,7 @@ REASONS = [
     ("fundamentals_missing_fail", "stale_or_missing_fundamentals"),
     ("universe_history_fail", "unreliable_universe_history"),
 ]
+REASONS_COLUMNS = [flag for flag, _ in REASONS]
 OUTPUT = ["date", "ticker", "horizon", "model_name", "score", "rank", "decision", "confidence", "regime_state", "consensus_buy", "buy_horizon_count", "not_enough_data_reason", "target_class", "forward_return", "forward_excess_return", "daily_median_forward_return", "sector", "industry"]
 
 
@@ -43,7 +44,8 @@ def recommend(scored: DataFrame, buy_fraction: float = 0.10, min_buys: int = 1,
     ranked = Window.partitionBy(*group, "_valid").orderBy(F.col("score").desc_nulls_last(), "ticker")
     own = Window.partitionBy(*group, "_valid")
     out = out.withColumns({"_n": F.count("*").over(own), "rank": F.when(F.col("_valid"), F.row_number().over(ranked)), "_mean": F.avg("score").over(own), "_sd": F.stddev_pop("score").over(own)})
-    z = (F.col("score") - F.col("_mean")) / F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)
+    # rounded: of two scores, each is one deviation from their mean, which floating point may miss by a hair
+    z = F.round((F.col("score") - F.col("_mean")) / F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0), 9)
     most = F.greatest(F.lit(min_buys), F.floor(F.col("_n") * F.lit(buy_fraction)))
     most = F.when(F.col("regime_state") == "CLOSED", 0).when(F.col("regime_state") == "CAUTION", F.least(most, F.lit(caution_max))).otherwise(most)
     out = out.withColumns(

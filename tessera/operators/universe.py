@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.panel import RUNNING
+from tessera.functions.panel import running
 from tessera.operators.asof import asof_join
 
 
@@ -48,7 +48,7 @@ def daily_universe(membership: DataFrame, metadata: DataFrame, least_reliable: f
             "sector": F.coalesce("sector", F.lit("Unknown")), "industry": F.coalesce("industry", F.lit("Unknown")),
             "universe_reliable": F.col("membership_reliability") >= least_reliable,
             "first_membership_date": F.min("date").over(Window.partitionBy("ticker")),
-            "membership_days": F.count("*").over(RUNNING),
+            "membership_days": F.count("*").over(running()),
         }
     )
 

@@ -101,7 +101,7 @@ CTE: dict[str, str] = {
     "scores": "SELECT r.date, r.ticker, l.horizon, CASE WHEN r.fundamentals_fresh THEN round(coalesce(r.ret_21d, 0) / (1 + l.horizon_days), 6) ELSE round(coalesce(r.momentum_12_1, 0) - l.horizon_days, 6) END AS score, r.vix_close AS vix_close_raw, r.spx_above_200d, r.insufficient_price_history, r.missing_gap_fail, r.stale_price, r.insufficient_post_listing_history, NOT r.fundamentals_fresh AS fundamentals_missing_fail, NOT r.universe_reliable AS universe_history_fail, l.target_rank, l.target_class, l.forward_return, l.forward_excess_return, l.daily_median_forward_return, l.label_end_date, l.label_truncated, r.sector FROM ratios r JOIN labels3 l ON l.date = r.date AND l.ticker = r.ticker",
     "regimes": "SELECT *, CASE WHEN vix_close_raw >= 35 THEN 'CLOSED' WHEN vix_close_raw >= 25 AND spx_above_200d < 1 THEN 'CAUTION' ELSE 'OPEN' END AS regime_state, "
     + "concat_ws('|', CASE WHEN coalesce(insufficient_price_history, true) THEN 'short_price_history' END, CASE WHEN coalesce(missing_gap_fail, true) THEN 'recent_missing_price_gap' END, CASE WHEN coalesce(stale_price, true) THEN 'stale_price' END, CASE WHEN coalesce(insufficient_post_listing_history, true) THEN 'post_listing_buffer' END, CASE WHEN fundamentals_missing_fail THEN 'stale_or_missing_fundamentals' END, CASE WHEN universe_history_fail THEN 'unreliable_universe_history' END) AS not_enough_data_reason FROM scores",
-    "valid": "SELECT date, ticker, horizon, row_number() OVER (PARTITION BY date, horizon ORDER BY score DESC NULLS LAST, ticker) AS rank, count(*) OVER (PARTITION BY date, horizon) AS n, (score - avg(score) OVER (PARTITION BY date, horizon)) / coalesce(nullif(stddev_pop(score) OVER (PARTITION BY date, horizon), 0), 1) AS z FROM regimes WHERE not_enough_data_reason = ''",
+    "valid": "SELECT date, ticker, horizon, row_number() OVER (PARTITION BY date, horizon ORDER BY score DESC NULLS LAST, ticker) AS rank, count(*) OVER (PARTITION BY date, horizon) AS n, round((score - avg(score) OVER (PARTITION BY date, horizon)) / coalesce(nullif(stddev_pop(score) OVER (PARTITION BY date, horizon), 0), 1), 9) AS z FROM regimes WHERE not_enough_data_reason = ''",
     "decided": "SELECT r.*, v.rank, CASE WHEN v.z >= 2 THEN 'HIGH' WHEN v.z >= 1 THEN 'MEDIUM' WHEN v.z IS NOT NULL THEN 'LOW' END AS confidence, CASE WHEN v.rank IS NULL THEN 'NOT_ENOUGH_DATA' WHEN v.rank <= CASE regime_state WHEN 'CLOSED' THEN 0 WHEN 'CAUTION' THEN least(greatest(1, floor(v.n * 0.1::double)), 5) ELSE greatest(1, floor(v.n * 0.1::double)) END THEN 'BUY' ELSE 'NO_BUY' END AS decision FROM regimes r LEFT JOIN valid v USING (date, ticker, horizon)",
     "recs": "SELECT *, count(CASE WHEN decision = 'BUY' THEN 1 END) OVER (PARTITION BY date, ticker) AS buy_horizon_count, count(CASE WHEN decision = 'BUY' THEN 1 END) OVER (PARTITION BY date, ticker) >= 3 AS consensus_buy FROM decided",
     "nextret": f"SELECT date, ticker, lead(lp) {T} / nullif(lp, 0) - 1 AS next_day_return FROM lab0",
