@@ -121,7 +121,7 @@ def _part_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, PART_KINDS)], names=PART_NAMES)
 
 
-def shingle_parts(texts: DataFrame, words: int, parts: int, most_shingles: int = 1_500_000) -> DataFrame:
+def shingle_parts(texts: DataFrame, words: int, parts: int, most_shingles: int = 400_000) -> DataFrame:
     """The shingles of chunks of texts, dealt to `parts` (a power of two) by the leading bits of their hashes.
 
     texts: digest, text. A chunk holds what a task reads up to most_shingles; equal texts in it are
@@ -137,9 +137,9 @@ def shingle_parts(texts: DataFrame, words: int, parts: int, most_shingles: int =
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
-        def emit() -> pa.RecordBatch:
+        def emit() -> Iterator[pa.RecordBatch]:
             nonlocal number, size
-            doc, h, tf = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            doc, h, tf = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int32), np.zeros(0, np.uint64), np.zeros(0, np.uint32))
             totals = np.bincount(doc, tf, len(times)).astype(np.int64)
             order = np.argsort(h)
             doc, h, tf = doc[order], h[order], tf[order]
@@ -153,7 +153,7 @@ def shingle_parts(texts: DataFrame, words: int, parts: int, most_shingles: int =
             rows.append((parts + chunk % parts, chunk, None, None, None, None, list(seen), totals.tolist()))
             seen.clear(), times.clear(), found.clear()
             number, size = number + 1, 0
-            return _part_batch(rows)
+            yield from (_part_batch(rows[k : k + 64]) for k in range(0, len(rows), 64))
 
         for batch in batches:
             digests, all_texts = batch.column(0).to_pylist(), batch.column(1)
@@ -168,12 +168,12 @@ def shingle_parts(texts: DataFrame, words: int, parts: int, most_shingles: int =
                         fresh.append((seen[d], all_texts[lo + k].as_py()))
                 if fresh:
                     doc, h, tf = shingles_of([t for _, t in fresh], words)
-                    found.append((np.array([n for n, _ in fresh])[doc], h, tf))
+                    found.append((np.array([n for n, _ in fresh], np.int32)[doc], h, tf.astype(np.uint32)))
                     size += len(h)
                 if size >= most_shingles or len(times) > 65_000:
-                    yield emit()
+                    yield from emit()
         if times:
-            yield emit()
+            yield from emit()
 
     return texts.mapInArrow(deal, PART)
 
