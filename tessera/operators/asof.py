@@ -12,17 +12,17 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right_
     take: new name to column of right. Of right rows with equal times the last by `tie` counts.
     inclusive: whether an equal time matches. Rows of right without a time match nothing; left rows stay, matched or not.
     """
-    rows = F.struct(*left.columns)
     payload = F.struct(*(c.alias(n) for n, c in take.items()))
     tie = F.lit(0) if tie is None else tie
     first = 0 if inclusive else 2  # where a right row of the same time stands against the left row's 1
     r = right.where(F.col(right_time).isNotNull()).select(F.col(on).alias("_on"), F.col(right_time).cast("timestamp").alias("_time"), F.lit(first).alias("_side"), tie.alias("_tie"), payload.alias("_right"))
-    l = left.select(F.col(on).alias("_on"), F.col(left_time).cast("timestamp").alias("_time"), F.lit(1).alias("_side"), rows.alias("_left"))  # noqa: E741
-    both = r.unionByName(l, allowMissingColumns=True)
+    # left's columns stay columns, so that those nobody asks for are never computed or shuffled
+    l = left.select("*", F.col(on).alias("_on"), F.col(left_time).cast("timestamp").alias("_time"), F.lit(1).alias("_side"))  # noqa: E741
+    both = l.unionByName(r, allowMissingColumns=True)
     time = F.col("_time").asc() if backward else F.col("_time").desc()
     w = Window.partitionBy("_on").orderBy(time, "_side", F.col("_tie").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = both.withColumn("_match", F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
-    return out.select("_left.*", *(F.col(f"_match.{n}").alias(n) for n in take))
+    return out.select(*left.columns, *(F.col(f"_match.{n}").alias(n) for n in take))
 
 
 def event_in_window(panel: DataFrame, events: DataFrame, event_time: str = "earnings_date", start: str = "date", end: str = "label_end_date", out: str = "earnings_in_window") -> DataFrame:
