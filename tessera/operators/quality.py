@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.panel import by_ticker, running, filled, last_rows, padded
+from tessera.functions.panel import by_ticker, filled, last_rows, padded, running
 
 PRICES = ["open", "high", "low", "close", "adj_close"]
 
@@ -29,26 +29,31 @@ def bounded_fill(grid: DataFrame, limit: int = 5) -> DataFrame:
     return grid.withColumns(columns)
 
 
-def quality_flags(grid: DataFrame, limit: int = 5, min_history: int = 252, ipo_buffer: int = 63, stale_after: int = 2, compat: bool = False) -> DataFrame:
-    """History, age, staleness and gaps of each (date, ticker), and the four flags on them.
+QUALITY = ["observed_price", "history_days", "listing_age_days", "stale_price_days", "missing_streak", "max_missing_gap_21d", "insufficient_price_history", "insufficient_post_listing_history", "stale_price", "missing_gap_fail"]
+
+
+def with_quality(grid: DataFrame, limit: int = 5, min_history: int = 252, ipo_buffer: int = 63, stale_after: int = 2, compat: bool = False) -> DataFrame:
+    """grid with history, age, staleness and gaps of each (date, ticker), and the four flags on them.
 
     listing_age_days counts days since the first observation; compat counts back from the next one instead.
+    Its windows are those of bounded_fill, so both together take one shuffle.
     """
-    seen = F.col("was_observed")
-    date = F.col("date")
+    seen, date = F.col("was_observed"), F.col("date")
     seen_on = F.when(seen, date)
-    first = F.first(seen_on, ignorenulls=True).over(by_ticker().rowsBetween(0, 2**31 - 1)) if compat else F.min(seen_on).over(running())
-    out = grid.select(
-        "date", "ticker", seen.alias("observed_price"), F.sum(seen.cast("long")).over(running()).alias("history_days"),
-        F.coalesce(F.datediff(date, first).cast("long") + 1, F.lit(0)).alias("listing_age_days"),
-        F.coalesce(F.datediff(date, padded(seen_on)).cast("double"), F.lit(float("inf"))).alias("stale_price_days"),
-        F.sum((~seen).cast("long")).over(running()).alias("_missing"),
+    first = F.first(seen_on, ignorenulls=True).over(by_ticker().rowsBetween(0, Window.unboundedFollowing)) if compat else F.min(seen_on).over(running())
+    out = grid.withColumns(
+        {
+            "observed_price": seen, "history_days": F.sum(seen.cast("long")).over(running()),
+            "listing_age_days": F.coalesce(F.datediff(date, first).cast("long") + 1, F.lit(0)),
+            "stale_price_days": F.coalesce(F.datediff(date, padded(seen_on)).cast("double"), F.lit(float("inf"))),
+            "_missing": F.sum((~seen).cast("long")).over(running()),
+        }
     )
     # missing rows since the last observed one: the running count less its value there
-    out = out.withColumn("_at_seen", F.coalesce(padded(F.when(F.col("observed_price"), F.col("_missing"))), F.lit(0)))
-    out = out.withColumn("missing_streak", F.col("_missing") - F.col("_at_seen"))
+    at_seen = F.coalesce(padded(F.when(seen, F.col("_missing"))), F.lit(0))
+    out = out.withColumn("missing_streak", F.col("_missing") - at_seen)
     out = out.withColumn("max_missing_gap_21d", F.max("missing_streak").over(last_rows(21)))
-    return out.drop("_missing", "_at_seen").withColumns(
+    return out.drop("_missing").withColumns(
         {
             "insufficient_price_history": F.col("history_days") < min_history,
             "insufficient_post_listing_history": F.col("listing_age_days") < ipo_buffer,
@@ -56,3 +61,8 @@ def quality_flags(grid: DataFrame, limit: int = 5, min_history: int = 252, ipo_b
             "missing_gap_fail": F.col("max_missing_gap_21d") > limit,
         }
     )
+
+
+def quality_flags(grid: DataFrame, limit: int = 5, min_history: int = 252, ipo_buffer: int = 63, stale_after: int = 2, compat: bool = False) -> DataFrame:
+    """What with_quality adds, by date and ticker."""
+    return with_quality(grid, limit, min_history, ipo_buffer, stale_after, compat).select("date", "ticker", *QUALITY)

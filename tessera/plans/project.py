@@ -62,7 +62,8 @@ class Project:
     def features(self) -> None:
         q, universe = self.cfg.quality, self._done("daily_universe")
         macro = ft.macro_frame(self._raw("benchmark"), self._raw("vix"), self._raw("risk_free"))
-        panel = stores.base_panel(self._done("prices_cleaned"), self._done("price_quality"), universe, macro)
+        cleaned = self._done("prices_cleaned").join(self._done("price_quality"), ["date", "ticker"], "left")
+        panel = stores.base_panel(cleaned, universe, macro)
         sectors = stores.sector_values(universe)
         raw = ft.one_hot(ft.sector_context(ft.security_features(panel)), sectors)
         raw = ft.fundamental_features(ft.earnings_features(raw, self._raw("earnings")), self._raw("fundamentals"), q.stale_fundamental_days)

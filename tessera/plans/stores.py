@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import features as ft
 from tessera.operators import labels as lb
-from tessera.operators.quality import bounded_fill, calendar_reindex, quality_flags
+from tessera.operators.quality import bounded_fill, calendar_reindex, quality_flags, with_quality
 
 
 def clean(prices: DataFrame, calendar: DataFrame, compat: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -16,11 +16,15 @@ def clean(prices: DataFrame, calendar: DataFrame, compat: bool = False) -> tuple
     return bounded_fill(grid), quality_flags(grid, compat=compat)
 
 
-def base_panel(cleaned: DataFrame, quality: DataFrame, universe: DataFrame, macro: DataFrame) -> DataFrame:
-    """Members' rows with their quality and the date's macro row. Windows from here on count member rows."""
+def clean_panel(prices: DataFrame, calendar: DataFrame, compat: bool = False) -> DataFrame:
+    """Filled prices and quality flags in one frame: the same windows, no join."""
+    return bounded_fill(with_quality(calendar_reindex(prices.drop("sector"), calendar), compat=compat))
+
+
+def base_panel(cleaned: DataFrame, universe: DataFrame, macro: DataFrame) -> DataFrame:
+    """Members' rows, with their quality, and the date's macro row. Windows from here on count member rows."""
     members = universe.where("is_member").drop("source", "is_member")
-    panel = cleaned.drop("source").join(quality, ["date", "ticker"], "left").join(members, ["date", "ticker"])
-    return panel.join(macro, "date", "left")
+    return cleaned.drop("source").join(members, ["date", "ticker"]).join(macro, "date", "left")
 
 
 def feature_store(panel: DataFrame, earnings: DataFrame, filings: DataFrame, sectors: list[str], pad: bool = True, compat: bool = True) -> DataFrame:

@@ -68,7 +68,7 @@ def macro(s: SparkSession, d: str) -> DataFrame:
 
 
 def panel(s: SparkSession, d: str) -> DataFrame:
-    return stores.base_panel(*stores.clean(px.prices(s, d), px.calendar(s, d)), universe(s, d), macro(s, d))
+    return stores.base_panel(stores.clean_panel(px.prices(s, d), px.calendar(s, d)), universe(s, d), macro(s, d))
 
 
 def security(s: SparkSession, d: str) -> DataFrame:
