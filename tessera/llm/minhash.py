@@ -304,7 +304,7 @@ def verified_links(rows: list[dict], across: bool, idf: Idf, threshold: float) -
     return out
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 20, rows: int = 5, smoothing: float = 3.0, block_texts: int = 512, block_shingles: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = 20, rows: int = 5, smoothing: float = 3.0, block_texts: int = 128, block_shingles: int = 1_000_000) -> DataFrame:
     """Classes of exact copies and groups of near copies among whole texts.
 
     docs: doc_id, text; other columns are ignored. One row per row: doc_id, class_id (smallest doc_id
