@@ -150,7 +150,7 @@ def shingle_parts(texts: DataFrame, words: int, parts: int, most_shingles: int =
                 if z > a:
                     low = (h[a:z] & LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
                     rows.append((p, chunk, low.tobytes(), doc[a:z].astype("<u2").tobytes(), count[doc[a:z]].astype("<u4").tobytes(), tf[a:z].astype("<u4").tobytes(), None, None))
-            rows.append((parts + chunk % parts, chunk, None, None, None, None, list(seen), totals.tolist()))
+            rows.append((parts + (31 * task + number) % parts, chunk, None, None, None, None, list(seen), totals.tolist()))
             seen.clear(), times.clear(), found.clear()
             number, size = number + 1, 0
             yield from (_part_batch(rows[k : k + 64]) for k in range(0, len(rows), 64))
