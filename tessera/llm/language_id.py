@@ -49,7 +49,7 @@ def lattices(words: list[str], path: str | None) -> Iterator[tuple[np.ndarray, i
     sizes = np.array([len(w) for w in coded])
     for n in np.unique(sizes):
         at = np.flatnonzero(sizes == n)
-        for at in np.array_split(at, -(-at.size * n // 400_000)):
+        for at in np.array_split(at, -(-at.size * n // 100_000)):
             chars = np.frombuffer(b"".join(coded[i] for i in at), np.uint8).reshape(at.size, n).astype(np.uint64)
             arcs = {}
             for i in range(n):
@@ -165,7 +165,7 @@ def learn(train: DataFrame, per_language: int = 2000, rounds: int = 3, vocabular
     return languages, prob
 
 
-def predict(docs: DataFrame, languages: list[str], prob: np.ndarray, vocabulary: str | None = None, most_cached: int = 500_000) -> DataFrame:
+def predict(docs: DataFrame, languages: list[str], prob: np.ndarray, vocabulary: str | None = None, most_cached: int = 300_000) -> DataFrame:
     """docs with lang_pred and score, the posterior of that language under equal priors.
 
     A null text, one without a letter, or no learned language gives `und` and 0. Of languages with equal
@@ -181,23 +181,27 @@ def predict(docs: DataFrame, languages: list[str], prob: np.ndarray, vocabulary:
         known: dict[str, int] = {}
         table, prob = np.zeros((0, len(languages))), shared.value
         for batch in batches:
-            texts = [words_of(t) if t else [] for t in batch.column(at).to_pylist()] if languages else [[]] * batch.num_rows
-            if len(known) > most_cached:
-                known, table = {}, table[:0]
-            fresh = [w for w in dict.fromkeys(w for t in texts for w in t) if w not in known]
-            if fresh:
-                known.update(zip(fresh, range(len(known), len(known) + len(fresh))))
-                table = np.vstack([table, word_scores(fresh, prob, vocabulary)])
-            preds, scores = [], []
-            for words in texts:
-                if not words:
-                    preds.append("und")
-                    scores.append(0.0)
-                    continue
-                log = table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(0)
-                best = int(log.argmax())
-                preds.append(languages[best])
-                scores.append(float(1 / np.exp(log - log[best]).sum()))
+            preds, scores, column = [], [], batch.column(at)
+            for lo in range(0, batch.num_rows, 256):  # a few texts' words at a time
+                texts = [words_of(t) if t and languages else [] for t in column[lo : lo + 256].to_pylist()]
+                if len(known) > most_cached:
+                    known, table = {}, table[:0]
+                fresh = [w for w in dict.fromkeys(w for t in texts for w in t) if w not in known]
+                if fresh:
+                    size = len(known) + len(fresh)
+                    if size > len(table):
+                        table = np.vstack([table[: len(known)], np.zeros((max(size, 2 * len(known)) - len(known), len(languages)))])
+                    table[len(known) : size] = word_scores(fresh, prob, vocabulary)
+                    known.update(zip(fresh, range(len(known), size)))
+                for words in texts:
+                    if not words:
+                        preds.append("und")
+                        scores.append(0.0)
+                        continue
+                    log = table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))].sum(0)
+                    best = int(log.argmax())
+                    preds.append(languages[best])
+                    scores.append(float(1 / np.exp(log - log[best]).sum()))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
 
     return docs.mapInArrow(label, schema)
