@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize
-from tessera.llm.vocab import byte_bpe
+from tessera.llm.vocab import byte_encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, part int, nth long"
 
@@ -33,7 +33,7 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = byte_bpe(vocabulary).encode_ordinary
+        encode = byte_encoder(vocabulary)
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             rows: list[tuple] = []

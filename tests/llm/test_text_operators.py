@@ -42,6 +42,17 @@ def test_vocabulary_forms_agree():
         assert plain.encode(t, add_special_tokens=False).ids == vocab.byte_bpe().encode_ordinary(t)
 
 
+def test_pack_added_tokens_and_long_runs(spark):
+    from tokenizers import Tokenizer
+
+    contract = Tokenizer.from_file(vocab.vocabulary_path("byte_bpe_50k.json"))
+    texts = ["x <|endoftext|> y", "<|endoftext|><|endoftext|>", "<|endoftext| >", "a" + " " * 1_200_000 + "b", "\n" * 1_200_000, "\u3000" * 150_000 + " c", words(300, 3)]
+    rows = packing.tokenize_pieces(documents(spark, [(k, t, "en", "a") for k, t in enumerate(texts)]), keep_ids=True).collect()
+    for k, t in enumerate(texts):
+        got = b"".join(r.ids for r in sorted((r for r in rows if r.doc_id == k), key=lambda r: r.piece))
+        assert np.frombuffer(got, "<u4").tolist() == [*contract.encode(t, add_special_tokens=False).ids, 2]
+
+
 def check_packing(rows, texts, capacity=1024):
     encode = vocab.byte_bpe().encode_ordinary
     want = Counter()
