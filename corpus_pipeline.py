@@ -19,8 +19,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that keep the rules, without the lines that too many documents of their host share."""
-    kept = line_rules.line_frequency_rules(docs.select(*COLUMNS)).where("kept")
+    """Documents that keep the rules, without the lines that too many documents of their host share; what near copies share stays in one."""
+    kept = line_rules.line_frequency_rules(docs.select(*COLUMNS), copies_once=True).where("kept")
     text = line_rules.without_removed(F.col("text"), F.col("removed_lines"))
     return kept.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE_RUN, SPACES
+from tessera.llm.common import SPACE_RUN, SPACES, materialize
 
 WORD_CHAR = r"[^\x20\x09-\x0D]"
 
@@ -67,7 +67,29 @@ def normal_line(line: Column) -> Column:
     return F.regexp_replace(F.lower(F.btrim(F.regexp_replace(line, SPACE_RUN, " "))), "[0-9]+", "0")
 
 
-def line_frequency_rules(docs: DataFrame, min_documents: int = 10, min_share: float = 0.01, least_left: float = 0.2, salts: int = 16) -> DataFrame:
+def spared_lines(hits: DataFrame, counts: DataFrame, hosts: DataFrame, min_documents: int, min_share: float, least_left: float) -> DataFrame:
+    """Which document of a host keeps each frequent line that is copied content: (_host, line, _key).
+
+    hits: _host, _key, line, times, words of frequent lines; counts: _host, _key, n_words, base_failed; hosts: _host, of.
+    A document is depleted if only its frequent lines reject it. A line stays boilerplate where
+    documents that aren't depleted are enough to make it frequent. Every other line of depleted
+    documents goes to the one of them with most words in such lines, of those that have enough with
+    them. So that one keeps all it has of them; a line it lacks may go to a copy that is still rejected.
+    """
+    key, lost = ["_host", "_key"], F.col("times") * F.col("words")
+    removed = hits.groupBy(*key).agg(F.sum(lost).alias("lost"))
+    state = removed.join(counts, key).withColumn("depleted", ~F.col("base_failed") & (F.col("n_words") - F.col("lost") < least_left * F.col("n_words")))
+    hits = materialize(hits.join(state.drop("base_failed"), key))
+    boilerplate = hits.where(~F.col("depleted")).groupBy("_host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_documents)
+    boilerplate = boilerplate.join(hosts, "_host").where(F.col("n") > min_share * F.col("of")).select("_host", "line")
+    copied = hits.where("depleted").join(boilerplate, ["_host", "line"], "left_anti")
+    enough = F.col("n_words") - F.col("lost") + F.col("copied") >= least_left * F.col("n_words")
+    holders = copied.groupBy(*key).agg(F.sum(lost).alias("copied"), F.first("n_words").alias("n_words"), F.first("lost").alias("lost")).where(enough).select(*key, "copied")
+    owner = copied.select(*key, "line").join(holders, key).groupBy("_host", "line").agg(F.max(F.struct("copied", "_key")).alias("owner"))
+    return owner.select("_host", "line", F.col("owner._key").alias("_key"))
+
+
+def line_frequency_rules(docs: DataFrame, min_documents: int = 10, min_share: float = 0.01, least_left: float = 0.2, salts: int = 16, copies_once: bool = False) -> DataFrame:
     """docs with their counts, what lines go, and whether they stay.
 
     docs: doc_id, text, source (the host; null is a host of its own) and any other columns, which stay unless their names
@@ -78,6 +100,9 @@ def line_frequency_rules(docs: DataFrame, min_documents: int = 10, min_share: fl
     not base_failed, and at least least_left of the words are left. Null text is as empty text.
     Repeated rows each get the same result. A line that a third of all documents hold is counted
     map-side first, and its rows are dealt over `salts` keys when joined.
+    copies_once: near copies differ as texts, so more than min_documents of them make their own
+    content frequent and are all rejected. With it, lines that only such documents make frequent
+    stay in one of them (spared_lines) and go from the others.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "removed_lines", "kept", "_text", "_host", "_key"]
     docs = docs.drop(*(c for c in docs.columns if c in added))
@@ -90,10 +115,17 @@ def line_frequency_rules(docs: DataFrame, min_documents: int = 10, min_share: fl
     frequent = in_doc.groupBy("_host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_documents)
     frequent = frequent.join(hosts, "_host").where(F.col("n") > min_share * F.col("of")).select("_host", "line", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     hits = in_doc.withColumn("salt", F.pmod(F.col("_key"), F.lit(salts)).cast("int")).join(frequent, ["_host", "line", "salt"])
-    gone = hits.groupBy("_host", "_key").agg(F.sum(F.col("times") * F.col("words")).alias("n_removed_words"), F.collect_set("line").alias("removed_lines"))
 
     counted = docs.withColumns(count_columns(F.col("_text")))
     counted = counted.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    if copies_once:
+        counts = materialize(counted.select("_host", "_key", *added[:6]).dropDuplicates(["_host", "_key"]))  # once, without the texts
+        hits = materialize(hits.select("_host", "_key", "line", "times", "words"))
+        hits = hits.join(spared_lines(hits, counts, hosts, min_documents, min_share, least_left), ["_host", "line", "_key"], "left_anti")
+
+    gone = hits.groupBy("_host", "_key").agg(F.sum(F.col("times") * F.col("words")).alias("n_removed_words"), F.collect_set("line").alias("removed_lines"))
+    if copies_once:  # one join of the texts, with a table whose rows are short
+        counted, gone = docs, materialize(counts.join(gone, ["_host", "_key"], "left"))
     out = counted.join(gone, ["_host", "_key"], "left")
     out = out.withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long")).withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<bigint>")))
     left = F.col("n_words") - F.col("n_removed_words") >= least_left * F.col("n_words")

@@ -214,6 +214,24 @@ def test_line_frequency(spark):
     assert line_rules.line_frequency_rules(documents(spark, [])).count() == 0
 
 
+def test_near_copies_stay_once(spark):
+    import corpus_pipeline
+
+    lines, banner = [words(12, 5000 + j) for j in range(8)], words(7, 6000)
+    rows = [(k, "\n".join([banner] + [words(12, 7000 + k) if j == k % 8 else lines[j] for j in range(8)]), "en", "hot") for k in range(300)]  # a line of eight is the member's own
+    rows += [(1000 + k, f"{words(40, 8000 + k)}\n{banner}", "en", "hot") for k in range(100)]
+    rows += [(2000 + k, "\n".join([banner] * 9 + [words(5, 9000 + k)]), "en", "hot") for k in range(3)]
+    df = documents(spark, rows + rows[:2])
+    assert line_rules.line_frequency_rules(df).where("doc_id < 1000 and kept").count() == 0
+    assert line_rules.line_frequency_rules(df, copies_once=True).count() == len(rows) + 2
+    ruled = corpus_pipeline.materialize(corpus_pipeline.quality_rules(spark, df, ""))
+    kept = {r.doc_id: r.text for r in ruled.collect()}
+    copies = [k for k in kept if k < 1000]
+    assert 1 <= len(copies) <= 3 and any(kept[k] == rows[k][1].removeprefix(banner + "\n") for k in copies)
+    assert all(kept[1000 + k] == words(40, 8000 + k) for k in range(100)) and not any(k >= 2000 for k in kept)
+    assert corpus_pipeline.near_dedup(spark, ruled, "").where("doc_id < 1000").select("text").distinct().count() == 1
+
+
 # --- pages
 
 
