@@ -127,6 +127,22 @@ def test_oracle(spark, name):
     assert sorted(got.columns) == sorted(want.columns) and rows_of(got) == rows_of(want)
 
 
+def test_recency_reads_all_rows(spark, monkeypatch):
+    from tessera.queries import panel
+
+    seen = []
+    keep = panel.fl.recent_tickers
+    monkeypatch.setattr(panel.fl, "recent_tickers", lambda prices, end: seen.append(prices.count()) or keep(prices, end))
+    got = {r.ticker for r in entry.queries()["recent_tickers_all_rows"](spark, SF).collect()}
+    prices = panel.px.prices(spark, SF)
+    assert seen == [prices.count()]
+    assert set() < got < {r.ticker for r in prices.select("ticker").distinct().collect()}
+    con = duckdb.connect()
+    for t in ("lineitem", "supplier", "nation", "region", "orders", "customer", "part", "events"):
+        con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    assert got == {r[0] for r in con.sql(entry.oracle_sql()["recent_tickers_all_rows"]).fetchall()}
+
+
 def test_every_oracle_has_a_query_and_parses():
     con = duckdb.connect()
     for t in ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]:
