@@ -14,15 +14,24 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder.
+
+    Where both are unset, a local session gets a folder of its own; on a cluster that raises, because
+    what an executor writes to its own disk nobody else can read.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="tessera-checkpoint-")
-        spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
         base = spark.sparkContext.getCheckpointDir()
     return base
 
 
+#: Paths of the tables that this driver has written and not deleted, in order.
+WRITTEN: list[str] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again.
 
@@ -31,7 +40,21 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    WRITTEN.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(spark: SparkSession, *tables: DataFrame | str | None) -> None:
+    """Delete tables that materialize wrote (frames or paths), once nothing reads them any more."""
+    jvm = spark.sparkContext._jvm
+    for x in tables:
+        path = x if isinstance(x, str) else getattr(x, "written_to", None)
+        if path in WRITTEN:
+            WRITTEN.remove(path)
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -44,8 +67,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     a, b = edges.columns
     nodes = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    now = materialize(nodes.distinct())
-    last = None
+    spark, now, last = edges.sparkSession, materialize(nodes.distinct()), None
     for _ in range(most_rounds):
         both = now.where("u <> v").union(now.where("u <> v").select("v", "u"))
         # written first, so that the join below deals both sides anew and a hub's rows can be split
@@ -56,7 +78,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # small star: the node and its neighbours below point to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        now = materialize(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct())
+        then = materialize(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(spark, now, low)
+        now = then
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == last:
             return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

@@ -1,33 +1,56 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines, one for each block; lengths are summed over a sliding window of lines;
-text runs from where the sums surge above nothing to where they dive to nothing again, and the run
-with most text is the article.
+Markup is stripped to lines, one for each source block, each with the length of its text outside of
+links. Lengths are summed over a sliding window of lines; text surges where the sums rise to a share
+of the page's own typical line and dives where they fall below it for good. Tags are a prior: what
+the standard itself calls a menu, form or footer never counts, and an article's ends are surge and
+dive points whatever its lines' lengths.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Element names of the HTML standard by their role here, and words that mark page furniture.
-RAW = "script style title noscript template iframe object svg canvas math select textarea datalist audio video head-title".split()
+# Element names of the HTML standard by their role here.
+RAW = "script style title noscript template iframe object svg canvas select textarea datalist audio video".split()
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-BLOCKS = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
+BLOCKS = set(
+    "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
+    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
+)
 DROPPED = set("nav footer aside form button dialog menu".split())
 MAIN = set("article main".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+PROSE = set("p blockquote pre dd dt li figcaption caption td th".split())  # what text is written in, beside plain divs
+ROLES = set("navigation banner contentinfo complementary search alert dialog alertdialog form menu menubar".split())
+# Start tags that end an open element of the same parent, as the standard implies.
+ENDS_P = BLOCKS - {"br", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "li", "dd", "dt", "option", "legend", "body", "html", "head"}
+SIBLINGS = {  # inner ones first
+    "li": ["li"], "dt": ["dt", "dd"], "dd": ["dt", "dd"], "td": ["td", "th"], "th": ["td", "th"], "tr": ["td", "th", "tr"], "option": ["option"],
+    "tbody": ["td", "th", "tr", "thead", "tbody"], "thead": ["td", "th", "tr", "tbody"], "tfoot": ["td", "th", "tr", "thead", "tbody"],
+}
+FENCES = set("ul ol menu dl table article section main aside nav div body td th blockquote form".split())  # implied ends stay within these
+ROW_FENCES = FENCES - {"td", "th"}
+
+# Class names of adverts, notices and reader comments, which count as whole names wherever they stand,
+# and words that mark page furniture where no article says what the text is.
+NEVER = set(
+    "ad ads advert adverts advertisement advertising sponsored promo cookie-notice cookie-banner newsletter newsletter-signup comment comments comment-list comment-section "
+    "comments-area disqus_thread respond sidebar related-posts related-articles share-buttons social-share share sharing".split()
+)
 FURNITURE = set(
-    "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion banner sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs footer foot masthead topbar "
-    "comment comments commentlist disqus respond replies reply cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup login popup popups modal overlay share sharing social related recommended widget widgets toolbar "
-    "pagination pager copyright disclaimer skip hidden".split()
+    "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion banner sidebar sidebars aside menu menus nav navbar navigation breadcrumb breadcrumbs footer foot masthead topbar header "
+    "comment comments commentlist disqus respond replies cookie cookies consent gdpr notice notices newsletter subscribe subscription signup login popup popups modal overlay share sharing social related recommended widget widgets toolbar "
+    "pagination pager copyright disclaimer skip".split()
 )
-HEADS = set("header head heading".split())  # page headers; inside an article a header holds its title
-ROLES = set("navigation banner contentinfo complementary search alert dialog alertdialog form menu menubar".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -36,47 +59,61 @@ TOKEN = re.compile(
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"([a-z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+HIDDEN = re.compile(r"display\s*:\s*none", re.I)
+FIRST_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+SENTENCE_END = tuple(".!?…。！？:;\"”»")
+
 
+@dataclass
+class Line:
+    """One source block: its text, how much of it isn't in links, its element, and what the markup around it says."""
 
-def is_furniture(tag: str, attributes: str, in_main: bool) -> bool:
-    """Whether an element is a menu, header, footer, sidebar, notice, advert, form or comments."""
-    if tag in DROPPED or tag == "header" and not in_main:
+    text: str
+    length: int
+    tag: str
+    article: int  # number of the outermost article or main element, or 0
+    hinted: bool  # an element around it has a class or id that names furniture
+
+
+def is_dropped(tag: str, attributes: str, in_article: bool) -> bool:
+    """Whether an element is by its name, role or whole class name a menu, footer, sidebar, form, advert, notice or comments."""
+    if tag in DROPPED or tag == "header" and not in_article:
         return True
-    if "=" not in attributes and "hidden" not in attributes or tag in ("html", "body", "main"):
+    if tag in ("html", "body", "main", "article") or "=" not in attributes and "hidden" not in attributes:
         return False
     for name, *values in ATTRIBUTE.findall(attributes):
         value, name = "".join(values), name.lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
             return True
-        if name == "role" and value.lower() in ROLES:
+        if name == "role" and value.lower() in ROLES or name == "class" and not NEVER.isdisjoint(value.lower().split()):
             return True
-        if name in ("class", "id"):
-            for whole in value.split():
-                parts = [x.lower() for x in NAME_PART.findall(whole)]
-                if parts and parts[0] in ("has", "no", "with", "without"):
-                    continue
-                if FURNITURE.intersection(parts) or not in_main and HEADS.intersection(parts) and "content" not in parts:
-                    return True
     return False
 
 
-def lines_of(page: str, window: int) -> list[tuple[str, int, int]]:
-    """(text, length that counts, number of the innermost article or main element or 0) for each block.
+def is_hinted(tag: str, attributes: str) -> bool:
+    """Whether a class or id begins with a word of FURNITURE; only a hint, which outside of articles counts unless all text has it."""
+    if "=" not in attributes or tag in ("html", "body") or tag in MAIN:
+        return False
+    names = [n for name, *values in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id") for n in "".join(values).split()]
+    first = [m[0].lower() for n in names if (m := FIRST_WORD.search(n))]
+    return not FURNITURE.isdisjoint(first) and "content" not in first
 
-    Outside of articles, text in links doesn't count. Articles are set off by `window` blank lines.
-    """
-    lines: list[tuple[str, int, int]] = []
+
+def lines_of(page: str) -> list[Line]:
+    """The blocks of a page that have text and aren't dropped by their markup, in page order."""
+    lines: list[Line] = []
     parts: list[str] = []
-    linked = mains = 0
-    stack: list[tuple[str, bool, int]] = []  # name, dropped, article
+    linked = articles = 0
+    stack: list[tuple[str, bool, int, bool, bool]] = []  # name, dropped, article, hinted, in a link
+    standing: Counter = Counter()  # how many elements of a name are open
 
     def flush() -> None:
         nonlocal linked
         if parts:
             if text := " ".join(entities.unescape("".join(parts)).split()):
-                own = stack[-1][2] if stack else 0
-                lines.append((text, len(text) if own else max(0, len(text) - linked), own))
+                block = next((x[0] for x in reversed(stack) if x[0] in BLOCKS), "")
+                _, _, article, hinted, _ = stack[-1] if stack else ("", False, 0, False, False)
+                lines.append(Line(text, max(0, len(text) - linked), block, article, hinted))
             parts.clear()
         linked = 0
 
@@ -84,8 +121,20 @@ def lines_of(page: str, window: int) -> list[tuple[str, int, int]]:
         nonlocal linked
         if text and not (stack and stack[-1][1]):
             parts.append(text)
-            if any(x[0] == "a" for x in stack[-4:]):
-                linked += len("".join(entities.unescape(text).split()))
+            if stack and stack[-1][4]:
+                linked += len(" ".join(entities.unescape(text).split()))
+
+    def close(names: set[str] | frozenset[str], fences: set[str]) -> None:
+        """End the innermost open element of one of these names, and all within it, unless a fence is in between."""
+        if not any(standing[n] for n in names):
+            return
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in names:
+                standing.subtract(x[0] for x in stack[k:])
+                del stack[k:]
+                return
+            if stack[k][0] in fences:
+                return
 
     at = 0
     for m in TOKEN.finditer(page):
@@ -93,60 +142,109 @@ def lines_of(page: str, window: int) -> list[tuple[str, int, int]]:
         at, tag = m.end(), (m[3] or "").lower()
         if not tag:
             continue
-        dropped, own = stack[-1][1:] if stack else (False, 0)
-        if tag in BLOCKS and not dropped:
+        if tag in BLOCKS and not (stack and stack[-1][1]):
             flush()
         if m[2]:
-            if any(x[0] == tag for x in stack):
-                while stack:
-                    name, was, _ = stack.pop()
-                    if name in MAIN and not was:
-                        lines.extend([("", 0, 0)] * window)
-                    if name == tag:
-                        break
-        elif tag not in VOID and not m[4].rstrip(">").endswith("/"):
-            dropped = dropped or is_furniture(tag, m[4], bool(own))
-            if tag in MAIN and not dropped:
-                mains += 1
-                own = mains
-                lines.extend([("", 0, 0)] * window)
-            stack.append((tag, dropped, own))
+            close({tag}, set())
+            continue
+        if tag in ENDS_P:
+            close({"p"}, FENCES)
+        if tag in SIBLINGS:
+            for name in SIBLINGS[tag]:
+                close({name}, ROW_FENCES)
+        if tag not in VOID and not m[4].rstrip(">").endswith("/"):
+            _, dropped, article, hinted, link = stack[-1] if stack else ("", False, 0, False, False)
+            dropped = dropped or is_dropped(tag, m[4], bool(article))
+            if tag in MAIN and not dropped and not article:
+                articles += 1
+                article = articles
+            standing[tag] += 1
+            stack.append((tag, dropped, article, not article and (hinted or is_hinted(tag, m[4])), link or tag == "a"))
     put(page[at:])
     flush()
     return lines
 
 
-def main_text(page: str | None, window: int = 3) -> str:
-    lines = lines_of(page or "", window)
-    runs: list[list[int]] = []  # surge, dive (first line after the run), text that counts, article
-    blank = window
-    for i, (_, n, own) in enumerate(lines):
-        if n == 0:
-            blank += 1
+def window_sums(lengths: list[int], window: int) -> list[int]:
+    """The sum of lengths over the window of lines around each line."""
+    back = window // 2
+    total, out = [0], []
+    for n in lengths:
+        total.append(total[-1] + n)
+    for i in range(len(lengths)):
+        lo = max(0, i - back)
+        out.append(total[min(len(lengths), i - back + window)] - total[lo])
+    return out
+
+
+def typical_length(lengths: list[int]) -> float:
+    """Length of the line that a page's characters lie in, on average: long lines count most, however many short ones there are."""
+    return sum(n * n for n in lengths) / max(1, sum(lengths))
+
+
+def runs_of(lines: list[Line], window: int, surge: float, least: float) -> list[tuple[int, int]]:
+    """Runs (first line, line after the last) between surge and dive points.
+
+    A window sum of at least surge times the typical length is a surge; text dives where sums stay below
+    it for `window` lines. At its ends a run begins and closes with a line that is itself long enough,
+    or that reads as text: a heading before it, a paragraph or a sentence next to it. Runs with less
+    than `least` of the longest one's text are left out.
+    """
+    lengths = [x.length for x in lines]
+    level = surge * typical_length(lengths)
+    sums = window_sums(lengths, window)
+    high = [i for i, s in enumerate(sums) if s >= level and s > 0]
+    spans: list[list[int]] = []
+    for i in high:
+        if spans and i - spans[-1][1] <= window:
+            spans[-1][1] = i
+        else:
+            spans.append([i, i])
+    reads = [x.length > 0 and (x.length >= level / window or x.tag in ("p", "blockquote", "pre") or x.text.endswith(SENTENCE_END)) for x in lines]
+    out = []
+    for a, z in spans:
+        own = [i for i in range(a, z + 1) if reads[i]]
+        if not own:
             continue
-        if blank >= window:  # the sum over the window just before was 0: a surge
-            runs.append([i, i + 1, 0, own])
-        runs[-1][1], runs[-1][2], blank = i + 1, runs[-1][2] + n, 0
-    if not runs:
-        return ""
-    if any(r[3] for r in runs):
-        runs = [r for r in runs if r[3]]
-    best = max(runs, key=lambda r: r[2])
-    chosen = [r for r in runs if r[3] and r[3] == best[3]] or [best]
-    return " ".join(t for r in chosen for t, _, _ in lines[r[0] : r[1]] if t)
-
-
-def extract_text(pages: DataFrame, window: int = 3) -> DataFrame:
+        a, z = own[0], own[-1]
+        while a and (reads[a - 1] and lines[a - 1].tag in PROSE or lines[a - 1].tag in HEADINGS and lines[a - 1].length):
+            a -= 1
+        while z + 1 < len(lines) and reads[z + 1] and lines[z + 1].tag in PROSE:
+            z += 1
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(z + 1, out[-1][1]))
+        else:
+            out.append((a, z + 1))
+    longest = max((sum(lengths[a:z]) for a, z in out), default=0)
+    return [(a, z) for a, z in out if sum(lengths[a:z]) >= least * longest]
+
+
+def main_text(page: str | None, window: int = 3, surge: float = 0.5, least: float = 0.25) -> str:
+    """The text of all outermost articles, or where a page has none, of the runs that its lines' distribution shows."""
+    lines = lines_of(page or "")
+    within = [x.text for x in lines if x.article]
+    if within:
+        return " ".join(within)
+    plain = [x for x in lines if not x.hinted]
+    for own in (plain, lines):
+        if found := runs_of(own, window, surge, least):
+            return " ".join(x.text for a, z in found for x in own[a:z])
+    return ""
+
+
+def extract_text(pages: DataFrame, window: int = 3, surge: float = 0.5, least: float = 0.25) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page; other columns are ignored.
 
     Null or empty html, and pages of furniture only, give an empty text; a null page_id or url stays.
-    Rows are independent, so repeats each get the same text. Of runs with equally much text the first
-    is kept; runs of the article element with the most text belong together.
+    Rows are independent, so repeats each get the same text. All articles of a page are kept, and all
+    runs with at least `least` of the longest one's text, so ties need no rule.
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x, window) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+            texts = [main_text(x, window, surge, least) for x in batch.column(2).to_pylist()]
+            columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    own = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
+    return own.mapInArrow(extract, "page_id long, url string, text string, n_chars long")

@@ -8,6 +8,7 @@ lattices learns the pieces' probabilities from labelled words.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,11 +21,14 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize
 from tessera.llm.vocab import HashedPieces, byte_pieces
 
-LETTERS = re.compile(r"[^\W\d_]{1,64}")
+# Letters alone: \w less digits and underscore still has numerals such as one half, superscript two or Roman four.
+_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
+LONG = 64  # bytes from which a word's lattice is laid out by positions instead of with other words of its length
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters in lower case; a run of more than 64 letters is scored in stretches of 64."""
+    """Runs of letters, whole, in lower case."""
     return LETTERS.findall(text.lower())
 
 
@@ -39,15 +43,86 @@ def piece_table(path: str | None) -> HashedPieces:
     return HashedPieces(keep)
 
 
+def spelled(word: str) -> bytes:
+    return b" " + word.encode()
+
+
+def stretches(word: bytes, path: str | None, size: int = 1 << 14) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a long word, in order: a position, and the numbers of the pieces that begin there and after it.
+
+    The rows of the array are positions, up to `size` of them; column k has the piece of k + 1 bytes that begins there, or -1.
+    """
+    table, chars = piece_table(path), np.frombuffer(word, np.uint8).astype(np.uint64)
+    for lo in range(0, len(chars), size):
+        hi = min(lo + size, len(chars))
+        numbers, h = np.full((hi - lo, table.longest), -1, np.int64), np.zeros(hi - lo, np.uint64)
+        for k in range(table.longest):
+            inside = max(0, min(hi, len(chars) - k) - lo)
+            h[:inside] = table.extend(h[:inside], chars[lo + k : lo + k + inside])
+            numbers[:inside, k] = table.find(h[:inside])
+        yield lo, numbers
+
+
+def long_forward(word: bytes, prob: np.ndarray, path: str | None, keep: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log probability of a long word in each language, over all its segmentations.
+
+    Sums of the positions within a piece's length are carried on, scaled by the largest. keep: also
+    every position's scaled sum and the log of its scale, one row each.
+    """
+    longest, languages = piece_table(path).longest, prob.shape[1]
+    ahead = np.zeros((longest + 1, languages))  # scaled sums of the positions from here on
+    ahead[0] = 1
+    shift = np.zeros(languages)
+    sums, shifts = (np.zeros((len(word) + 1, languages) if keep else (0, languages)) for _ in range(2))
+    for lo, numbers in stretches(word, path):
+        for i, row in enumerate(numbers):
+            if keep:
+                sums[lo + i], shifts[lo + i] = ahead[0], shift
+            k = np.flatnonzero(row >= 0)
+            ahead[k + 1] += ahead[0] * prob[row[k]]
+            ahead[:-1] = ahead[1:]
+            ahead[-1] = 0
+            if i % 16 == 15:
+                top = ahead.max(0)
+                ahead /= top
+                shift = shift + np.log(top)
+    if keep:
+        sums[-1], shifts[-1] = ahead[0], shift
+    return shift + np.log(ahead[0]), sums, shifts
+
+
+def long_counts(word: bytes, weight: float, prob: np.ndarray, path: str | None) -> np.ndarray:
+    """How often each piece is expected in a long word of one language (prob: one column)."""
+    longest, n = piece_table(path).longest, len(word)
+    whole, sums, shifts = long_forward(word, prob, path, keep=True)
+    ahead, shift = np.zeros(longest + 1), 0.0  # scaled sums from the positions after this one to the end
+    ahead[1] = 1
+    total = np.zeros(len(prob))
+    size = 1 << 14
+    for lo in range((n - 1) // size * size, -1, -size):  # the last stretch first; a piece may reach beyond it
+        _, numbers = next(stretches(word[lo : lo + size + longest], path, size))
+        for i in range(len(numbers) - 1, -1, -1):
+            row, at = numbers[i], lo + i
+            k = np.flatnonzero(row >= 0)
+            through = prob[row[k], 0] * ahead[k + 1]
+            total[row[k]] += weight * through * sums[at, 0] * np.exp(shifts[at, 0] + shift - whole[0])
+            ahead[1:] = np.append(through.sum(), ahead[1:-1])
+            if at % 16 == 0:
+                top = ahead.max()
+                ahead /= top
+                shift += np.log(top)
+    return total
+
+
 def lattices(words: list[str], path: str | None) -> Iterator[tuple[np.ndarray, int, dict[tuple[int, int], np.ndarray]]]:
-    """For words of each length in bytes: their places in the list, the length, and arcs.
+    """For words of each length up to LONG bytes: their places in the list, the length, and arcs.
 
     arcs[i, j]: for each word the number of the piece that spells its bytes i to j, or -1. A word begins with a space.
     """
     table = piece_table(path)
-    coded = [b" " + w.encode() for w in words]
+    coded = [spelled(w) for w in words]
     sizes = np.array([len(w) for w in coded])
-    for n in np.unique(sizes):
+    for n in np.unique(sizes[sizes <= LONG]):
         at = np.flatnonzero(sizes == n)
         for at in np.array_split(at, -(-at.size * n // 100_000)):
             chars = np.frombuffer(b"".join(coded[i] for i in at), np.uint8).reshape(at.size, n).astype(np.uint64)
@@ -94,6 +169,9 @@ def word_scores(words: list[str], prob: np.ndarray, path: str | None) -> np.ndar
                 shift += np.log(top)
                 sums = [x / top for x in sums]
         out[at] = shift + np.log(sums[n])
+    for i, w in enumerate(map(spelled, words)):
+        if len(w) > LONG:
+            out[i] = long_forward(w, prob, path)[0]
     return out
 
 
@@ -114,6 +192,9 @@ def expected_counts(words: list[str], weights: np.ndarray, prob: np.ndarray, pat
                     share = np.exp(fore[i][:, 0] + through - whole) * weights[at]
                     total += np.bincount(number[number >= 0], share[number >= 0], len(total))
                     back[i] = np.logaddexp(back[i], through)
+    for w, weight in zip(map(spelled, words), weights):
+        if len(w) > LONG:
+            total += long_counts(w, weight, prob, path)
     return total
 
 

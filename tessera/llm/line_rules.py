@@ -89,47 +89,60 @@ def spared_lines(hits: DataFrame, counts: DataFrame, hosts: DataFrame, min_docum
     return owner.select("_host", "line", F.col("owner._key").alias("_key"))
 
 
-def line_frequency_rules(docs: DataFrame, min_documents: int = 10, min_share: float = 0.01, least_left: float = 0.2, salts: int = 16, copies_once: bool = False) -> DataFrame:
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
+def line_frequency_rules(
+    docs: DataFrame, min_documents: int = 10, min_share: float = 0.01, least_left: float = 0.2, salts: int = 16,
+    count_texts: bool = False, copies_once: bool = False, keep_text: bool = True,
+) -> DataFrame:
     """docs with their counts, what lines go, and whether they stay.
 
     docs: doc_id, text, source (the host; null is a host of its own) and any other columns, which stay unless their names
     clash with those added. A line goes where more than min_documents documents of its host, and
-    more than min_share of them, have it; a document counts once however often it holds a line, and
-    exact copies count as one document. Added: n_words, word_chars, n_symbols, n_dup_lines,
+    more than min_share of them, have it. A document is a doc_id, or where that is null a text; it
+    counts once however often it holds a line. Added: n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, n_removed_words, removed_lines (hashes of normalised lines), kept:
     not base_failed, and at least least_left of the words are left. Null text is as empty text.
-    Repeated rows each get the same result. A line that a third of all documents hold is counted
+    Repeated rows each get the same result; an empty table stays empty. A line that a third of all documents hold is counted
     map-side first, and its rows are dealt over `salts` keys when joined.
+    count_texts: exact copies count as one document, so that copied documents aren't taken for boilerplate.
     copies_once: near copies differ as texts, so more than min_documents of them make their own
     content frequent and are all rejected. With it, lines that only such documents make frequent
-    stay in one of them (spared_lines) and go from the others.
+    stay in one of them (spared_lines) and go from the others; it needs count_texts.
+    keep_text: without it the text is left out and read once only.
     """
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_removed_words", "removed_lines", "kept", "_text", "_host", "_key"]
+    added = [*COUNTS, "n_removed_words", "removed_lines", "kept", "_text", "_host", "_key", "_doc", "_lines"]
     docs = docs.drop(*(c for c in docs.columns if c in added))
-    docs = docs.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_host", F.xxhash64(F.col("source"))).withColumn("_key", F.xxhash64(F.lit(7), F.col("_text")))
-    line = F.explode(F.transform(F.filter(F.split("_text", "\n"), lambda x: F.regexp_like(x, F.lit(WORD_CHAR))), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.size(words_of(x)).alias("words"))))
-    lines = docs.select("_host", "_key", line.alias("x")).select("_host", "_key", F.col("x.line").alias("line"), F.col("x.words").alias("words"))
-    in_doc = lines.groupBy("_host", "line", "_key").agg(F.count("*").alias("times"), F.max("words").alias("words"))
-
-    hosts = docs.groupBy("_host", "_key").agg(F.lit(1).alias("one")).groupBy("_host").agg(F.count("*").alias("of"))
-    frequent = in_doc.groupBy("_host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_documents)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = docs.withColumns({"_host": F.xxhash64(F.col("source")), "_key": F.xxhash64(F.lit(7), text)})
+    by_id = F.col("_key") if count_texts else F.when(F.col("doc_id").isNull(), F.col("_key")).otherwise(F.xxhash64(F.lit(8), F.col("doc_id")))
+    filled = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(WORD_CHAR)))
+    lines = F.transform(filled, lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.size(words_of(x)).cast("int").alias("words")))
+    seen = docs.withColumns(count_columns(text) | {"_doc": by_id, "_lines": lines}).drop("text")
+    seen = seen.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    seen = materialize(seen)  # all that the rules need of a text, read once
+
+    hosts = seen.groupBy("_host", "_doc").agg(F.lit(1).alias("one")).groupBy("_host").agg(F.count("*").alias("of"))
+    holders = seen.select("_host", "_doc", F.explode("_lines.line").alias("line")).groupBy("_host", "line", "_doc").agg(F.lit(1).alias("one"))
+    frequent = holders.groupBy("_host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_documents)
     frequent = frequent.join(hosts, "_host").where(F.col("n") > min_share * F.col("of")).select("_host", "line", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    hits = in_doc.withColumn("salt", F.pmod(F.col("_key"), F.lit(salts)).cast("int")).join(frequent, ["_host", "line", "salt"])
-
-    counted = docs.withColumns(count_columns(F.col("_text")))
-    counted = counted.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    texts = seen.select("_host", "_key", *COUNTS, "_lines").dropDuplicates(["_host", "_key"])
+    in_text = texts.select("_host", "_key", F.explode("_lines").alias("x")).groupBy("_host", F.col("x.line").alias("line"), "_key").agg(F.count("*").alias("times"), F.max("x.words").alias("words"))
+    hits = in_text.withColumn("salt", F.pmod(F.col("_key"), F.lit(salts)).cast("int")).join(frequent, ["_host", "line", "salt"]).drop("salt")
     if copies_once:
-        counts = materialize(counted.select("_host", "_key", *added[:6]).dropDuplicates(["_host", "_key"]))  # once, without the texts
-        hits = materialize(hits.select("_host", "_key", "line", "times", "words"))
+        hits = materialize(hits)
+        counts = texts.select("_host", "_key", *COUNTS)
         hits = hits.join(spared_lines(hits, counts, hosts, min_documents, min_share, least_left), ["_host", "line", "_key"], "left_anti")
-
     gone = hits.groupBy("_host", "_key").agg(F.sum(F.col("times") * F.col("words")).alias("n_removed_words"), F.collect_set("line").alias("removed_lines"))
-    if copies_once:  # one join of the texts, with a table whose rows are short
-        counted, gone = docs, materialize(counts.join(gone, ["_host", "_key"], "left"))
-    out = counted.join(gone, ["_host", "_key"], "left")
+
+    if keep_text:  # the texts' one join is with rows that are short
+        out = docs.join(materialize(texts.drop("_lines").join(gone, ["_host", "_key"], "left")), ["_host", "_key"])
+    else:
+        out = seen.drop("_lines", "_doc").join(gone, ["_host", "_key"], "left")
     out = out.withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)).cast("long")).withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<bigint>")))
     left = F.col("n_words") - F.col("n_removed_words") >= least_left * F.col("n_words")
-    return out.withColumn("kept", ~F.col("base_failed") & left).drop("_host", "_key", "_text")
+    return out.withColumn("kept", ~F.col("base_failed") & left).drop("_host", "_key")
 
 
 def without_removed(text: Column, removed: Column) -> Column:

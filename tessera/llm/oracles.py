@@ -5,18 +5,27 @@ from __future__ import annotations
 SPACE = r"[\x20\x09-\x0D]"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
-LUHN = f"list_sum(list_transform(range(1, length({DIGITS}) + 1), lambda j: CASE WHEN (length({DIGITS}) - j) % 2 = 1 THEN (CASE WHEN substr({DIGITS}, j, 1)::int > 4 THEN substr({DIGITS}, j, 1)::int * 2 - 9 ELSE substr({DIGITS}, j, 1)::int * 2 END) ELSE substr({DIGITS}, j, 1)::int END)) % 10 = 0"
+_D = f"substr({DIGITS}, j, 1)::int"
+_TWICE = f"CASE WHEN {_D} > 4 THEN {_D} * 2 - 9 ELSE {_D} * 2 END"
+LUHN = f"list_sum(list_transform(range(1, length({DIGITS}) + 1), lambda j: CASE WHEN (length({DIGITS}) - j) % 2 = 1 THEN {_TWICE} ELSE {_D} END)) % 10 = 0"
 PLAIN = "replace(m, ' ', '')"
 TURNED = f"(substr({PLAIN}, 5) || substr({PLAIN}, 1, 4))"
 MOD97 = f"list_reduce(list_prepend(0, list_transform(string_split({TURNED}, ''), lambda c: CASE WHEN ord(c) >= 65 THEN ord(c) - 55 ELSE ord(c) - 48 END)), lambda a, v: CASE WHEN v >= 10 THEN (a * 100 + v) % 97 ELSE (a * 10 + v) % 97 END) = 1"
+AROUND = "lower(substr(t, greatest(s - 40, 0) + 1, least(s, 40)) || chr(10) || substr(t, s + length(m) + 1, 40))"
+_COUNTRIES = [
+    (15, "NO"), (16, "BE"), (18, "DK|FO|FI|GL|NL|SD|FK"), (19, "MK|SI"), (20, "AT|BA|EE|KZ|XK|LT|LU|MN"), (21, "HR|LV|LI|CH"), (22, "BH|BG|CR|GE|DE|IE|ME|RS|GB|VA"),
+    (23, "GI|IL|IQ|TL|AE|SO|OM"), (24, "AD|CZ|MD|PK|RO|SA|SK|ES|SE|TN|VG"), (25, "LY|PT|ST"), (26, "IS|TR"), (27, "BI|DJ|FR|GR|IT|MC|MR|SM"), (28, "AL|AZ|BY|CY|DO|GT|HU|LB|NI|PL|SV"),
+    (29, "BR|EG|PS|QA|UA"), (30, "JO|KW|MU|YE"), (31, "MT|SC"), (32, "LC"), (33, "RU"),
+]
+IBAN = "|".join(f"(?:{c})[0-9][0-9](?: ?[A-Z0-9]){{{n - 4}}}" for n, c in _COUNTRIES)
 KINDS = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
     ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", rf"regexp_full_match(m, '{OCTET}(?:\.{OCTET}){{3}}')"),
     ("card", r"[0-9](?:[\x20-]?[0-9])+", f"length({DIGITS}) BETWEEN 13 AND 19 AND {LUHN}"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({DIGITS}) BETWEEN 9 AND 15"),
-    ("iban", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}", MOD97),
-    ("secret", r"[0-9a-f]{32,}", "regexp_matches(lower(substr(t, greatest(s - 40, 0) + 1, least(s, 40))), 'token|secret|key|passw|bearer')"),
-    ("tel", r"\(?[0-9]{3}\)?[\x20-][0-9]{3}-[0-9]{4}", "regexp_matches(lower(substr(t, greatest(s - 40, 0) + 1, least(s, 40))), 'tel|phone|call|fax|mobil')"),
+    ("iban", IBAN, MOD97),
+    ("secret", r"[0-9a-f]{32,}", f"regexp_matches({AROUND}, 'token|secret|key|passw|bearer')"),
+    ("tel", r"\(?[0-9]{3}\)?[\x20-][0-9]{3}-[0-9]{4}", f"regexp_matches({AROUND}, 'tel|phone|call|fax|mobil')"),
 ]
 _LISTED = " UNION ALL ".join(f"SELECT k, t, '{n}' AS kind, {o} AS place, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS gs FROM d WHERE regexp_matches(t, '{p}')" for o, (n, p, _) in enumerate(KINDS))
 _SPAN = "kind || ':' || s || ':' || s + length(m)"
@@ -32,15 +41,15 @@ SELECT doc_id, {', '.join(f'coalesce(n_{n}, 0) AS n_{n}' for n, _, _ in KINDS[:4
 """
 
 LINE_RULES = rf"""
-WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(source, '<none>') AS host, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(source, '<none>') AS host, coalesce(text, '') AS t, coalesce('id ' || doc_id, 'text ' || coalesce(text, '')) AS document FROM documents),
 w AS (SELECT *, list_filter(string_split_regex(t, '{SPACE}+'), lambda x: x <> '') AS ws FROM d),
 places AS (SELECT k, i, array_to_string(ws[i:i + 4], ' ') AS five FROM (SELECT k, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
 twice AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, five) AS n FROM places) WHERE n > 1),
 repeats AS (SELECT k, count(DISTINCT i + j) AS n_repeat_words FROM twice, range(0, 5) r(j) GROUP BY k),
-lines AS (SELECT k, host, t, line, regexp_replace(lower(trim(regexp_replace(line, '{SPACE}+', ' ', 'g'))), '[0-9]+', '0', 'g') AS norm, len(list_filter(string_split_regex(line, '{SPACE}+'), lambda x: x <> '')) AS n FROM (SELECT k, host, t, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+lines AS (SELECT k, host, document, line, regexp_replace(lower(trim(regexp_replace(line, '{SPACE}+', ' ', 'g'))), '[0-9]+', '0', 'g') AS norm, len(list_filter(string_split_regex(line, '{SPACE}+'), lambda x: x <> '')) AS n FROM (SELECT k, host, document, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dups AS (SELECT k, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY k),
-hosts AS (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host),
-common AS (SELECT host, norm FROM lines JOIN hosts USING (host) GROUP BY host, norm, docs HAVING count(DISTINCT t) > 10 AND count(DISTINCT t) > 0.01 * docs),
+hosts AS (SELECT host, count(DISTINCT document) AS docs FROM d GROUP BY host),
+common AS (SELECT host, norm FROM lines JOIN hosts USING (host) GROUP BY host, norm, docs HAVING count(DISTINCT document) > 10 AND count(DISTINCT document) > 0.01 * docs),
 gone AS (SELECT k, sum(n) AS n_removed_words FROM lines JOIN common USING (host, norm) GROUP BY k),
 c AS (SELECT doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, cast(coalesce(n_removed_words, 0) AS bigint) AS n_removed_words
   FROM w LEFT JOIN dups USING (k) LEFT JOIN repeats USING (k) LEFT JOIN gone USING (k)),

@@ -17,7 +17,13 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}"
+# How long the account numbers of the IBAN registry's countries are.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FO FI GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ XK LT LU MN", 21: "HR LV LI CH", 22: "BH BG CR GE DE IE ME RS GB VA",
+    23: "GI IL IQ TL AE SO OM", 24: "AD CZ MD PK RO SA SK ES SE TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = "(?:" + "|".join(f"(?:{'|'.join(c.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + ")"
 SECRET = r"(?:(?<![0-9a-f])|\G)[0-9a-f]{32,}+"
 TEL = r"\(?[0-9]{3}\)?[\x20-][0-9]{3}-[0-9]{4}"
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
@@ -81,7 +87,7 @@ SPANS = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
 def find(text: Column, kind: Kind, least: float, near: int) -> Column:
-    """Spans of one kind in text, in order; `near` code points before a span are searched for its context words."""
+    """Spans of one kind in text, in order; `near` code points before and after a span are searched for its context words."""
     gaps = F.zip_with(F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("out"))
 
@@ -96,8 +102,9 @@ def find(text: Column, kind: Kind, least: float, near: int) -> Column:
         found = F.filter(found, lambda x: kind.valid(x["m"]))
 
     def scored(x: Column) -> Column:
-        before = F.lower(F.substring(text, F.greatest(x["start"] - near, F.lit(0)) + 1, F.least(x["start"], F.lit(near))))
-        score = F.lit(kind.score) + F.when(F.regexp_like(before, F.lit(kind.context)), F.lit(kind.gain)).otherwise(F.lit(0.0))
+        before = F.substring(text, F.greatest(x["start"] - near, F.lit(0)) + 1, F.least(x["start"], F.lit(near)))
+        around = F.lower(F.concat(before, F.lit("\n"), F.substring(text, x["end"] + 1, F.lit(near))))
+        score = F.lit(kind.score) + F.when(F.regexp_like(around, F.lit(kind.context)), F.lit(kind.gain)).otherwise(F.lit(0.0))
         return F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), score.alias("score"))
 
     out = F.transform(found, scored)

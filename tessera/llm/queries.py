@@ -37,7 +37,7 @@ def op4_epsilon_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_rules.line_frequency_rules(_table(spark, sf_dir, "documents"))
+    found = line_rules.line_frequency_rules(_table(spark, sf_dir, "documents"), keep_text=False)
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
 
 

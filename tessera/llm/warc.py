@@ -1,13 +1,17 @@
 """WARC derivatives: metadata and plain-text conversion records linked to the responses they come from.
 
 Records are rows: warc_type, record_id, headers (named WARC fields, a map) and block (what follows
-the fields). Blocks are text; lengths and digests count their UTF-8 bytes.
+the fields). Blocks that are made here are text; lengths and digests count their UTF-8 bytes. Blocks
+that are read are binary, and what is derived from them goes by their bytes.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import re
 from collections.abc import Iterator
+from itertools import groupby
 from html import unescape
 from urllib.parse import urljoin
 
@@ -85,35 +89,60 @@ def page_parts(body: str, base: str) -> tuple[str, str | None, list[str]]:
     return "\n".join(lines), " ".join(unescape(title[1]).split()) if title else None, links
 
 
+CONTENT_TYPE = re.compile(r"^content-type:\s*([^;\r\n]*)(?:[^\r\n]*?charset\s*=\s*\"?([\w.:-]+))?", re.I | re.M)
+META_CHARSET = re.compile(rb"<meta[^>]+charset\s*=\s*[\"']?([\w.:-]+)", re.I)
+
+
+def decoded(body: bytes, charset: str | None) -> str:
+    """The text of a body: by the named character set, else the one a meta element names in its first 1024 bytes, else UTF-8."""
+    if not charset and (meta := META_CHARSET.search(body[:1024])):
+        charset = meta[1].decode("ascii", "replace")
+    try:
+        return body.decode(charset or "utf-8", "replace")
+    except LookupError:
+        return body.decode("utf-8", "replace")
+
+
+def response_parts(block: bytes, base: str) -> tuple[str, str, str, str | None, list[str]]:
+    """HTTP head, payload digest, plain text, title and links of a response's block."""
+    head, _, body = block.partition(b"\r\n\r\n")
+    head_text = head.decode("utf-8", "replace")
+    kind = CONTENT_TYPE.search(head_text)
+    text, title, links = decoded(body, kind[2] if kind else None), None, []
+    if not kind or kind[1].strip().lower() in ("text/html", "application/xhtml+xml"):
+        text, title, links = page_parts(text, base)
+    elif not kind[1].lower().startswith("text/"):
+        text = ""
+    return head_text, "sha1:" + base64.b32encode(hashlib.sha1(body).digest()).decode(), text, title, links
+
+
 def derive(records: DataFrame) -> DataFrame:
     """For each response a metadata record and a conversion record; other records and clashing columns are left out.
 
     Both refer to the response (WARC-Refers-To, with its URI and date), carry its payload digest (its own
-    field, or computed where it has none) and name each other (WARC-Concurrent-To). The metadata block keeps the
+    field, or computed from its bytes where it has none) and name each other (WARC-Concurrent-To). The metadata block keeps the
     response's status line and HTTP headers, its title and its links in page order; the conversion block is the
-    plain text of HTML, or any other text payload as it is. Columns of records besides warc_type, record_id,
-    headers and block stay. Null blocks are empty; repeated responses give repeated records.
+    plain text of HTML, any other text payload as it is, or empty for other payloads. Columns of records besides warc_type, record_id,
+    headers, fields and block stay. Null blocks are empty; repeated responses give repeated records, which share their ids; an
+    empty table gives none.
     """
-    names = [c for c in records.columns if c not in ("warc_type", "record_id", "headers", "block", "refers_to")]
-    source = records.where("warc_type = 'response'").withColumn("block", F.coalesce(F.col("block").cast("string"), F.lit("")))
-    source = source.withColumn("_head", F.substring_index("block", CRLF * 2, 1))
-    source = source.withColumn("_body", F.expr("substring(block, length(_head) + 5, length(block))")).drop("block")
+    names = [c for c in records.columns if c not in ("warc_type", "record_id", "headers", "block", "refers_to", "fields")]
+    source = records.where("warc_type = 'response'").withColumn("block", F.coalesce(F.col("block").cast("binary"), F.lit("").cast("binary"))).select(*names, "record_id", "headers", "block")
     order = source.columns
-    schema = source.withColumns({"_text": F.lit(None).cast("string"), "_title": F.lit(None).cast("string"), "_links": F.lit(None).cast("array<string>")}).schema
+    null = F.lit(None).cast("string")
+    schema = source.drop("block").withColumns({"_head": null, "_own": null, "_text": null, "_title": null, "_links": F.lit(None).cast("array<string>")}).schema
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, titles, links = [], [], []
-            for head, body, named in zip(*(batch.column(order.index(c)).to_pylist() for c in ("_head", "_body", "headers"))):
-                text, title, found = body, None, []
-                if re.search(r"^content-type:\s*(text/html|application/xhtml)", head, re.I | re.M) or not re.search("^content-type:", head, re.I | re.M):
-                    text, title, found = page_parts(body, dict(named or ()).get("WARC-Target-URI") or "")
-                texts.append(text), titles.append(title), links.append(found)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(titles, pa.string()), pa.array(links, pa.list_(pa.string()))], names=schema.names)
+            blocks, headers = (batch.column(order.index(c)).to_pylist() for c in ("block", "headers"))
+            parts = [response_parts(block, dict(named or ()).get("WARC-Target-URI") or "") for block, named in zip(blocks, headers)]
+            columns = list(zip(*parts)) or [[]] * 5
+            made = [pa.array(list(c), k) for c, k in zip(columns, [pa.string()] * 4 + [pa.list_(pa.string())])]
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k, c in enumerate(order) if c != "block"] + made, names=schema.names)
 
     read_ = source.mapInArrow(read, schema)
     header = lambda name: F.element_at("headers", F.lit(name))
-    read_ = read_.withColumns({"_digest": F.coalesce(header("WARC-Payload-Digest"), sha1_base32(F.col("_body"))), "_metadata_id": urn(F.lit("metadata"), F.col("record_id")), "_conversion_id": urn(F.lit("conversion"), F.col("record_id"))})
+    read_ = read_.withColumns({"_digest": F.coalesce(header("WARC-Payload-Digest"), "_own"), "_metadata_id": urn(F.lit("metadata"), F.col("record_id")), "_conversion_id": urn(F.lit("conversion"), F.col("record_id"))})
     named = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value))
     metadata = F.concat_ws(
         CRLF,
@@ -137,23 +166,88 @@ def derive(records: DataFrame) -> DataFrame:
 
 
 def serialize(records: DataFrame) -> Column:
-    """The bytes of a record as text, without the two line ends that close it."""
-    named = F.transform(F.map_entries("headers"), lambda x: F.concat_ws(": ", x["key"], x["value"]))
-    return F.concat(F.concat_ws(CRLF, F.lit(VERSION), F.concat(F.lit("WARC-Type: "), F.col("warc_type")), F.concat(F.lit("WARC-Record-ID: "), F.col("record_id")), named), F.lit(CRLF * 2), F.coalesce("block", F.lit("")))
+    """The bytes of a record, without the two line ends that close it. `fields`, where there, has all named fields in order."""
+    listed = F.transform("fields", lambda x: F.concat_ws(": ", x["name"], x["value"])) if "fields" in records.columns else F.transform(F.map_entries("headers"), lambda x: F.concat_ws(": ", x["key"], x["value"]))
+    head = F.concat(F.concat_ws(CRLF, F.lit(VERSION), F.concat(F.lit("WARC-Type: "), F.col("warc_type")), F.concat(F.lit("WARC-Record-ID: "), F.col("record_id")), listed), F.lit(CRLF * 2))
+    return F.concat(head.cast("binary"), F.coalesce(F.col("block").cast("binary"), F.lit("").cast("binary")))
 
 
 def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Write records as WARC files: each is followed by two line ends, which Spark's text writer adds."""
-    records.select(serialize(records).alias("value")).write.option("lineSep", CRLF * 2).option("compression", compression).text(path)
+    """Write records as WARC files: each is followed by two line ends, which Spark's text writer adds. Bytes are written as they are."""
+    records.select(serialize(records).cast("string").alias("value")).write.option("lineSep", CRLF * 2).option("compression", compression).text(path)
+
+
+RECORD = "warc_type string, record_id string, headers map<string,string>, fields array<struct<name:string,value:string>>, block binary"
+VERSION_LINE = re.compile(rb"WARC/[0-9.]+\s*\Z")
+
+
+def records_in(chunks: Iterator[bytes]) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """(named fields, block) of the records in a file's bytes, cut by Content-Length; a file that ends early gives what it has.
+
+    Between records lines are skipped until one holds a version alone. A field's continuation lines are joined by one space.
+    """
+    buffer, done = bytearray(), False
+
+    def more() -> bool:
+        nonlocal done
+        chunk = next(chunks, None)
+        done = chunk is None
+        buffer.extend(chunk or b"")
+        return not done
+
+    def line() -> bytes | None:
+        at = 0
+        while (end := buffer.find(b"\n", at)) < 0:
+            at = len(buffer)
+            if done or not more():
+                rest = bytes(buffer)
+                buffer.clear()
+                return rest or None
+        found = bytes(buffer[: end + 1])
+        del buffer[: end + 1]
+        return found
+
+    while (found := line()) is not None:
+        if not VERSION_LINE.match(found):
+            continue
+        fields: list[tuple[str, str]] = []
+        while (found := line()) is not None and found.strip():
+            text = found.rstrip(b"\r\n").decode("utf-8", "replace")
+            if text[0] in " \t" and fields:
+                fields[-1] = (fields[-1][0], f"{fields[-1][1]} {text.strip()}")
+            else:
+                name, _, value = text.partition(":")
+                fields.append((name.strip(), value.strip()))
+        size = next((int(v) for n, v in fields if n.lower() == "content-length" and v.isdigit()), 0)
+        while len(buffer) < size and not done and more():
+            pass
+        yield fields, bytes(buffer[:size])
+        del buffer[:size]
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files: warc_type, record_id, headers, block. A block must not hold the version line itself."""
-    rows = spark.read.option("lineSep", VERSION + CRLF).text(path).where("length(value) > 0")
-    head = F.substring_index("value", CRLF * 2, 1)
-    pairs = F.transform(F.split(head, CRLF), lambda x: F.struct(F.substring_index(x, ": ", 1).alias("k"), x.alias("v")))
-    entries = F.transform(pairs, lambda x: F.struct(x["k"].alias("k"), F.substring(x["v"], F.length(x["k"]) + 3, F.length(x["v"])).alias("v")))
-    rows = rows.withColumn("headers", F.map_from_entries(entries)).withColumn("block", F.expr("substring(value, length(substring_index(value, '\\r\\n\\r\\n', 1)) + 5, length(value))"))
-    rows = rows.withColumn("block", F.regexp_replace("block", "\r\n\r\n\\z", ""))
-    drop = ("WARC-Type", "WARC-Record-ID")
-    return rows.select(F.element_at("headers", F.lit(drop[0])).alias("warc_type"), F.element_at("headers", F.lit(drop[1])).alias("record_id"), F.map_filter("headers", lambda k, v: ~k.isin(*drop)).alias("headers"), "block")
+    """Records of WARC files, of any version and with any bytes: warc_type, record_id, headers, fields, block (binary).
+
+    headers has the first value of each name but type and id, fields every field in order, repeated
+    ones too. Gzipped files (*.gz) are read as a stream of lines, one task a file, with one record in memory at a
+    time. Others are read whole, so they should be no larger than a task's memory allows.
+    """
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((p, v) for batch in batches for p, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        for _, own in groupby(rows, key=lambda r: r[0]):
+            for fields, block in records_in(v for _, v in own):
+                first = dict(reversed([(n, v) for n, v in fields]))
+                kept = [(n, v) for n, v in fields if n not in ("WARC-Type", "WARC-Record-ID")]
+                row = {"warc_type": first.get("WARC-Type"), "record_id": first.get("WARC-Record-ID"), "headers": list(dict(reversed(kept)).items())[::-1], "fields": [{"name": n, "value": v} for n, v in kept], "block": block}
+                yield pa.RecordBatch.from_pylist([row], schema=_RECORD_ARROW)
+
+    streamed = spark.read.option("pathGlobFilter", "*.gz").option("lineSep", "\n").text(path)
+    streamed = streamed.select(F.col("_metadata.file_path").alias("file"), F.concat(F.col("value").cast("binary"), F.lit("\n").cast("binary")).alias("bytes"))
+    whole = spark.read.format("binaryFile").option("pathGlobFilter", "*[!z]").load(path).select(F.col("path").alias("file"), F.col("content").alias("bytes"))
+    return streamed.mapInArrow(parse, RECORD).unionByName(whole.mapInArrow(parse, RECORD))
+
+
+_RECORD_ARROW = pa.schema(
+    [("warc_type", pa.string()), ("record_id", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("fields", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("block", pa.binary())]
+)

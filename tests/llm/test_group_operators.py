@@ -152,6 +152,65 @@ def test_cotraining(spark):
     assert cotraining.classify(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def auc(pairs):
+    good, bad = [m for m, y in pairs if y], [m for m, y in pairs if not y]
+    return sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+
+
+def test_exchange_helps(spark):
+    """Few labels, a host that tells the class, and texts of many words: what the host knows teaches the text view the words."""
+    rng = random.Random(11)
+    vocabulary = {y: [words(1, 1000 * y + k) for k in range(150)] for y in (0, 1)}
+    truth = {k: k % 2 for k in range(800)}
+    rows = [(k, " ".join(rng.choices(vocabulary[y], k=4) + [words(1, 9000 + rng.randint(0, 500)) for _ in range(12)]), "en", f"host{y}", 100) for k, y in truth.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, truth[k]) for k in range(40)], "doc_id long, quality int")
+    score = {}
+    for rounds in (0, 2):
+        model = cotraining.fit(docs, labels, rounds=rounds, sure=1.0)
+        score[rounds] = auc([(r._t, truth[r.doc_id]) for r in model.margins(docs).where("doc_id >= 40").select("doc_id", "_t").collect()])
+    assert score[2] > score[0] + 0.02 and score[2] > 0.9, score
+
+
+def test_text_margin_is_the_vectors(spark):
+    texts = ["", None, "one", words(50, 1), "A B !! ### | 12 ÉTÉ 字", "x " * 300, words(20_000, 4)]
+    weights = np.random.default_rng(5).normal(size=cotraining.BUCKETS + len(cotraining.STYLE))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r._t for r in cotraining.with_text_margin(df, weights, 0.5).collect()}
+    for k, t in enumerate(texts):
+        v = cotraining.text_vector(t)
+        assert np.isclose(got[k], 0.5 + v.values @ weights[v.indices])
+    w = words(50, 1).split()
+    buckets, n, _ = cotraining.text_parts(" ".join(w))
+    assert n == 50 and len(buckets) == 50 + len(" ".join(w)) and len(set(buckets[-50:].tolist())) <= len(set(w))
+
+
+def test_one_row_of_each_group(spark):
+    t, near = words(80, 1), words(80, 1) + " end"
+    rows = [(1, t, "a"), (1, t, "a"), (5, "a text of its own with more than five words", "b"), (5, t, "c"), (None, t, "d"), (None, t, "d"), (9, near, "e"), (None, "no id and no copy of it anywhere at all", "f"), (None, None, "g"), (2, "", "g"), (3, None, "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, best string").repartition(3)
+    got = sorted((r.doc_id or -1, r.text or "", r.best) for r in minhash.one_of_each(df).collect())
+    assert got == sorted([(1, t, "a"), (5, rows[2][1], "b"), (-1, rows[7][1], "f"), (2, "", "g")])
+    assert minhash.one_of_each(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_odd_rows(spark, tmp_path, stage):
+    """Nulls in any column, repeated rows and ids, empty texts, then an empty table."""
+    name, f = corpus_pipeline.STAGES[stage]
+    text = words(60, 1)
+    rows = [(1, text, "en", "a", 9), (1, text, "en", "a", 9), (None, words(60, 2), None, None, None), (3, None, "en", "a", None), (4, "", None, "b", 0), (1, words(60, 3), "en", None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = f(spark, docs, str(tmp_path)).collect()
+    long_ones = {text, rows[2][1], rows[5][1]}
+    if name == "packing":
+        assert len(got) == len(rows)
+    else:
+        assert {r.text for r in got} >= long_ones and sum(r.text == text for r in got) == (1 if name == "near_dedup" else 2)
+    assert f(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline(spark, tmp_path):
     docs, labels, bad = quality_tables(spark, 200)
     copy = docs.where("doc_id < 20").withColumn("doc_id", F.col("doc_id") + 5000)
@@ -166,7 +225,7 @@ def test_pipeline(spark, tmp_path):
         assert now.columns == corpus_pipeline.COLUMNS
         ids[name] = {r.doc_id for r in now.select("doc_id").collect()}
     good = {k for k in range(200) if not bad[k]}
-    assert len(ids["quality_classifier"] & good) >= len(good) * 0.98 and not ids["quality_classifier"] & {k for k in range(200) if bad[k] and k % 4} or len(ids["quality_classifier"] - good) < 30
+    assert len(ids["quality_classifier"] & good) >= len(good) * 0.98 and len(ids["quality_classifier"] & {k for k in range(200) if bad[k]}) <= 2
     assert not any(5000 <= k < 5020 for k in ids["near_dedup"]) and ids["pii"] == ids["near_dedup"]
     texts = {r.doc_id: r.text for r in now.collect()}
     assert not any("@" in t for t in texts.values())

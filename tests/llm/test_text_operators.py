@@ -1,12 +1,15 @@
 """Packing, personal data, line rules, language, pieces, pages and WARC against plain Python."""
 
 import base64
+import gzip
 import hashlib
+import html.parser
 import random
 import re
 import zlib
 from collections import Counter
 from itertools import product
+from urllib.parse import urljoin
 
 import numpy as np
 import pytest
@@ -33,13 +36,17 @@ EDGE = [(1, "", "en", "a"), (2, None, None, None), (3, "one", "en", "a"), (3, "o
 # --- packing
 
 
-def test_vocabulary_forms_agree():
+def contract_encoder():
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(vocab.vocabulary_path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
-    for t in ["", " a  b\n\n c", "Ünïcödé 字   x", "it's we'll I'M 12.5%", "<|endoftext|>", "\t\r\n  ", words(300, 3)]:
-        assert plain.encode(t, add_special_tokens=False).ids == vocab.byte_bpe().encode_ordinary(t)
+    return lambda t: plain.encode(t, add_special_tokens=False).ids
+
+
+def test_vocabulary_forms_agree():
+    want, got = contract_encoder(), vocab.byte_encoder()
+    for t in ["", " a  b\n\n c", "Ünïcödé 字   x", "it's we'll I'M 12.5%", "<|endoftext|>", "a<|endoftext|> b", "\t\r\n  ", words(300, 3)]:
+        assert got(t) == want(t)
 
 
 def test_pack_added_tokens_and_long_runs(spark):
@@ -54,7 +61,7 @@ def test_pack_added_tokens_and_long_runs(spark):
 
 
 def check_packing(rows, texts, capacity=1024):
-    encode = vocab.byte_bpe().encode_ordinary
+    encode = contract_encoder()
     want = Counter()
     for i, t in texts:
         ids = np.array([*encode(t or ""), 2], "<u4")
@@ -154,6 +161,7 @@ PII = [
     "a.b@c.de, x@y.z_q@r.st @@ a@b a@b.c.d@e.f", "ünï me@exa-mple.co.uk 字 1.2.3.4.5.6.7.8 256.1.1.1 0255.1.1.1 1.2.3", "4539 1488 0343 6467 and 4539148803436468 4539-1488-0343-6467",
     "+1 (017) 555-7713 +49 30 1234567 +123 +1234567890123456", "0" * 5000 + "@x.y " + "a" * 30_000 + "@" + "1." * 4000, "+" * 3000 + "1 2 3 4 5 6 7 8 9", "", None, "7 " * 9000,
     'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" iban GB82 WEST 1234 5698 7654 32 and GB82 WEST 1234 5698 7654 33', "call tel (206) 555-0143, not 206 555-0199 x",
+    "pay to DE89 3704 0044 0532 0130 00 BIC COBADEFF now", "DE89370400440532013000 2024", "a GB82WEST12345698765432 NO9386011117947 DE89370400440532013001", "(206) 555-0143 is my phone",
 ]
 
 
@@ -168,6 +176,7 @@ def test_pii_base_and_added(spark):
         assert [x for x in got if x.split(":")[0] in ("email", "ip", "card", "phone")] == [x for x in base.split(",") if x]
         assert [rows[k][f"n_{n}"] for n in ("email", "ip", "card", "phone")] == [sum(x[0] == n for x in want) for n in ("email", "ip", "card", "phone")]
     added = [x.split(":")[0] for x in rows[9].spans.split(",")]
+    assert [x for k in (11, 12, 13) for x in rows[k].spans.split(",") if x.startswith("iban")] == ["iban:7:34", "iban:0:22", "iban:2:24", "iban:25:40"] and "tel:0:14" in rows[14].spans
     assert added.count("secret") == 1 and added.count("iban") == 1 and "tel:9:23" in rows[10].spans
     assert pii.find_pii(df.limit(0)).count() == 0
 
@@ -210,7 +219,12 @@ def test_line_frequency(spark):
     assert all(got[k].n_removed_words == 7 and got[k].kept and got[k].clean == words(30, k) for k in range(30))
     assert not got[100].kept and got[100].n_removed_words == 63
     assert got[101].n_removed_words == got[102].n_removed_words == 0
-    assert all(got[200 + k].kept for k in range(40))  # exact copies are one document
+    assert not any(got[200 + k].kept for k in range(40))  # each copy is a document of its own
+    assert line_rules.line_frequency_rules(documents(spark, rows), count_texts=True).where("doc_id between 200 and 239 and kept").count() == 40
+    assert line_rules.line_frequency_rules(documents(spark, rows), keep_text=False).where("kept").count() == sum(r.kept for r in got.values())
+    same = [(7 if k % 2 else None, f"{words(30, k)}\n{common}", "en", "one") for k in range(40)]  # one id, and rows without one
+    assert {r.n_removed_words for r in line_rules.line_frequency_rules(documents(spark, same)).where("source = 'one'").collect()} == {7}
+    assert {r.n_removed_words for r in line_rules.line_frequency_rules(documents(spark, same[1::2])).collect()} == {0}
     assert line_rules.line_frequency_rules(documents(spark, [])).count() == 0
 
 
@@ -222,8 +236,8 @@ def test_near_copies_stay_once(spark):
     rows += [(1000 + k, f"{words(40, 8000 + k)}\n{banner}", "en", "hot") for k in range(100)]
     rows += [(2000 + k, "\n".join([banner] * 9 + [words(5, 9000 + k)]), "en", "hot") for k in range(3)]
     df = documents(spark, rows + rows[:2])
-    assert line_rules.line_frequency_rules(df).where("doc_id < 1000 and kept").count() == 0
-    assert line_rules.line_frequency_rules(df, copies_once=True).count() == len(rows) + 2
+    assert line_rules.line_frequency_rules(df, count_texts=True).where("doc_id < 1000 and kept").count() == 0
+    assert line_rules.line_frequency_rules(df, count_texts=True, copies_once=True).count() == len(rows) + 2
     ruled = corpus_pipeline.materialize(corpus_pipeline.quality_rules(spark, df, ""))
     kept = {r.doc_id: r.text for r in ruled.collect()}
     copies = [k for k in kept if k < 1000]
@@ -251,10 +265,94 @@ def test_main_text():
     assert html_text.main_text("<p " * 5000) == "" and len(html_text.main_text("<p>" + "word " * 50_000)) == 249_999
 
 
+LONG = [
+    "The council met on Tuesday to discuss the plan for the river crossing, and after a long debate it was put off until spring, when costs are known.",
+    "Engineers had warned that the old bridge would not carry heavy traffic for more than another ten years, so a decision can't wait for ever, they said.",
+]
+
+
+def test_main_text_layouts():
+    main, (one, two) = html_text.main_text, LONG
+    around = lambda body: f"<body><div>Home</div><div>About</div><div>Log in</div>{body}<div>Terms</div><div>Jobs</div></body>"
+    assert main(around(f"<div>{one}</div><div>{two}</div>")) == f"{one} {two}"
+    assert main(around(f"<h2>Bridge</h2><p>{one}</p><p>Yes.</p><p>{two}</p>")) == f"Bridge {one} Yes. {two}"
+    assert main("<article><p class='advert'>Buy now<p>text") == "text"
+    assert main(f"<article><p>{one}</p><section id='related-work'><p>Kept.</p></section></article>") == f"{one} Kept."
+    assert main("<article><p>if <math><mi>y</mi><mo>=</mo></math> then.</p></article>") == "if y= then."
+    assert main("<article><p>one</p></article><div>menu</div><article><p>two is longer</p></article>") == "one two is longer"
+    assert main("<main><h1>H</h1><p>intro</p><article>a<article>b</article></article></main>") == "H intro a b"
+    assert main("<article class='post category-promo has-sidebar'>text</article>") == "text"
+    assert main(f"<div class='sidebar-right'><p>{one}</p></div>") == one  # a hint on all there is tells nothing
+    assert main(f"<div class='sidebar'>{two} {two}</div><div class='page'><p>{one}</p></div>") == one
+    assert main("<article><table><tr><td>a<td>b<tr><td>c</table>d<ul><li>x<ul><li>y</ul><li>z</ul><dl><dt>t<dd>u</dl></article>") == "a b c d x y z t u"
+    assert main(f"<div>{one}</div>" + "<div><a href='/'>link text which is as long as a sentence would be, or longer</a></div>" * 9 + f"<div>{two}</div>") == f"{one} {two}"
+
+
+class PlainPage(html.parser.HTMLParser):
+    """Blocks (text, length outside of links) of pages whose tags are all closed."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.lines, self.text, self.linked, self.inside = [], "", 0, []
+        self.feed(page)
+        self.end_line()
+
+    def end_line(self):
+        if text := " ".join(self.text.split()):
+            self.lines.append((text, max(0, len(text) - self.linked)))
+        self.text, self.linked = "", 0
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_text.BLOCKS:
+            self.end_line()
+        self.inside.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in html_text.BLOCKS:
+            self.end_line()
+        self.inside.pop()
+
+    def handle_data(self, data):
+        self.text += data
+        self.linked += len(" ".join(data.split())) if "a" in self.inside else 0
+
+
+def plain_text(page, window=3, surge=0.5):
+    """Surge and dive points by the definition: windows of plain div lines, summed anew for each line."""
+    lines = PlainPage(page).lines
+    lengths = [n for _, n in lines]
+    level = surge * sum(n * n for n in lengths) / max(1, sum(lengths))
+    high = [i for i in range(len(lines)) if sum(lengths[max(0, i - 1) : i + 2]) >= level and sum(lengths[max(0, i - 1) : i + 2])]
+    runs, out = [], []
+    for i in high:
+        if runs and i - runs[-1][-1] <= window:
+            runs[-1].append(i)
+        else:
+            runs.append([i])
+    for run in runs:
+        own = [i for i in range(run[0], run[-1] + 1) if lengths[i] and (lengths[i] >= level / window or lines[i][0].endswith("."))]
+        if own:
+            out.append(lines[own[0] : own[-1] + 1])
+    most = max((sum(n for _, n in run) for run in out), default=0)
+    return " ".join(t for run in out if sum(n for _, n in run) >= 0.25 * most for t, _ in run)
+
+
+def test_main_text_like_the_definition():
+    for seed in range(300):
+        rng = random.Random(seed)
+        parts = []
+        for k in range(rng.randint(0, 25)):
+            text = words(rng.choice([1, 2, 3, 10, 40, 120]), seed * 100 + k) + rng.choice(["", "."])
+            parts.append(f"<div><a href='x'>{text}</a></div>" if rng.random() < 0.3 else f"<div>{text} <a href='y'>ab</a></div>" if rng.random() < 0.3 else f"<div>{text}</div>")
+        page = "<body>" + "".join(parts) + "</body>"
+        assert html_text.main_text(page) == plain_text(page), page
+
+
 def test_extract_text(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (2, None, None), (None, "v", "<p>x")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
-    got = sorted((r.page_id or 0, r.url, r.text, r.n_chars) for r in html_text.extract_text(df).collect())
-    assert got == [(0, "v", "x", 1), (1, "u", html_text.main_text(PAGE), 50), (2, None, "", 0), (2, None, "", 0)] or got[1][3] == len(got[1][2])
+    got = sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in html_text.extract_text(df).collect())
+    assert got == [(0, "v", "x", 1), (1, "u", html_text.main_text(PAGE), 50), (2, "", "", 0), (2, "", "", 0)]
+    assert html_text.extract_text(df.limit(0)).count() == 0
 
 
 # --- WARC
@@ -281,11 +379,69 @@ def test_warc_derivatives(spark, tmp_path):
     assert "outlink: http://x/q?a=1&b=2" in next(r.block for r in made if r.page_id == 3 and r.warc_type == "metadata")
     every = responses.drop("page_id").unionByName(warc.derive(responses).drop("page_id", "refers_to"))
     warc.write_warc(every, f"{tmp_path}/w")
-    key = lambda rows: sorted((r.record_id, r.warc_type, sorted(r.headers.items()), r.block) for r in rows)
+    key = lambda rows: sorted((r.record_id, r.warc_type, sorted(r.headers.items()), bytes(r.block) if isinstance(r.block, bytearray) else r.block.encode()) for r in rows)
     assert key(warc.read_warc(spark, f"{tmp_path}/w").collect()) == key(every.collect())
     assert warc.derive(responses.limit(0)).count() == 0
 
 
+class PlainLinks(html.parser.HTMLParser):
+    """Text lines and links of a page, by the standard library's parser."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.lines, self.text, self.links, self.skip = [], "", [], []
+        self.feed(page)
+        self.end_line()
+
+    def end_line(self):
+        if text := " ".join(self.text.split()):
+            self.lines.append(text)
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_text.BLOCKS:
+            self.end_line()
+        if tag in html_text.RAW:
+            self.skip.append(tag)
+        if tag == "a" and dict(attrs).get("href") is not None:
+            self.links.append(dict(attrs)["href"])
+
+    def handle_endtag(self, tag):
+        if tag in html_text.BLOCKS:
+            self.end_line()
+        if tag in self.skip:
+            self.skip.remove(tag)
+
+    def handle_data(self, data):
+        self.text += "" if self.skip else data
+
+
+def test_page_parts_like_the_standard_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("url", "html").collect()
+    for r in [*pages, ("http://h/", PAGE)]:
+        text, title, links = warc.page_parts(r[1], r[0])
+        plain = PlainLinks(r[1])
+        assert text.split("\n") == plain.lines and links == [urljoin(r[0], x) for x in plain.links] and title
+
+
+def test_read_warc_by_length(spark, tmp_path):
+    inner = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=iso-8859-1\r\n\r\n<p>caf\xe9 WARC/1.1\r\nWARC-Type: response\r\n\r\n\xff\x00</p>"
+    record = lambda version, name, block, more=b"": version + b"\r\nWARC-Type: response\r\nWARC-Record-ID: <" + name + b">\r\n" + more + b"Content-Length: " + str(len(block)).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+    twice = b"WARC-Concurrent-To: <x>\r\nWARC-Concurrent-To: <y>\r\nWARC-Note: a\r\n  b\r\n"
+    files = {"old.warc": record(b"WARC/1.0", b"a", inner, twice) + record(b"WARC/1.0", b"b", b"plain"), "none.warc": b"", "cut.warc": record(b"WARC/1.1", b"c", inner)[:-60]}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "zipped.warc.gz").write_bytes(gzip.compress(record(b"WARC/1.1", b"d", inner)) + gzip.compress(record(b"WARC/1.0", b"e", b"")))
+    rows = {r.record_id: r for r in warc.read_warc(spark, str(tmp_path)).collect()}
+    assert sorted(rows) == ["<a>", "<b>", "<c>", "<d>", "<e>"]
+    assert bytes(rows["<a>"].block) == bytes(rows["<d>"].block) == inner and bytes(rows["<b>"].block) == b"plain" and inner.startswith(bytes(rows["<c>"].block)) and not rows["<e>"].block
+    assert [f.value for f in rows["<a>"].fields if f.name == "WARC-Concurrent-To"] == ["<x>", "<y>"] and rows["<a>"].headers["WARC-Concurrent-To"] == "<x>" and rows["<a>"].headers["WARC-Note"] == "a b"
+    made = {(r.refers_to, r.warc_type): r for r in warc.derive(warc.read_warc(spark, str(tmp_path))).collect()}
+    assert made["<a>", "conversion"].block.startswith("café WARC/1.1\nWARC-Type") or made["<a>", "conversion"].block.startswith("café WARC/1.1 WARC-Type")
+    sha = "sha1:" + base64.b32encode(hashlib.sha1(inner.split(b"\r\n\r\n", 1)[1]).digest()).decode()
+    assert made["<a>", "metadata"].headers["WARC-Source-Payload-Digest"] == sha
+
+
 # --- language
 
 
@@ -310,8 +466,71 @@ def test_forward_sums_all_segmentations():
     for word in ["the", "été", "straße", "字x", "tion"]:
         got = language_id.word_scores([word, "other"], prob, None)[0]
         assert np.allclose(got, brute_word(word, pieces, prob))
-    long = "ab" * 32
-    assert np.isfinite(language_id.word_scores([long], prob, None)).all()
+
+
+def brute_counts(word, pieces, prob):
+    """Expected counts of one word's pieces by listing its segmentations."""
+    spelled = b" " + word.encode()
+    n, total, whole = len(spelled), np.zeros(len(prob)), 0.0
+    for cuts in product([0, 1], repeat=n - 1):
+        edges = [0, *(k + 1 for k, c in enumerate(cuts) if c), n]
+        ids = [pieces.get(spelled[a:z]) for a, z in zip(edges, edges[1:])]
+        if None not in ids:
+            p = np.prod([prob[i, 0] for i in ids])
+            whole += p
+            np.add.at(total, ids, p)
+    return total / whole
+
+
+def test_expected_counts_list_all_segmentations(monkeypatch):
+    table = language_id.piece_table(None)
+    size = len(table.hashes)
+    prob = np.random.default_rng(2).random((size + 1, 1)) / size
+    prob[-1] = 0
+    for longest in (language_id.LONG, 3):  # words laid out together, and each by itself
+        monkeypatch.setattr(language_id, "LONG", longest)
+        got = language_id.expected_counts(["house", "été"], np.array([2.0, 3.0]), prob, None)
+        assert np.allclose(got, 2 * brute_counts("house", PIECES(), prob) + 3 * brute_counts("été", PIECES(), prob))
+
+
+def PIECES():
+    keep = [p for p in sorted(vocab.byte_pieces(), key=vocab.byte_pieces().get) if len(p) == 1 or (lambda t: t == t.lower() and re.fullmatch(r" ?[^\W\d_]*", t))(p.decode("utf-8", "ignore"))]
+    return {p: k for k, p in enumerate(keep)}
+
+
+def test_long_words_are_scored_whole(monkeypatch):
+    size = len(language_id.piece_table(None).hashes)
+    prob = np.random.default_rng(3).random((size + 1, 2)) / size
+    prob[-1] = 0
+    some = ["".join(random.Random(k).choices("etaoins", k=k)) for k in (30, 55, 62)]
+    together = language_id.word_scores(some, prob, None)
+    monkeypatch.setattr(language_id, "LONG", 8)
+    assert np.allclose(language_id.word_scores(some, prob, None), together)
+    word = "".join(random.Random(9).choices("etaoins", k=40_000))
+    counts = language_id.long_counts(language_id.spelled(word), 1.0, prob[:, :1], None)
+    sizes = np.array([len(p) for p in PIECES()] + [0])
+    assert np.isclose(counts @ sizes, 40_001)  # every segmentation spells the whole word
+    assert language_id.words_of("a½ ² Ⅳ Bc９ " + "x" * 500) == ["a", "bc", "x" * 500]
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_every_query_on_odd_rows(spark, tmp_path, name):
+    """Nulls in any column, empty, repeated and clashing rows, then empty tables: every query gives its rows."""
+    rows = [(i, t, la, so) for i, t, la, so in EDGE if t is None or len(t) < 1000] + [(10 + k, words(40, k), "en", "a") for k in range(12)]
+    tables = {
+        "documents": documents(spark, rows), "labels": spark.createDataFrame([(10 + k, k % 2, 0) for k in range(12)] + [(None, 1, 0), (1, None, None)], "doc_id long, quality int, toxic int"),
+        "pages": spark.createDataFrame([(1, "http://h/1", PAGE), (None, None, None), (1, "http://h/1", PAGE), (2, "", "")], "page_id long, url string, html string"),
+        "embeddings": spark.createDataFrame([(1, [1.0, 0.0], 1), (2, [1.0, 0.01], None), (None, None, 1), (2, [1.0, 0.01], None)], "vec_id long, embedding array<float>, label int"),
+    }
+    own = {"1": ("pages", 2), "4": ("embeddings", 1), "7": ("pages", 1)}.get(name[2:].split("_")[0], ("documents", 1))
+    for kind, cut in (("odd", lambda t: t), ("empty", lambda t: t.limit(0))):
+        for table, df in tables.items():
+            cut(df).write.parquet(f"{tmp_path}/{kind}/{table}.parquet")
+        got = queries.queries()[name](spark, f"{tmp_path}/{kind}").collect()
+        assert len(got) == own[1] * cut(tables[own[0]]).count() if name != "op3_best_fit_packing" or kind == "empty" else len(got) >= len(rows)
+
+
+# --- language held out
 
 
 LANGS = {"xx": "the and with from house little water never", "yy": "der und mit von haus wenig wasser niemals"}
@@ -375,9 +594,3 @@ def test_nbest_decodes_like_the_model(spark):
 def test_queries_are_registered():
     names = list(queries.queries())
     assert sorted({int(re.match(r"op(\d+)_", n)[1]) for n in names}) == list(range(1, 11)) and len(names) == 10
-
-
-@pytest.mark.parametrize("name", ["op1_warc_derivatives", "op7_line_block_text"])
-def test_page_queries(spark, tmp_path, name):
-    spark.createDataFrame([(k, f"http://h/{k}", PAGE) for k in range(3)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    assert queries.queries()[name](spark, str(tmp_path)).count() == (6 if "1_" in name else 3)
