@@ -14,21 +14,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained views score as good. Labels are those of documents still there."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = cotraining.fit(materialize(cotraining.with_features(docs.select(*COLUMNS)).drop("text", "lang", "source", "n_chars")), labels)
-    return model.score(cotraining.with_features(docs.select(*COLUMNS))).where("score >= 0.5").select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    return cotraining.fit(docs, labels).score(docs).where("score >= 0.5").select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that keep the rules, without the lines that too many documents of their host share; what near copies share stays in one."""
-    kept = line_rules.line_frequency_rules(docs.select(*COLUMNS), copies_once=True).where("kept")
+    kept = line_rules.line_frequency_rules(docs.select(*COLUMNS), count_texts=True, copies_once=True).where("kept")
     text = line_rules.without_removed(F.col("text"), F.col("removed_lines"))
     return kept.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of exact and near copies (minhash.one_of_each)."""
+    return minhash.one_of_each(docs.select(*COLUMNS))
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
