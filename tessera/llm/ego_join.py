@@ -1,9 +1,9 @@
 """Near-duplicate embeddings by an epsilon grid order join.
 
 Unit vectors with cosine of at least t lie within eps = sqrt(2 - 2t) of each other. Vectors are
-sorted by the cells of a grid of side eps over their leading principal dimensions and cut into
-intervals; pairs of intervals are joined recursively, and those whose boxes are farther apart than
-eps in the grid's dimensions are skipped with all that they hold.
+sorted by the cells of a grid over their leading principal dimensions, whose side is a share of eps,
+and cut into tiles of short intervals. Pairs of tiles are joined recursively, and tiles, then
+intervals within them, whose boxes are farther apart than eps in the grid's dimensions are skipped with all that they hold.
 """
 
 from __future__ import annotations
@@ -25,8 +25,8 @@ def usable(embedding: Column) -> Column:
     return F.coalesce(finite & F.exists(embedding, lambda x: x != 0), F.lit(False))
 
 
-def principal_axes(vectors: DataFrame, dims: int, most_values: int = 2_000_000, most_rows: int = 20_000) -> dict[int, np.ndarray]:
-    """Leading principal directions of unit vectors by length, fitted on a bounded sample.
+def principal_axes(vectors: DataFrame, dims: int, most_values: int = 2_000_000, most_rows: int = 20_000) -> tuple[dict[int, np.ndarray], int]:
+    """Leading principal directions of unit vectors by length, fitted on a bounded sample, and the greatest length.
 
     The sample, rows with the smallest hashes, holds at most most_rows vectors and about most_values
     components. Axes only order and prune: whatever they are, no pair is lost.
@@ -42,11 +42,16 @@ def principal_axes(vectors: DataFrame, dims: int, most_values: int = 2_000_000,
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         _, directions = np.linalg.eigh(np.cov(x.T).reshape(length, length) if len(x) > 1 else np.eye(length))
         axes[length] = directions[:, ::-1][:, :dims]
-    return axes
+    return axes, widest
 
 
-def grid_ordered(vectors: DataFrame, axes: dict[int, np.ndarray], dims: int, eps: float) -> DataFrame:
-    """vec_id, packed doubles, length, cells and projections (both dims long; shorter vectors are padded with 0)."""
+def grid_ordered(vectors: DataFrame, axes: dict[int, np.ndarray], dims: int, side: float) -> DataFrame:
+    """vec_id, packed components, length, cells and projections (both dims long; shorter vectors are padded with 0).
+
+    Components are packed as they come, four bytes of a float and eight of a double, which loses nothing.
+    """
+    single = vectors.schema["embedding"].dataType.elementType.typeName() == "float"
+    kind = "<f4" if single else "<f8"
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,20 +61,21 @@ def grid_ordered(vectors: DataFrame, axes: dict[int, np.ndarray], dims: int, eps
                 axis = axes.get(len(x), np.eye(len(x))[:, :dims])
                 y = np.zeros(dims)
                 y[: axis.shape[1]] = (x / np.linalg.norm(x)) @ axis
-                packed.append(x.tobytes())
+                packed.append(x.astype(kind).tobytes())
                 lengths.append(len(x))
-                cells.append(np.floor(y / eps).astype(int).tolist())
+                cells.append(np.floor(y / side).astype(int).tolist())
                 places.append(y.tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array(lengths, pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.float64()))], names=["vec_id", "packed", "length", "cells", "place"])
+            columns = [pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array(lengths, pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array(places, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["vec_id", "packed", "length", "cells", "place"])
 
-    return vectors.select("vec_id", F.col("embedding").cast("array<double>")).mapInArrow(project, "vec_id long, packed binary, length int, cells array<int>, place array<double>")
+    return vectors.select("vec_id", "embedding").mapInArrow(project, "vec_id long, packed binary, length int, cells array<int>, place array<double>")
 
 
-BLOCK = "block long, length int, ids binary, packed binary, low array<double>, high array<double>"
+TILE = "tile long, length int, ids binary, packed binary, lows binary, highs binary, low array<double>, high array<double>"
 
 
-def blocks_of(ordered: DataFrame, rows: int, dims: int) -> DataFrame:
-    """Intervals of the grid order, of about `rows` vectors of one length each, with their boxes."""
+def tiles_of(ordered: DataFrame, rows: int, interval: int, dims: int) -> DataFrame:
+    """Tiles of the grid order, about `rows` vectors of one length each, with the boxes of their intervals and their own."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [b for b in batches if b.num_rows]
@@ -77,15 +83,18 @@ def blocks_of(ordered: DataFrame, rows: int, dims: int) -> DataFrame:
             return
         t = pa.Table.from_batches(found).to_pandas()
         for length, own in t.groupby("length", sort=True):
-            place = np.stack(own["place"].to_list())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([length], pa.int32()), pa.array([own["vec_id"].to_numpy(np.int64).tobytes()], pa.binary()), pa.array([b"".join(own["packed"])], pa.binary()), pa.array([place.min(0).tolist()]), pa.array([place.max(0).tolist()])],
-                names=["block", "length", "ids", "packed", "low", "high"],
-            )
+            cells, place = np.stack(own["cells"].to_list()), np.stack(own["place"].to_list())
+            order = np.lexsort(np.concatenate([place, cells], axis=1)[:, ::-1].T)
+            place, starts = place[order], np.arange(0, len(place), interval)
+            lows, highs = np.minimum.reduceat(place, starts), np.maximum.reduceat(place, starts)
+            packed = own["packed"].to_numpy()[order]
+            columns = [TaskContext.get().partitionId(), length, own["vec_id"].to_numpy(np.int64)[order].tobytes(), b"".join(packed), lows.tobytes(), highs.tobytes(), lows.min(0).tolist(), highs.max(0).tolist()]
+            kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 4, *[pa.list_(pa.float64())] * 2]
+            yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(columns, kinds)], names=["tile", "length", "ids", "packed", "lows", "highs", "low", "high"])
 
     n = max(1, -(-ordered.count() // rows))
     order = ["length", *(F.col("cells")[k] for k in range(dims)), *(F.col("place")[k] for k in range(dims)), "vec_id"]
-    return ordered.repartitionByRange(n, *order).mapInArrow(pack, BLOCK)
+    return ordered.repartitionByRange(n, *order).mapInArrow(pack, TILE)
 
 
 def gap(low_a: Column, high_a: Column, low_b: Column, high_b: Column) -> Column:
@@ -118,26 +127,35 @@ def interval_pairs(boxes: DataFrame, dims: int, eps: float, fan: int) -> DataFra
     return pairs
 
 
-def join_tiles(tiles: list[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]], same: bool, threshold: float, eps: float):
-    """Links between the blocks of two tiles (or within one): ids, links of each, smallest linked id.
+def near_intervals(low: np.ndarray, high: np.ndarray, lows: np.ndarray, highs: np.ndarray, eps: float) -> np.ndarray:
+    """Which of the boxes (lows, highs) are within eps of the box (low, high)."""
+    apart = np.maximum(0, np.maximum(low - highs, lows - high))
+    return (apart**2).sum(1) <= eps * eps
+
 
-    tiles: (side, block, length, ids, unit vectors, low, high). Blocks are joined in rows of 512 at a
-    time, so memory is bounded whatever their sizes; of the links only counts and labels are kept.
+def join_tiles(tiles: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]], same: bool, threshold: float, eps: float, interval: int):
+    """Links between two tiles (or within one): ids, links of each, smallest linked id, and how many pairs of intervals there were and were skipped.
+
+    tiles: (side, length, ids, unit vectors, lows, highs). An interval is joined with all those of the other
+    side that are near it in one product of matrices, so memory is bounded; of the links only counts and labels are kept.
     """
-    starts = np.cumsum([0] + [len(t[3]) for t in tiles])
-    ids = np.concatenate([t[3] for t in tiles])
-    links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
-    for p, (side, block, length, _, x, low, high) in enumerate(tiles):
-        for q, (side2, block2, length2, _, y, low2, high2) in enumerate(tiles):
+    starts = np.cumsum([0] + [len(t[2]) for t in tiles])
+    ids = np.concatenate([t[2] for t in tiles])
+    links, label, pairs, skipped = np.zeros(len(ids), np.int64), np.arange(len(ids)), 0, 0
+    for p, (side, length, _, x, lows, highs) in enumerate(tiles):
+        for q, (side2, length2, _, y, lows2, highs2) in enumerate(tiles):
             if length != length2 or (side, side2) != (0, 1 - same) or same and q < p:
                 continue
-            apart = np.maximum(0, np.maximum(low - high2, low2 - high))
-            if (apart**2).sum() > eps * eps:
-                continue
-            for r in range(0, len(x), 512):
-                u, v = np.nonzero(x[r : r + 512] @ y.T >= threshold)
-                u += starts[p] + r
-                v += starts[q]
+            for k in range(len(lows)):
+                near = near_intervals(lows[k], highs[k], lows2, highs2, eps)
+                if p == q:
+                    near[:k] = False
+                pairs, skipped = pairs + len(near) - k * (p == q), skipped + int((~near[k if p == q else 0 :]).sum())
+                at = np.flatnonzero(np.repeat(near, interval)[: len(y)])
+                if not at.size:
+                    continue
+                u, v = np.nonzero(x[k * interval : (k + 1) * interval] @ (y if at.size == len(y) else y[at]).T >= threshold)
+                u, v = u + starts[p] + k * interval, at[v] + starts[q]
                 other = (ids[u] != ids[v]) & ((u < v) if p == q else True)
                 u, v = u[other], v[other]
                 if u.size:
@@ -146,7 +164,7 @@ def join_tiles(tiles: list[tuple[int, int, int, np.ndarray, np.ndarray, np.ndarr
     at = np.flatnonzero(links)
     least = np.full(len(ids), np.iinfo(np.int64).max)
     np.minimum.at(least, label, ids)
-    return ids[at], links[at], least[label[at]]
+    return ids[at], links[at], least[label[at]], pairs, skipped
 
 
 def _relabel(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -161,38 +179,51 @@ def _relabel(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         label = parent[label]
 
 
-def similar_vectors(vectors: DataFrame, threshold: float = 0.95, dims: int = 8, rows: int = 512, per_tile: int = 8, fan: int = 8) -> DataFrame:
+def similar_vectors(vectors: DataFrame, threshold: float = 0.95, dims: int = 8, rows: int = 8192, interval: int = 64, fan: int = 8, fineness: float = 0.5, most_mb: int = 64) -> DataFrame:
     """Links and connected components of vectors by cosine of at least threshold, in double precision.
 
     vectors: vec_id, embedding; other columns are ignored. One row per row: vec_id, n_links (vectors with another vec_id linked
     directly), component_id (smallest vec_id reachable), kept (vec_id = component_id). Vectors that are
     null, zero or hold null or non-finite components, and rows without a vec_id, link with nothing; so do
-    vectors of different lengths with each other. Equal rows count as one vector. Links are never
+    vectors of different lengths with each other. Equal rows count as one vector; an empty table stays empty. Links are never
     listed: a group of n near copies gives n rows for each pair of tiles, not n squared.
+
+    Cells have a side of fineness times eps. A tile is a task's worth of the order: `rows` vectors, fewer where they would take more than
+    most_mb. Only tiles are dealt to tasks; within a pair of them, intervals are skipped by their own boxes.
     """
+    found = tile_links(vectors, threshold, dims, rows, interval, fan, fineness, most_mb).where("vec_id is not null")
+    n_links = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
+    components = connected_components(found.select("vec_id", "least")).select(F.col("node").alias("vec_id"), "component")
+    out = vectors.select(F.col("vec_id").cast("long")).join(n_links, "vec_id", "left").join(components, "vec_id", "left")
+    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def tile_links(vectors: DataFrame, threshold: float, dims: int, rows: int, interval: int, fan: int, fineness: float, most_mb: int) -> DataFrame:
+    """vec_id, links and least linked id for each pair of tiles, and a row without vec_id that tells how many pairs of intervals it had and skipped."""
     eps = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
-    good = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).dropDuplicates(["vec_id", "embedding"])
-    axes = principal_axes(good, dims)
-    ordered = materialize(grid_ordered(good, axes, dims, eps))
-    blocks = materialize(blocks_of(ordered, rows, dims)).withColumn("tile", F.floor(F.col("block") / per_tile).cast("long"))
+    element = vectors.schema["embedding"].dataType.elementType.typeName()
+    kind = "array<float>" if element == "float" else "array<double>"
+    good = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast(kind)).where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).dropDuplicates(["vec_id", "embedding"])
+    axes, widest = principal_axes(good, dims)
+    ordered = materialize(grid_ordered(good, axes, dims, eps * fineness))
+    tiles = materialize(tiles_of(ordered, max(interval, min(rows, (most_mb << 20) // (8 * widest))), interval, dims))
     ends = [f(F.col(c)[k]).alias(f"{c}{k}") for c, f in (("low", F.min), ("high", F.max)) for k in range(dims)]
-    boxes = blocks.groupBy("tile").agg(*ends).select("tile", *(F.array(*(f"{c}{k}" for k in range(dims))).alias(c) for c in ("low", "high")))
+    boxes = tiles.groupBy("tile").agg(*ends).select("tile", *(F.array(*(f"{c}{k}" for k in range(dims))).alias(c) for c in ("low", "high")))
     pairs = interval_pairs(boxes, dims, eps, fan)
     sides = pairs.select("a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side"))
     sides = sides.withColumn("tile", F.when(F.col("side") == 0, F.col("a")).otherwise(F.col("b")))
+    packed_as = "<f4" if kind == "array<float>" else "<f8"
 
     def join(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        tiles = []
-        for r in sorted(t.to_pylist(), key=lambda r: (r["side"], r["block"])):
-            x = np.frombuffer(r["packed"]).reshape(-1, r["length"])
-            tiles.append((r["side"], r["block"], r["length"], np.frombuffer(r["ids"], np.int64), x / np.linalg.norm(x, axis=1, keepdims=True), np.array(r["low"]), np.array(r["high"])))
-        ids, links, least = join_tiles(tiles, key[0].as_py() == key[1].as_py(), threshold, eps)
-        return pa.table({"vec_id": pa.array(ids, pa.int64()), "links": pa.array(links, pa.int64()), "least": pa.array(least, pa.int64())})
-
-    found = sides.join(blocks, "tile").groupBy("a", "b").applyInArrow(join, "vec_id long, links long, least long")
-    found = materialize(found)
-    n_links = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
-    components = connected_components(found.select("vec_id", "least")).select(F.col("node").alias("vec_id"), "component")
-    out = vectors.select(F.col("vec_id").cast("long")).join(n_links, "vec_id", "left").join(components, "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+        own = []
+        for r in sorted(t.to_pylist(), key=lambda r: (r["side"], r["length"])):
+            x = np.frombuffer(r["packed"], packed_as).reshape(-1, r["length"]).astype(float)
+            boxes = (np.frombuffer(r[c]).reshape(-1, dims) for c in ("lows", "highs"))
+            own.append((r["side"], r["length"], np.frombuffer(r["ids"], np.int64), x / np.linalg.norm(x, axis=1, keepdims=True), *boxes))
+        ids, links, least, pairs, skipped = join_tiles(own, key[0].as_py() == key[1].as_py(), threshold, eps, interval)
+        tell = [(int(i), int(n), int(m), None, None) for i, n, m in zip(ids, links, least)] + [(None, None, None, pairs, skipped)]
+        return pa.table([pa.array(list(c), pa.int64()) for c in zip(*tell)], names=["vec_id", "links", "least", "pairs", "skipped"])
+
+    found = sides.join(tiles.drop("low", "high"), "tile").groupBy("a", "b").applyInArrow(join, "vec_id long, links long, least long, pairs long, skipped long")
+    return materialize(found)

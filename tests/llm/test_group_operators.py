@@ -115,13 +115,24 @@ def test_similar_vectors(spark):
     rows = [(int(i), [float(c) for c in v], 0) for i, v in zip(ids, x)]
     odd = [(9001, None, 1), (9002, [0.0] * 16, 1), (9003, [float("nan")] + [1.0] * 15, 1), (9004, [float("inf")] * 16, 1), (9005, [None] + [1.0] * 15, 1), (9006, [1.0, 2.0], 1), (9007, [2.0, 4.0], 1), (9008, [], 1), (None, rows[0][1], 1), rows[0]]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int").withColumn("block", F.lit("clash"))
-    got = ego_join.similar_vectors(df, rows=64, per_tile=2, fan=3).collect()
+    got = ego_join.similar_vectors(df, rows=64, interval=16, fan=3).collect()
     want = brute_links(ids, x.astype(float)) | {k: (0, k) for k in (9001, 9002, 9003, 9004, 9005, 9008)} | {9006: (1, 9006), 9007: (1, 9006), None: (0, None)}
     assert len(got) == len(rows) + len(odd)
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
     assert ego_join.similar_vectors(df.limit(0)).count() == 0
 
 
+def test_distant_intervals_are_skipped(spark):
+    rng = np.random.default_rng(6)  # vectors spread over two dimensions: nearly all blocks are distant
+    angle = rng.random(2000) * 2 * np.pi
+    x = np.stack([np.cos(angle), np.sin(angle), *(rng.normal(size=(3, 2000)) * 0.01)], 1)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    pairs, skipped = ego_join.tile_links(df, 0.99, 4, 256, 16, 3, 0.5, 64).groupBy().sum("pairs", "skipped").first()
+    assert skipped > 0.3 * pairs
+    links = {r.vec_id: r.n_links for r in ego_join.similar_vectors(df, threshold=0.99, rows=256, interval=16, dims=4).collect()}
+    assert links == {k: n for k, (n, _) in brute_links(np.arange(2000), x, 0.99).items()}
+
+
 def test_distant_tiles_are_skipped(spark):
     boxes = spark.createDataFrame([(k, [float(k), 0.0], [k + 0.5, 1.0]) for k in range(20)], "tile long, low array<double>, high array<double>")
     got = {(r.a, r.b) for r in ego_join.interval_pairs(boxes, 2, 0.6, 3).collect()}
