@@ -377,6 +377,8 @@ def linked_texts(found: DataFrame, idf: Idf, threshold: float, block_texts: int,
     open_ = clustered.groupBy("band", "key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high"), F.min("digest").alias("first")).where("low <> high")
     rest = materialize(clustered.join(open_.select("band", "key", "first"), ["band", "key"]).select("digest", "shingles", "cluster", "first").distinct())
     discard(spark, members, clustered)
+    if rest.isEmpty():
+        return clusters
     near = materialize(connected_components(rest.select("digest", "first")))
     texts = rest.select("digest", "shingles", "cluster").distinct().join(near.select(F.col("node").alias("digest"), "component"), "digest")
     sized = texts.groupBy("component", "cluster").agg(F.count("*").alias("texts"), F.sum("shingles").alias("shingles"))
@@ -390,8 +392,15 @@ def linked_texts(found: DataFrame, idf: Idf, threshold: float, block_texts: int,
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("inside"), F.col("s")).otherwise(F.col("s") + F.col("g")).cast("int") - 1)))
     dealt = dealt.select("digest", "component", "cluster", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     more = materialize(_verify(dealt, found, ["component", "a", "b"], lambda _, a, b: a != b, idf, threshold))
-    discard(spark, rest, near, clusters)
-    return connected_components(links.union(more))
+    discard(spark, near)
+    if more.isEmpty():
+        return clusters
+    # what joins clusters is a smaller graph than the links; texts that were in none are clusters of their own
+    own = rest.select("digest", "cluster").distinct()
+    between = more.join(own.toDF("x", "p"), "x").join(own.toDF("y", "q"), "y").select("p", "q").distinct()
+    joined = connected_components(between).toDF("cluster", "merged")
+    every = clusters.toDF("node", "cluster").union(between.select(F.explode(F.array("p", "q")).alias("node")).select("node", "node")).groupBy("node").agg(F.min("cluster").alias("cluster"))
+    return every.join(joined, "cluster", "left").select("node", F.coalesce("merged", "cluster").alias("component"))
 
 
 def _groups(docs: DataFrame, threshold: float, words: int, bands: int, rows: int, smoothing: float, block_texts: int, block_shingles: int, most_mb: int) -> tuple[DataFrame, DataFrame]:
