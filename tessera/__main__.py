@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+import os
 
 from tessera.config import load_config
 from tessera.plans.project import Project
@@ -24,16 +25,26 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def start_logging(path: str) -> None:
+    """Log to the console and, where the folder is local, to a file."""
+    handlers: list[logging.Handler] = [logging.StreamHandler()]
+    if "://" not in path:
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        handlers.append(logging.FileHandler(path))
+    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(name)s %(message)s", handlers=handlers, force=True)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    logging.basicConfig(level=logging.INFO, format="%(asctime)s %(levelname)s %(name)s %(message)s")
-    spark, cfg = build_session(), load_config(args.config)
+    cfg = load_config(args.config)
+    start_logging(cfg.path("logs", "tessera.log"))
+    spark = build_session()
     project = Project(spark, cfg, LandingConnector(spark, args.landing) if args.landing else None)
     steps = ["ingest", "features", "labels", "validate", "train", "recommend", "backtest"] if args.command == "run-all" else [args.command]
     for step in steps:
         logging.info("running %s", step)
         if step == "ingest":
-            project.ingest(spark.read.option("header", True).csv(f"{args.landing}/listed"))
+            project.ingest(project.connector.listed())
         elif step == "recommend":
             project.recommend(args.start_date, args.end_date, args.latest_only)
         else:

@@ -27,16 +27,26 @@ def drifted_weights(weights: DataFrame, returns: DataFrame) -> DataFrame:
 
 
 def turnover(recommendations: DataFrame, returns: DataFrame) -> DataFrame:
-    """Turnover and gross return of every day that has recommendations."""
+    """Turnover and gross return of every day that has recommendations, and its regime.
+
+    A held row counts on its own day with its weight, and on the next day with what that has become:
+    one row gives both entries, so weights are made once and nothing is joined to itself.
+    """
     group = _group(recommendations)
-    weights = target_weights(recommendations)
-    days = recommendations.select(*group, "date").distinct()
+    days = recommendations.groupBy(*group, "date").agg(F.max("regime_state").alias("regime_state"))
     days = days.withColumn("next", F.lead("date").over(Window.partitionBy(*group).orderBy("date")))
-    held = drifted_weights(weights, returns).join(days, [*group, "date"]).where("next is not null")
-    now = weights.join(returns, ["date", "ticker"], "left").select(*group, "date", "ticker", F.col("weight").alias("w"), F.lit(0.0).alias("p"), (F.col("weight") * F.coalesce("next_day_return", F.lit(0.0))).alias("g"))
-    before = held.select(*group, F.col("next").alias("date"), "ticker", F.lit(0.0).alias("w"), F.col("drifted_weight").alias("p"), F.lit(0.0).alias("g"))
-    by_name = now.unionByName(before).groupBy(*group, "date", "ticker").agg(*(F.sum(c).alias(c) for c in "wpg"))
-    by_day = by_name.groupBy(*group, "date").agg(F.sum(F.abs(F.col("w") - F.col("p"))).alias("turnover"), F.sum("g").alias("gross_return"), F.count(F.when(F.col("w") > 0, 1)).alias("buy_count"))
+    day = Window.partitionBy(*group, "date")
+    held = target_weights(recommendations).join(returns, ["date", "ticker"], "left").withColumn("_r", F.coalesce("next_day_return", F.lit(0.0)))
+    held = held.withColumn("_all", F.sum(F.col("weight") * (1 + F.col("_r"))).over(day)).join(days.drop("regime_state"), [*group, "date"])
+    entry = lambda date, w, p, g: F.struct(date.alias("day"), w.alias("w"), p.alias("p"), g.alias("g"))
+    none, weight = F.lit(0.0), F.col("weight")
+    later = F.when((F.col("_all") > 0) & F.col("next").isNotNull(), entry(F.col("next"), none, weight * (1 + F.col("_r")) / F.col("_all"), none))
+    entries = F.filter(F.array(entry(F.col("date"), weight, none, weight * F.col("_r")), later), lambda x: x.isNotNull())
+    each = held.select(*group, "ticker", F.explode(entries).alias("x")).select(*group, "ticker", F.col("x.day").alias("date"), "x.w", "x.p", "x.g")
+    by_name = each.groupBy(*group, "date", "ticker").agg(*(F.sum(c).alias(c) for c in "wpg"))
+    by_day = by_name.groupBy(*group, "date").agg(
+        F.sum(F.abs(F.col("w") - F.col("p"))).alias("turnover"), F.sum("g").alias("gross_return"), F.count(F.when(F.col("w") > 0, 1)).alias("buy_count")
+    )
     return days.drop("next").join(by_day, [*group, "date"], "left").fillna(0, ["turnover", "gross_return", "buy_count"])
 
 
@@ -46,8 +56,7 @@ def backtest_daily(recommendations: DataFrame, returns: DataFrame, benchmark: Da
     returns: date, ticker, next_day_return; benchmark: date, benchmark_return, its own return to the next day.
     """
     group = _group(recommendations)
-    state = recommendations.groupBy(*group, "date").agg(F.max("regime_state").alias("regime_state"))
-    out = turnover(recommendations, returns).join(state, [*group, "date"]).join(benchmark, "date", "left")
+    out = turnover(recommendations, returns).join(benchmark, "date", "left")
     out = out.withColumn("cost", F.col("turnover") * cost_bps / 10_000).withColumn("net_return", F.col("gross_return") - F.col("cost"))
     so_far = Window.partitionBy(*group).orderBy("date").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     other = F.coalesce("benchmark_return", F.lit(0.0))

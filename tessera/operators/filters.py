@@ -16,6 +16,11 @@ def tickers_with_prices(prices: DataFrame) -> DataFrame:
     return prices.where(present & F.col("ticker").isNotNull()).select("ticker").distinct()
 
 
+def tickers_without_prices(listed: DataFrame, prices: DataFrame) -> DataFrame:
+    """Distinct listed tickers that have no price at all."""
+    return listed.select("ticker").where("ticker is not null").distinct().join(tickers_with_prices(prices), "ticker", "left_anti")
+
+
 def recent_tickers(prices: DataFrame, end: Column | str, max_age: int = 120) -> DataFrame:
     """Tickers whose last row, priced or not, is at most max_age days before end."""
     limit = F.date_sub(F.to_date(F.lit(end)) if isinstance(end, str) else end, max_age)

@@ -60,6 +60,23 @@ def recommend(scored: DataFrame, buy_fraction: float = 0.10, min_buys: int = 1,
     return out.select(*(c for c in OUTPUT if c in out.columns))
 
 
+def in_order(decided: DataFrame) -> DataFrame:
+    """Recommendations by date, horizon, model and rank, unranked rows last by ticker."""
+    keys = [c for c in ("date", "horizon", "model_name") if c in decided.columns]
+    return decided.orderBy(*keys, F.col("rank").asc_nulls_last(), "ticker")
+
+
+def per_horizon(frame: DataFrame, horizons: dict[str, int]) -> DataFrame:
+    """Each row of frame once for every horizon."""
+    rows = F.array(*(F.struct(F.lit(n).alias("horizon"), F.lit(k).alias("horizon_days")) for n, k in horizons.items()))
+    return frame.withColumn("_h", F.explode(rows)).withColumns({"horizon": F.col("_h.horizon"), "horizon_days": F.col("_h.horizon_days")}).drop("_h")
+
+
+def with_features(predictions: DataFrame, features: DataFrame) -> DataFrame:
+    """predictions with their (date, ticker)'s features; NULLs where there are none."""
+    return predictions.join(features, ["date", "ticker"], "left")
+
+
 def latest_slice(features: DataFrame, start: str | None = None, end: str | None = None, latest_only: bool = False) -> DataFrame:
     """Rows within the bounds (inclusive), or of the last date where there are none or only that is wanted."""
     if latest_only or start is None and end is None:

@@ -9,17 +9,19 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.config import Baseline, Config, Ranker
+from tessera.config import Section, Settings, settings
 from tessera.operators import filters as fl
 from tessera.operators import metrics as mt
 from tessera.operators.features import BINARY, CONTINUOUS
+from tessera.staging import staged, staging_path
 
 KEYS = ["date", "ticker", "horizon"]
 TARGETS = ["target_rank", "target_class", "forward_return", "forward_excess_return", "daily_median_forward_return"]
+FIT = ["horizon", "split", "model_name"]
 
 
 def feature_columns(frame: DataFrame) -> list[str]:
@@ -32,26 +34,71 @@ def _numeric(frame: DataFrame, columns: list[str]) -> DataFrame:
     return frame.withColumns({c: F.col(c).cast("double") for c in columns})
 
 
-def baseline(frame: DataFrame, columns: list[str], cfg: Baseline = Baseline()) -> PipelineModel:
+def _assembled(columns: list[str], out: str) -> list:
+    """Medians for gaps, then one vector."""
+    return [Imputer(strategy="median", inputCols=columns, outputCols=[f"_{c}" for c in columns]), VectorAssembler(inputCols=[f"_{c}" for c in columns], outputCol=out, handleInvalid="keep")]
+
+
+def baseline(frame: DataFrame, columns: list[str], cfg: Section | None = None) -> PipelineModel:
     """Medians for gaps, standard scores, and ridge logistic regression with balanced class weights."""
+    cfg = cfg or settings().model.baseline
     frame = _numeric(frame, columns).withColumn("label", F.col("target_class").cast("double"))
     n, positive = frame.agg(F.count("*"), F.sum("label")).first()
     weight = F.when(F.col("label") == 1, n / (2 * max(positive or 0, 1))).otherwise(n / (2 * max(n - (positive or 0), 1)))
-    stages = [
-        Imputer(strategy="median", inputCols=columns, outputCols=[f"_{c}" for c in columns]),
-        VectorAssembler(inputCols=[f"_{c}" for c in columns], outputCol="_v", handleInvalid="keep"),
-        StandardScaler(inputCol="_v", outputCol="_x", withMean=True),
-        LogisticRegression(featuresCol="_x", labelCol="label", weightCol="_weight", regParam=1 / (cfg.C * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=cfg.max_iter),
-    ]
-    return Pipeline(stages=stages).fit(frame.withColumn("_weight", weight))
+    fit = LogisticRegression(featuresCol="_x", labelCol="label", weightCol="_weight", regParam=1 / (cfg.C * max(n, 1)), elasticNetParam=0.0, standardization=False, maxIter=cfg.max_iter)
+    return Pipeline(stages=[*_assembled(columns, "_v"), StandardScaler(inputCol="_v", outputCol="_x", withMean=True), fit]).fit(frame.withColumn("_weight", weight))
+
+
+def ranker(frame: DataFrame, columns: list[str], cfg: Section | None = None, trees: int | None = None) -> PipelineModel:
+    """Boosted trees that rank each date's rows (backend listwise), or learn the rank (gbt) or the class (gbt_class) row by row."""
+    cfg = cfg or settings().model.ranker
+    if cfg.backend == "listwise":
+        return listwise(frame, columns, cfg, trees or cfg.n_estimators)
+    frame = _numeric(frame, columns).withColumn("label", F.col("target_class" if cfg.backend == "gbt_class" else "target_rank").cast("double"))
+    shared = {
+        "featuresCol": "_x", "labelCol": "label", "maxIter": trees or cfg.n_estimators, "stepSize": cfg.learning_rate, "maxDepth": cfg.max_depth, "subsamplingRate": cfg.bagging_fraction,
+        "featureSubsetStrategy": str(cfg.feature_fraction), "minInstancesPerNode": cfg.min_child_samples, "seed": 7,
+    }
+    return Pipeline(stages=[*_assembled(columns, "_x"), GBTClassifier(**shared) if cfg.backend == "gbt_class" else GBTRegressor(**shared)]).fit(frame)
+
+
+def listwise_gradient(score: str = "_score", rank: str = "target_rank", by: str = "date"):
+    """What each row of a date should move by: its share of the date's gains less its share of the softmax of scores, times the date's rows.
+
+    That is the gradient of the cross entropy between the two shares. It needs sums over a date's rows, no pairs of them.
+    """
+    w = Window.partitionBy(by)
+    gain = F.pow(F.lit(2.0), F.coalesce(rank, F.lit(0.0))) - 1
+    weight = F.exp(F.col(score) - F.max(score).over(w))
+    wanted = F.coalesce(gain / F.when(F.sum(gain).over(w) > 0, F.sum(gain).over(w)), 1 / F.count("*").over(w))
+    return (wanted - weight / F.sum(weight).over(w)) * F.count("*").over(w)
 
 
-def ranker(frame: DataFrame, columns: list[str], cfg: Ranker = Ranker(), trees: int | None = None) -> PipelineModel:
-    """Boosted trees on the target's rank (backend gbt), or on its class (backend gbt_class), after medians for gaps."""
-    frame = _numeric(frame, columns).withColumns({"label": F.col("target_class" if cfg.backend == "gbt_class" else "target_rank").cast("double")})
-    shared = {"featuresCol": "_x", "labelCol": "label", "maxIter": trees or cfg.n_estimators, "stepSize": cfg.learning_rate, "maxDepth": cfg.max_depth, "subsamplingRate": cfg.bagging_fraction, "featureSubsetStrategy": str(cfg.feature_fraction), "minInstancesPerNode": cfg.min_child_samples, "seed": 7}
-    stages = [Imputer(strategy="median", inputCols=columns, outputCols=[f"_{c}" for c in columns]), VectorAssembler(inputCols=[f"_{c}" for c in columns], outputCol="_x", handleInvalid="keep")]
-    return Pipeline(stages=[*stages, GBTClassifier(**shared) if cfg.backend == "gbt_class" else GBTRegressor(**shared)]).fit(frame)
+def listwise(frame: DataFrame, columns: list[str], cfg: Section, trees: int, cut: int = 20) -> PipelineModel:
+    """Gradient-boosted trees with a list-wise loss over the rows of each date: each tree is fitted to listwise_gradient.
+
+    The trees become one boosted model of spark.ml, saved and loaded like any other. Every `cut` trees the scores are written, which cuts the lineage.
+    """
+    ready = Pipeline(stages=_assembled(columns, "_x")).fit(_numeric(frame, columns))
+    rows = staged(ready.transform(_numeric(frame, columns)).select("date", "target_rank", "_x", F.lit(0.0).alias("_score")))
+    grown = []
+    for k in range(trees):
+        tree = RandomForestRegressor(
+            featuresCol="_x", labelCol="_g", predictionCol="_p", numTrees=1, maxDepth=cfg.max_depth, minInstancesPerNode=cfg.min_child_samples,
+            subsamplingRate=cfg.bagging_fraction, featureSubsetStrategy=str(cfg.feature_fraction), seed=7 + k,
+        ).fit(rows.withColumn("_g", listwise_gradient()))
+        grown.append(tree.trees[0])
+        rows = tree.transform(rows).withColumn("_score", F.col("_score") + cfg.learning_rate * F.col("_p")).select("date", "target_rank", "_x", "_score")
+        if k % cut == cut - 1:
+            rows = staged(rows)
+    context = frame.sparkSession.sparkContext
+    own = context._gateway.new_array(context._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(grown))
+    weights = context._gateway.new_array(context._jvm.double, len(grown))
+    for k, tree in enumerate(grown):
+        own[k], weights[k] = tree._java_obj, cfg.learning_rate
+    boosted = GBTRegressionModel._from_java(context._jvm.org.apache.spark.ml.regression.GBTRegressionModel("listwise", own, weights, len(columns)))
+    boosted.setFeaturesCol("_x")
+    return PipelineModel([*ready.stages, boosted])
 
 
 def score(model: PipelineModel, frame: DataFrame, columns: list[str]) -> DataFrame:
@@ -69,49 +116,78 @@ def importances(model: PipelineModel, columns: list[str]) -> list[tuple[str, flo
 
 
 def with_noise(frame: DataFrame, count: int = 3, seed: int = 7) -> tuple[DataFrame, list[str]]:
-    """frame with columns of standard normal noise: no feature should matter less than they do."""
+    """frame with columns of standard normal noise: no feature should matter less than they do.
+
+    A row's noise follows from its date, ticker and seed, so it is the same however often and wherever it is made.
+    """
     names = [f"noise_{k}" for k in range(count)]
-    return frame.withColumns({n: F.randn(seed + k) for k, n in enumerate(names)}), names
+    uniform = lambda *salt: (F.pmod(F.xxhash64("date", "ticker", *map(F.lit, salt)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    normal = lambda k: F.sqrt(-2 * F.log(uniform(seed, k, 0))) * F.cos(2 * F.pi() * uniform(seed, k, 1))
+    return frame.withColumns({n: normal(k) for k, n in enumerate(names)}), names
 
 
-def walk_forward(frame: DataFrame, cfg: Config, fitters: dict[str, Callable] | None = None, horizons: list[str] | None = None) -> dict[str, DataFrame]:
-    """Fit and score every model on every split and horizon: predictions, metrics by split, and their summary.
+def default_fitters(cfg: Settings) -> dict[str, Callable]:
+    return {"baseline": lambda f, c: baseline(f, c, cfg.model.baseline), "ranker": lambda f, c: ranker(f, c, cfg.model.ranker)}
 
-    Splits that leave less than the embargo raise; parts without rows are skipped. Scoring is lazy: predictions are one union.
+
+def walk_forward(frame: DataFrame, cfg: Settings, fitters: dict[str, Callable] | None = None, horizons: list[str] | None = None) -> dict[str, DataFrame]:
+    """Fit and score every model on every split and horizon.
+
+    Gives predictions, metrics (ranking, class balance, rows and train_rows of each fit), their summary,
+    drift (noise columns too), calibration and importance. Splits that leave less than the embargo raise; parts without rows are skipped. The frame
+    is written once, each split's rows once, and each fit's predictions once; all measures are taken from those.
     """
-    fitters = fitters or {"baseline": lambda f, c: baseline(f, c, cfg.model.baseline), "ranker": lambda f, c: ranker(f, c, cfg.model.ranker)}
-    spark, predictions, metrics, drift = frame.sparkSession, [], [], []
+    fitters = fitters or default_fitters(cfg)
+    spark, columns = frame.sparkSession, feature_columns(frame)
+    extra = [c for c in ("earnings_in_window",) if c in frame.columns]
+    frame = staged(frame.select(*KEYS, *TARGETS, *extra, "trainable", "label_truncated", "label_end_date", *columns))
+    written, drift, fits, ranks = staging_path(spark), staging_path(spark), [], []
     for horizon in horizons or list(cfg.horizons):
         own = fl.eligible(frame, horizon)
         for k, split in enumerate(cfg.validation.splits, 1):
             fl.check_embargo(split.train_end, split.val_start, cfg.validation.embargo_days)
-            train, val = fl.purged_split(own, split.train_end, split.val_start, split.val_end)
-            if train.isEmpty() or val.isEmpty():
+            parts = fl.purged_split(own, split.train_end, split.val_start, split.val_end)
+            (train, noise), (val, _) = (with_noise(p, cfg.features.random_noise_feature_count, 7 + n) for n, p in enumerate(parts))
+            both = staged(train.withColumn("_part", F.lit(0)).unionByName(val.withColumn("_part", F.lit(1))))
+            train, val = (both.where(F.col("_part") == n).drop("_part") for n in (0, 1))
+            sizes = dict(both.groupBy("_part").agg(F.count("*")).collect())
+            if len(sizes) < 2:
                 continue
-            columns = feature_columns(frame)
-            drift.append(mt.feature_drift(train, val, columns).withColumns({"horizon": F.lit(horizon), "split": F.lit(f"split_{k}")}))
-            train, noise = with_noise(train, cfg.features.random_noise_feature_count)
-            val, _ = with_noise(val, cfg.features.random_noise_feature_count, seed=8)
-            columns = columns + noise
+            named = {"horizon": F.lit(horizon), "split": F.lit(f"split_{k}")}
+            used = columns + noise
+            mt.feature_drift(train, val, used).withColumns(named).write.mode("append").parquet(drift)
             for name, fit in fitters.items():
-                model = fit(train, columns)
-                scored = score(model, val, columns).select(*KEYS, *TARGETS, "score").withColumns({"model_name": F.lit(name), "split": F.lit(f"split_{k}")})
-                predictions.append(scored)
-                share = sum(abs(v) for n, v in importances(model, columns) if n in noise)
-                metrics.append(mt.ranking_metrics(scored, cfg.recommendation.buy_fraction, ("horizon", "split", "model_name")).withColumn("noise_importance", F.lit(float(share))))
-    if not predictions:
+                model = fit(train, used)
+                scored = score(model, val, used).select(*KEYS, *TARGETS, *extra, "score").withColumns({"model_name": F.lit(name), "split": F.lit(f"split_{k}")})
+                scored.write.mode("append").parquet(written)
+                found = importances(model, used)
+                share = float(sum(abs(v) for n, v in found if n in noise))
+                fits.append((horizon, f"split_{k}", name, sizes[0], share))
+                ranks += [(horizon, f"split_{k}", name, n, v, r) for r, (n, v) in enumerate(found, 1)]
+    if not fits:
         raise ValueError("no split has rows for training and validation")
-    union = lambda parts: parts[0] if len(parts) == 1 else union([parts[0].unionByName(parts[1]), *parts[2:]])
-    by_split = spark.createDataFrame(union(metrics).collect(), union(metrics).schema)  # a row for each model, split and horizon
-    return {"predictions": union(predictions), "metrics": by_split, "summary": mt.validation_summary(by_split), "drift": union(drift)}
+    predictions = spark.read.parquet(written)
+    facts = spark.createDataFrame(fits, "horizon string, split string, model_name string, train_rows long, noise_importance double")  # a row a fit
+    balance = mt.class_imbalance(predictions, tuple(FIT))
+    metrics = staged(mt.ranking_metrics(predictions, cfg.recommendation.buy_fraction, tuple(FIT)).join(balance, FIT).join(facts, FIT))
+    importance = spark.createDataFrame(ranks, "horizon string, split string, model_name string, feature string, importance double, place int")
+    return {
+        "predictions": predictions, "metrics": metrics, "summary": mt.validation_summary(metrics), "drift": spark.read.parquet(drift),
+        "calibration": mt.calibration(predictions, by=tuple(FIT)), "importance": importance,
+    }
+
+
+def training_rows(frame: DataFrame, cfg: Settings, horizon: str) -> DataFrame:
+    """What a final model of a horizon learns from: eligible rows before the holdout, those cut off by the end of data too."""
+    return fl.eligible(frame, horizon, validation=False).where(F.col("date") < F.lit(cfg.validation.holdout_start).cast("date"))
 
 
-def train_final(frame: DataFrame, cfg: Config, fitters: dict[str, Callable] | None = None, horizons: list[str] | None = None) -> dict[tuple[str, str], tuple[PipelineModel, dict]]:
+def train_final(frame: DataFrame, cfg: Settings, fitters: dict[str, Callable] | None = None, horizons: list[str] | None = None) -> dict[tuple[str, str], tuple[PipelineModel, dict]]:
     """Models of each horizon on all rows before the holdout, with what each was trained on."""
-    fitters = fitters or {"baseline": lambda f, c: baseline(f, c, cfg.model.baseline), "ranker": lambda f, c: ranker(f, c, cfg.model.ranker)}
+    fitters = fitters or default_fitters(cfg)
     columns, out = feature_columns(frame), {}
     for horizon in horizons or list(cfg.horizons):
-        rows = fl.eligible(frame, horizon, validation=False).where(F.col("date") < F.lit(cfg.validation.holdout_start).cast("date"))
+        rows = staged(training_rows(frame, cfg, horizon).select(*KEYS, *TARGETS, *columns))
         n, first, last = rows.agg(F.count("*"), F.min("date"), F.max("date")).first()
         if not n:
             continue

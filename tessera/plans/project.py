@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.config import Config
+from tessera.config import Settings
 from tessera.operators import backtest as bt
 from tessera.operators import features as ft
 from tessera.operators import filters as fl
@@ -18,10 +20,11 @@ from tessera.plans import stores
 from tessera.sources.landing import LandingConnector
 from tessera.sources.storage import Catalog
 from tessera.sources.tables import incremental_upsert
+from tessera.staging import staged
 
 
 class Project:
-    def __init__(self, spark: SparkSession, cfg: Config, connector: LandingConnector | None = None, fitters: dict | None = None) -> None:
+    def __init__(self, spark: SparkSession, cfg: Settings, connector: LandingConnector | None = None, fitters: dict | None = None) -> None:
         self.spark, self.cfg, self.catalog, self.connector, self.fitters = spark, cfg, Catalog(spark, cfg), connector, fitters
 
     def _raw(self, name: str) -> DataFrame:
@@ -41,6 +44,8 @@ class Project:
                 fresh = self._raw(f"{name}_next")
             cat.write(fresh, "raw", name)
         prices = self._raw("prices")
+        missing = fl.tickers_without_prices(listed.select(un.normal_ticker("ticker").alias("ticker")), prices).count()
+        logging.getLogger(__name__).info("%d listed tickers have no prices", missing)
         recent = fl.recent_tickers(prices.join(fl.tickers_with_prices(prices), "ticker", "left_semi"), d.end_date)
         wanted = [r[0] for r in fl.listed_tickers(recent, listed).orderBy("ticker").collect()]
         cat.write(un.merged_metadata(c.metadata(wanted), listed), "raw", "metadata")
@@ -79,7 +84,7 @@ class Project:
 
     def validate(self) -> None:
         found = md.walk_forward(self.model_frame(), self.cfg, self.fitters)
-        for name in ("predictions", "metrics", "summary", "drift"):
+        for name in ("predictions", "metrics", "summary", "drift", "calibration", "importance"):
             self.catalog.write(found[name], "reports", f"validation_{name}")
 
     def train(self) -> dict:
@@ -90,22 +95,23 @@ class Project:
     def recommend(self, start: str | None = None, end: str | None = None, latest_only: bool = False, model: str = "ranker") -> DataFrame:
         features = rc.latest_slice(self._done("feature_store"), start, end, latest_only)
         columns, scored = md.feature_columns(features), None
+        frame = rc.per_horizon(features, self.cfg.horizons)
         for horizon in self.cfg.horizons:
-            own = md.score(md.load_model(self.cfg.path("models", f"final/{horizon}_{model}")), features.withColumn("horizon", F.lit(horizon)), columns)
+            own = md.score(md.load_model(self.cfg.path("models", f"final/{horizon}_{model}")), frame.where(F.col("horizon") == horizon), columns)
             scored = own if scored is None else scored.unionByName(own)
         self.catalog.write(self._decide(scored), "reports", "recommendations")
         return self.catalog.read("reports", "recommendations")
 
     def _decide(self, scored: DataFrame) -> DataFrame:
         r = self.cfg.recommendation
-        return rc.recommend(scored, r.buy_fraction, r.min_buy_count, r.caution_max_buys, r.closed_vix, r.caution_vix)
+        return rc.in_order(rc.recommend(scored, r.buy_fraction, r.min_buy_count, r.caution_max_buys, r.closed_vix, r.caution_vix))
 
     def backtest(self) -> dict[str, DataFrame]:
         """Backtest validation's predictions, each model on its own; where splits overlap the last one's scores count."""
         shown = [*rc.REASONS_COLUMNS, "vix_close_raw", "spx_above_200d", "sector", "industry"]
         features = self._done("feature_store").select("date", "ticker", *shown)
         predictions = md.last_model_scores(self.catalog.read("reports", "validation_predictions"))
-        own = self._decide(predictions.join(features, ["date", "ticker"], "left"))
+        own = staged(self._decide(rc.with_features(predictions, features)))
         b, bench = self.cfg.backtest, lb.next_day_returns(self._raw("benchmark")).select("date", F.col("next_day_return").alias("benchmark_return"))
         daily = bt.backtest_daily(own, lb.next_day_returns(self._done("prices_cleaned")), bench, b.transaction_cost_bps + b.slippage_bps, b.initial_capital)
         self.catalog.write(daily, "reports", "backtest_daily")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.panel import imputed
@@ -21,6 +21,7 @@ from tessera.plans import stores
 from tessera.queries import proxy as px
 from tessera.queries.oracles import r6, sql
 from tessera.sources import tables as src
+from tessera.staging import in_scope, shared
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,7 +36,7 @@ def query(oracle: str | None = None, name: str | None = None):
     """Register a query under its function's name or another, with DuckDB SQL where SQL expresses it."""
 
     def add(f: Query) -> Query:
-        QUERIES[name or f.__name__] = f
+        QUERIES[name or f.__name__] = in_scope(f)
         if oracle:
             ORACLES[name or f.__name__] = sql(oracle)
         return f
@@ -55,6 +56,7 @@ def grid(s: SparkSession, d: str) -> DataFrame:
     return calendar_reindex(px.prices(s, d).drop("sector"), px.calendar(s, d))
 
 
+@shared
 def members(s: SparkSession, d: str) -> DataFrame:
     return un.membership_history(px.current(s, d), px.changes(s, d), px.calendar(s, d))
 
@@ -100,6 +102,7 @@ def scores(s: SparkSession, d: str) -> DataFrame:
     return own.join(labels(s, d).drop("industry", "membership_reliability", "universe_reliable"), ["date", "ticker"]).withColumn("score", score)
 
 
+@shared
 def recs(s: SparkSession, d: str) -> DataFrame:
     return rc.recommend(scores(s, d))
 
@@ -108,6 +111,7 @@ def predictions(s: SparkSession, d: str) -> DataFrame:
     return scores(s, d).where(F.col("target_rank").isNotNull() & ~F.col("label_truncated"))
 
 
+@shared
 def next_returns(s: SparkSession, d: str) -> DataFrame:
     return lb.next_day_returns(bounded_fill(grid(s, d)))
 
@@ -290,7 +294,7 @@ def missing_ratio(s, d):
     return store(s, d).select(*KEYS, r("missing_feature_ratio"), "feature_missing_fail")
 
 
-FEW = ["ret_21d", "rsi_14", "pe_ttm", "days_to_next_earnings"]
+FEW = ft.CONTINUOUS
 
 
 @query("SELECT date, ticker, " + ", ".join(r6(c) for c in FEW) + " FROM imputed")

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.staging import shared
+
 # The change log (date, added, removed) and the tickers that aren't members today.
 CHANGES = [
     ("1996-06-03", "NATION_3", "NATION_7"),
@@ -28,27 +30,37 @@ def money(c: str) -> Column:
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
-    places = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("ticker"), F.col("r_name").alias("sector"))
+    nation, region = table(spark, d, "nation"), table(spark, d, "region")
+    places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("ticker"), F.col("r_name").alias("sector"))
     sellers = table(spark, d, "supplier").join(places, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "ticker", "sector")
     trades = table(spark, d, "lineitem").select("l_suppkey", F.to_date("l_shipdate").alias("date"), F.col("l_extendedprice").alias("p"), F.col("l_quantity").alias("q"))
-    return trades.join(sellers, F.col("l_suppkey") == F.col("s_suppkey")).select("date", "ticker", "sector", "p", "q", (F.col("p") / F.col("q")).alias("u"))
+    own = trades.join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
+    return own.select("date", "ticker", "sector", "p", "q", (F.col("p") / F.col("q")).alias("u"))
+
+
+@shared
+def trades(spark: SparkSession, d: str) -> DataFrame:
+    """A row for each (date, ticker): all that prices and the market's own series are made of, from one scan of the trades."""
+    amounts = F.sum(F.col("p").cast("decimal(18,2)")).alias("amount"), F.sum("q").alias("volume")
+    return lines(spark, d).groupBy("date", "ticker").agg(F.min("sector").alias("sector"), F.max("u").alias("high"), F.min("u").alias("low"), *amounts)
 
 
 def prices(spark: SparkSession, d: str) -> DataFrame:
-    out = lines(spark, d).groupBy("date", "ticker").agg(F.min("sector").alias("sector"), F.max("u").alias("high"), F.min("u").alias("low"), (money("p") / F.sum("q")).alias("close"), F.sum("q").alias("volume"))
+    out = trades(spark, d).withColumn("close", F.col("amount").cast("double") / F.col("volume"))
     return out.select("date", "ticker", "sector", ((F.col("high") + F.col("low")) / 2).alias("open"), "high", "low", "close", F.col("close").alias("adj_close"), "volume", F.lit("trades").alias("source"))
 
 
 def benchmark(spark: SparkSession, d: str) -> DataFrame:
-    return lines(spark, d).groupBy("date").agg((money("p") / F.sum("q")).alias("adj_close"))
+    return trades(spark, d).groupBy("date").agg((F.sum("amount").cast("double") / F.sum("volume")).alias("adj_close"))
 
 
 def calendar(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").select(F.to_date("l_shipdate").alias("date")).distinct()
+    return trades(spark, d).select("date").distinct()
 
 
 def volatility(spark: SparkSession, d: str) -> DataFrame:
-    return lines(spark, d).groupBy("date").agg((10 + 60 * (money("p") / F.sum("q")) / F.max("u")).alias("adj_close"))
+    price = F.sum("amount").cast("double") / F.sum("volume")
+    return trades(spark, d).groupBy("date").agg((10 + 60 * price / F.max("high")).alias("adj_close"))
 
 
 def risk_free(spark: SparkSession, d: str) -> DataFrame:

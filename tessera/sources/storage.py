@@ -7,13 +7,13 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.config import Config
+from tessera.config import Settings
 
 
 class Catalog:
     """Paths of artifacts in the areas of a project; tables are Parquet folders, reports JSON lines."""
 
-    def __init__(self, spark: SparkSession, cfg: Config) -> None:
+    def __init__(self, spark: SparkSession, cfg: Settings) -> None:
         self.spark, self.cfg = spark, cfg
 
     def read(self, area: str, name: str) -> DataFrame:
