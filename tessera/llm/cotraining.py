@@ -14,8 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,11 +83,11 @@ def text_vector(text: str | None) -> SparseVector:
     return SparseVector(BUCKETS + len(STYLE), np.append(found, np.arange(BUCKETS, BUCKETS + len(STYLE))), np.append(counts[found], style))
 
 
-def with_text_margin(docs: DataFrame, weights: np.ndarray, intercept: float) -> DataFrame:
-    """docs with _t, the text view's margin of every whole text."""
+def with_text_margin(docs: DataFrame, weights: np.ndarray, intercept: float, keep_text: bool = True) -> DataFrame:
+    """docs with _t, the text view's margin of every whole text; without the text unless it is to be kept."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # bounded by the number of buckets
     names = docs.columns
-    at = names.index("text")
+    at, kept = names.index("text"), [(k, c) for k, c in enumerate(names) if keep_text or c != "text"]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, own = shared.value[:BUCKETS] * SCALE, shared.value[BUCKETS:]
@@ -97,44 +96,42 @@ def with_text_margin(docs: DataFrame, weights: np.ndarray, intercept: float) ->
             for value in batch.column(at):
                 buckets, n, style = text_parts(value.as_py())
                 out.append(intercept + float(hashed[buckets].sum()) / max(n, 1) + float(style @ own))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*names, "_t"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k, _ in kept), pa.array(out, pa.float64())], names=[*(c for _, c in kept), "_t"])
 
-    return docs.mapInArrow(measure, docs.withColumn("_t", F.lit(0.0)).schema)
+    return docs.mapInArrow(measure, docs.select(*(c for _, c in kept), F.lit(0.0).alias("_t")).schema)
 
 
-def metadata_features(docs: DataFrame) -> dict[str, Column]:
-    """What a page's record shows without its text: language, parts of host and path, size. Missing columns count as null."""
+def metadata_features(docs: DataFrame) -> Column:
+    """What a page's record shows without its text, as numbers: size, what is missing, language, parts of host and path. Missing columns count as null."""
     column = lambda c: F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string")
     parts = F.split(F.lower(F.concat_ws("/", column("source"), column("url"))), r"[^\p{L}\p{N}]+")
     hashed = F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.pmod(F.xxhash64(x), F.lit(HASHED)))
     size = F.greatest(F.coalesce(column("n_chars").cast("double"), F.lit(0.0)), F.lit(0.0))
     step = F.least(F.floor(F.log2(size + 1)), F.lit(SIZES - 1))
     flag = lambda x: F.when(x, 1.0).otherwise(0.0)
-    out = {"m_size": F.log1p(size) / 5, "m_no_size": flag(column("n_chars").isNull()), "m_no_lang": flag(column("lang").isNull()), "m_no_source": flag(column("source").isNull())}
-    out |= {f"m_size_{k}": flag(step == k) for k in range(SIZES)}
-    out |= {f"m_lang_{k}": flag(F.pmod(F.xxhash64(column("lang")), F.lit(HASHED)) == k) for k in range(HASHED)}
-    every = let(F.array_distinct(hashed), lambda h: F.transform(F.sequence(F.lit(0), F.lit(HASHED - 1)), lambda k: flag(F.array_contains(h, k.cast("bigint")))))
-    return out | {"_parts": every}
-
-
-MADE = ["m_size", "m_no_size", "m_no_lang", "m_no_source", *(f"m_size_{k}" for k in range(SIZES)), *(f"m_lang_{k}" for k in range(HASHED)), *(f"m_part_{k}" for k in range(HASHED))]
+    numbers = lambda n, f: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), f)
+    alone = F.array(F.log1p(size) / 5, flag(column("n_chars").isNull()), flag(column("lang").isNull()), flag(column("source").isNull()))
+    language = F.pmod(F.xxhash64(column("lang")), F.lit(HASHED))
+    return F.concat(
+        alone, let(step, lambda x: numbers(SIZES, lambda k: flag(x == k))), let(language, lambda x: numbers(HASHED, lambda k: flag(x == k))),
+        let(F.array_distinct(hashed), lambda h: numbers(HASHED, lambda k: flag(F.array_contains(h, k.cast("bigint"))))),
+    )
 
 
 def with_metadata(docs: DataFrame) -> DataFrame:
-    """docs with _m: an array of the metadata view's features, in the order of MADE."""
-    features = metadata_features(docs)
-    every = features.pop("_parts")
-    return docs.withColumn("_m", F.concat(F.array(*features.values()), every))
+    """docs with _m: an array of the metadata view's features."""
+    return docs.withColumn("_m", metadata_features(docs))
 
 
 def _margin(weights: list[float], intercept: float) -> Column:
-    """A linear margin of the array _m, the sum in the weights' order."""
-    return sum((F.lit(w) * F.col("_m")[k] for k, w in enumerate(weights) if w), F.lit(intercept))
+    """A linear margin of the array _m."""
+    products = F.zip_with("_m", F.array(*map(F.lit, weights)), lambda x, w: x * w)
+    return F.aggregate(products, F.lit(intercept), lambda total, x: total + x)
 
 
-def _fit(rows: DataFrame, features: str, strength: float) -> LogisticRegressionModel:
+def _fit(rows: DataFrame, features: str, strength: float, steps: int) -> LogisticRegressionModel:
     rows = rows.coalesce(4)  # few enough to be added up in one step
-    return LogisticRegression(featuresCol=features, labelCol="label", rawPredictionCol="_raw", regParam=strength, maxIter=40, tol=1e-5, standardization=False).fit(rows)
+    return LogisticRegression(featuresCol=features, labelCol="label", rawPredictionCol="_raw", regParam=strength, maxIter=steps, tol=1e-5, standardization=False).fit(rows)
 
 
 def _weights(model: LogisticRegressionModel) -> tuple[np.ndarray, float]:
@@ -146,7 +143,7 @@ def _platt(held: DataFrame, model: LogisticRegressionModel) -> tuple[float, floa
     if held.select("label").distinct().count() < 2:
         return 1.0, 0.0
     margins = model.transform(held).select("label", F.element_at(vector_to_array("_raw"), 2).alias("_t"))
-    weights, shift = _weights(_fit(VectorAssembler(inputCols=["_t"], outputCol="_z").transform(margins), "_z", 1e-2))
+    weights, shift = _weights(_fit(margins.withColumn("_z", array_to_vector(F.array("_t"))), "_z", 1e-2, 10))
     return float(weights[0]), shift
 
 
@@ -163,11 +160,11 @@ class CoTrained:
     lines: tuple[tuple[float, float], tuple[float, float]]
     prior: float
 
-    def margins(self, docs: DataFrame) -> DataFrame:
+    def margins(self, docs: DataFrame, keep_text: bool = False) -> DataFrame:
         """docs with _t and _u, the margins of the text and the metadata view."""
-        return with_text_margin(with_metadata(docs).withColumn("_u", _margin(*self.metadata)).drop("_m"), *self.text)
+        return with_text_margin(with_metadata(docs).withColumn("_u", _margin(*self.metadata)).drop("_m"), *self.text, keep_text)
 
-    def score(self, docs: DataFrame) -> DataFrame:
+    def score(self, docs: DataFrame, keep_text: bool = True) -> DataFrame:
         """docs with text_score, metadata_score and score, the probability of good quality from both views.
 
         Given the class, views are taken as independent: their log odds add up, the prior's once.
@@ -178,7 +175,7 @@ class CoTrained:
             return docs.withColumns({c: sigmoid(F.lit(self.prior)) for c in names})
         (a, b), (c, d) = self.lines
         text, metadata = F.lit(a) * F.col("_t") + F.lit(b), F.lit(c) * F.col("_u") + F.lit(d)
-        found = self.margins(docs)
+        found = self.margins(docs, keep_text)
         return found.withColumns(dict(zip(names, (sigmoid(text), sigmoid(metadata), sigmoid(text + metadata - F.lit(self.prior)))))).drop("_t", "_u")
 
 
@@ -205,9 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = 2, most_labelled: int
     draw = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) / (1 << 30)
     taken = known.where(draw < most_labelled / max(known.count(), 1)).withColumn("fold", F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(5)))
     labelled = with_metadata(docs.join(taken, "doc_id").repartition(16, "doc_id")).withColumn("_x", vector("text"))
-    to_vector = VectorAssembler(inputCols=[f"_f{k}" for k in range(len(MADE))], outputCol="_y")
-    as_columns = lambda df: to_vector.transform(df.select("*", *(F.col("_m")[k].alias(f"_f{k}") for k in range(len(MADE))))).drop(*(f"_f{k}" for k in range(len(MADE))), "_m")
-    labelled = materialize(as_columns(labelled.select("doc_id", "label", "fold", "_x", "_m")))
+    labelled = materialize(labelled.select("doc_id", "label", "fold", "_x", array_to_vector("_m").alias("_y")))
     counts = dict(labelled.where("fold > 0").groupBy("label").agg(F.count("*")).collect())
     if len(counts) < 2:
         return CoTrained(None, None, ((1.0, 0.0), (1.0, 0.0)), {(): 0.0, (0.0,): -5.0, (1.0,): 5.0}[tuple(counts)])
@@ -216,7 +211,7 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = 2, most_labelled: int
     start, held = labelled.where("fold > 0").select("label", "_x", "_y"), labelled.where("fold = 0").select("label", "_x", "_y")
     sets, given = [start, start], [None, None]
     for k in range(rounds + 1):
-        views = _fit(sets[0], "_x", strength), _fit(sets[1], "_y", strength)
+        views = _fit(sets[0], "_x", strength, 30), _fit(sets[1], "_y", strength, 15)
         (text, bias), (metadata, shift) = map(_weights, views)
         model = CoTrained((text, bias), (metadata.tolist(), shift), tuple(_platt(held, v) for v in views), prior)
         if k == rounds:
@@ -233,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = 2, most_labelled: int
             chosen = materialize(best.union(worst).dropDuplicates(["_key"]))
             given[giver] = chosen.select("_key") if given[giver] is None else given[giver].union(chosen.select("_key"))
             texts = docs.join(F.broadcast(chosen), "_key").dropDuplicates(["_key"])  # 2 per_round rows at most
-            more = as_columns(with_metadata(texts.repartition(8, "_key")).withColumn("_x", vector("text")).select("label", "_x", "_m"))
+            more = with_metadata(texts.repartition(8, "_key")).select("label", vector("text").alias("_x"), array_to_vector("_m").alias("_y"))
             sets[1 - giver] = sets[1 - giver].unionByName(materialize(more))
         discard(spark, pool)
     return model
@@ -245,5 +240,5 @@ def classify(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFram
     Null text counts as empty, null metadata as such; repeated rows score alike; extra columns are ignored; an empty table stays empty.
     """
     own = docs.select("doc_id", "text", *(c for c in METADATA if c in docs.columns))
-    scored = fit(docs, labels).score(own)
+    scored = fit(docs, labels).score(own, keep_text=False)
     return scored.select("doc_id", "text_score", "metadata_score", "score", (F.col("score") >= least).alias("kept"))
