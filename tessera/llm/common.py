@@ -32,14 +32,24 @@ def shared_dir(spark: SparkSession) -> str:
 WRITTEN: list[str] = []
 
 
-def materialize(df: DataFrame) -> DataFrame:
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def materialize(df: DataFrame, arrow_rows: int = 1000) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again.
 
-    That cuts the lineage, survives lost executors and lets later reads prune columns.
+    That cuts the lineage, survives lost executors and lets later reads prune columns. While it is
+    written, batches of at most arrow_rows rows go to Python: rows are whole texts, and a batch of them is
+    held by the JVM and by Python at once. The session's own setting is put back.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(arrow_rows, int(before)) if int(before) > 0 else arrow_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     WRITTEN.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path

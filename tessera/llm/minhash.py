@@ -132,7 +132,7 @@ def _from_low(packed: bytes) -> np.ndarray:
     return h.view("<u8")[:, 0].astype(np.uint64)
 
 
-def shingle_parts(texts: DataFrame, words: int, parts: int, most_shingles: int = 400_000) -> DataFrame:
+def shingle_parts(texts: DataFrame, words: int, parts: int, most_shingles: int = 200_000) -> DataFrame:
     """The shingles of chunks of texts, dealt to `parts` (a power of two) by the leading bits of their hashes.
 
     texts: digest, text. A chunk holds what a task reads up to most_shingles; equal texts in it are
