@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import cotraining, ego_join, html_text, language_id, line_rules, minhash, packing, pii, piece_nbest, warc
+from tessera.llm import collocations, cotraining, ego_join, html_text, language_id, line_rules, minhash, packing, periodic, pii, piece_nbest, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,5 +66,38 @@ def op10_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_nbest.nbest_encode(_table(spark, sf_dir, "documents"))
 
 
+def _with_loops(docs: DataFrame) -> DataFrame:
+    """Of every tenth document (by the CRC-32 of its id) the words from a place on go round in a loop, as the contract of op11 says."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, words = F.floor(h / 10), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    n = F.size("words").cast("long")
+    looped = docs.where(h % 10 == 0).select("doc_id", g.alias("g"), words.alias("words")).withColumn("a", F.when(n > 0, F.col("g") % n))
+    looped = looped.withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    at = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    made = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get("words", at(i).cast("int")))
+    looped = looped.select("doc_id", F.when(n > 0, F.array_join(made, " ")).alias("text"))
+    return docs.where((h % 10 != 0) | F.col("doc_id").isNull()).select("doc_id", "text").union(looped)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document, their digest and that of the collapsed text. A null doc_id isn't looped."""
+    found = periodic.periodic_runs(_with_loops(_table(spark, sf_dir, "documents")))
+    best = F.col("strongest")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    digest = lambda x: F.sha2(x.cast("binary"), 256)
+    return found.select(
+        "doc_id", "n_runs", best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"), F.call_function("div", 1000 * best["length"], best["period"]).alias("exponent_milli"),
+        digest(F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "")).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrase_collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
