@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -17,7 +18,9 @@ from tessera.config import Section, Settings, settings
 from tessera.operators import filters as fl
 from tessera.operators import metrics as mt
 from tessera.operators.features import BINARY, CONTINUOUS
-from tessera.staging import staged, staging_path
+from tessera.plans import rank_trees
+from tessera.session import side_by_side
+from tessera.staging import scratch, staged, staging_path
 
 KEYS = ["date", "ticker", "horizon"]
 TARGETS = ["target_rank", "target_class", "forward_return", "forward_excess_return", "daily_median_forward_return"]
@@ -49,9 +52,14 @@ def baseline(frame: DataFrame, columns: list[str], cfg: Section | None = None) -
     return Pipeline(stages=[*_assembled(columns, "_v"), StandardScaler(inputCol="_v", outputCol="_x", withMean=True), fit]).fit(frame.withColumn("_weight", weight))
 
 
-def ranker(frame: DataFrame, columns: list[str], cfg: Section | None = None, trees: int | None = None) -> PipelineModel:
-    """Boosted trees that rank each date's rows (backend listwise), or learn the rank (gbt) or the class (gbt_class) row by row."""
+def ranker(frame: DataFrame, columns: list[str], cfg: Section | None = None, trees: int | None = None, validation: DataFrame | None = None) -> PipelineModel | rank_trees.RankTrees:
+    """Boosted trees that rank each date's rows (backends lambdarank, listwise), or learn the rank (gbt) or the class (gbt_class) row by row."""
     cfg = cfg or settings().model.ranker
+    if cfg.backend == "lambdarank":
+        return rank_trees.fit(
+            frame, columns, trees or cfg.n_estimators, rate=cfg.learning_rate, leaves=cfg.num_leaves, depth=cfg.max_depth, least_rows=cfg.min_child_samples, feature_fraction=cfg.feature_fraction,
+            row_fraction=cfg.bagging_fraction, row_every=cfg.bagging_freq, validation=validation, patience=cfg.early_stopping_rounds,
+        )
     if cfg.backend == "listwise":
         return listwise(frame, columns, cfg, trees or cfg.n_estimators)
     frame = _numeric(frame, columns).withColumn("label", F.col("target_class" if cfg.backend == "gbt_class" else "target_rank").cast("double"))
@@ -110,8 +118,11 @@ def score(model: PipelineModel, frame: DataFrame, columns: list[str]) -> DataFra
 
 def importances(model: PipelineModel, columns: list[str]) -> list[tuple[str, float]]:
     """Features by importance, largest first: coefficients by size, trees' gains."""
-    last = model.stages[-1]
-    values = last.coefficients.toArray() if hasattr(last, "coefficients") else last.featureImportances.toArray()
+    if isinstance(model, rank_trees.RankTrees):
+        values = model.importances()
+    else:
+        last = model.stages[-1]
+        values = last.coefficients.toArray() if hasattr(last, "coefficients") else last.featureImportances.toArray()
     return sorted(zip(columns, map(float, values)), key=lambda x: (-abs(x[1]), x[0]))
 
 
@@ -135,44 +146,51 @@ def walk_forward(frame: DataFrame, cfg: Settings, fitters: dict[str, Callable] |
 
     Gives predictions, metrics (ranking, class balance, rows and train_rows of each fit), their summary,
     drift (noise columns too), calibration and importance. Splits that leave less than the embargo raise; parts without rows are skipped. The frame
-    is written once, each split's rows once, and each fit's predictions once; all measures are taken from those.
+    is written once, each split's rows once, and each fit's predictions once, to a folder of its own; all measures are taken from those.
+    Up to validation.fits_at_once splits are fitted side by side.
     """
     fitters = fitters or default_fitters(cfg)
-    spark, columns = frame.sparkSession, feature_columns(frame)
+    spark, columns, written = frame.sparkSession, feature_columns(frame), staging_path(frame.sparkSession)
     extra = [c for c in ("earnings_in_window",) if c in frame.columns]
-    frame = staged(frame.select(*KEYS, *TARGETS, *extra, "trainable", "label_truncated", "label_end_date", *columns))
-    written, drift, fits, ranks = staging_path(spark), staging_path(spark), [], []
-    for horizon in horizons or list(cfg.horizons):
-        own = fl.eligible(frame, horizon)
-        for k, split in enumerate(cfg.validation.splits, 1):
-            fl.check_embargo(split.train_end, split.val_start, cfg.validation.embargo_days)
-            parts = fl.purged_split(own, split.train_end, split.val_start, split.val_end)
+    for split in cfg.validation.splits:
+        fl.check_embargo(split.train_end, split.val_start, cfg.validation.embargo_days)
+
+    def fitted(rows: DataFrame, horizon: str, name: str, split: Section) -> dict | None:
+        """Write one split's drift and predictions of all models; what each model was fitted on and its importances."""
+        with scratch(spark):
+            parts = fl.purged_split(fl.eligible(rows, horizon), split.train_end, split.val_start, split.val_end)
             (train, noise), (val, _) = (with_noise(p, cfg.features.random_noise_feature_count, 7 + n) for n, p in enumerate(parts))
             both = staged(train.withColumn("_part", F.lit(0)).unionByName(val.withColumn("_part", F.lit(1))))
             train, val = (both.where(F.col("_part") == n).drop("_part") for n in (0, 1))
             sizes = dict(both.groupBy("_part").agg(F.count("*")).collect())
             if len(sizes) < 2:
-                continue
-            named = {"horizon": F.lit(horizon), "split": F.lit(f"split_{k}")}
-            used = columns + noise
-            mt.feature_drift(train, val, used).withColumns(named).write.mode("append").parquet(drift)
-            for name, fit in fitters.items():
+                return None
+            out, used = {"at": f"{horizon}-{name}", "fits": [], "ranks": []}, columns + noise
+            named = {"horizon": F.lit(horizon), "split": F.lit(name)}
+            mt.feature_drift(train, val, used).withColumns(named).write.mode("overwrite").parquet(f"{written}/drift/{out['at']}")
+            for model_name, fit in fitters.items():
                 model = fit(train, used)
-                scored = score(model, val, used).select(*KEYS, *TARGETS, *extra, "score").withColumns({"model_name": F.lit(name), "split": F.lit(f"split_{k}")})
-                scored.write.mode("append").parquet(written)
+                scored = score(model, val, used).select(*KEYS, *TARGETS, *extra, "score").withColumns({"model_name": F.lit(model_name), "split": F.lit(name)})
+                scored.write.mode("overwrite").parquet(f"{written}/predictions/{out['at']}-{model_name}")
                 found = importances(model, used)
-                share = float(sum(abs(v) for n, v in found if n in noise))
-                fits.append((horizon, f"split_{k}", name, sizes[0], share))
-                ranks += [(horizon, f"split_{k}", name, n, v, r) for r, (n, v) in enumerate(found, 1)]
-    if not fits:
+                out["fits"].append((horizon, name, model_name, sizes[0], float(sum(abs(v) for n, v in found if n in noise))))
+                out["ranks"] += [(horizon, name, model_name, n, v, r) for r, (n, v) in enumerate(found, 1)]
+            return out
+
+    with scratch(spark):
+        rows = staged(frame.select(*KEYS, *TARGETS, *extra, "trainable", "label_truncated", "label_end_date", *columns))
+        jobs = [partial(fitted, rows, h, f"split_{k}", s) for h in horizons or list(cfg.horizons) for k, s in enumerate(cfg.validation.splits, 1)]
+        done = [out for out in side_by_side(spark, jobs, cfg.validation.fits_at_once) if out]
+    if not done:
         raise ValueError("no split has rows for training and validation")
-    predictions = spark.read.parquet(written)
+    fits, ranks = ([row for out in done for row in out[key]] for key in ("fits", "ranks"))
+    predictions = spark.read.parquet(*(f"{written}/predictions/{h}-{s}-{m}" for h, s, m, *_ in fits))
     facts = spark.createDataFrame(fits, "horizon string, split string, model_name string, train_rows long, noise_importance double")  # a row a fit
     balance = mt.class_imbalance(predictions, tuple(FIT))
     metrics = staged(mt.ranking_metrics(predictions, cfg.recommendation.buy_fraction, tuple(FIT)).join(balance, FIT).join(facts, FIT))
     importance = spark.createDataFrame(ranks, "horizon string, split string, model_name string, feature string, importance double, place int")
     return {
-        "predictions": predictions, "metrics": metrics, "summary": mt.validation_summary(metrics), "drift": spark.read.parquet(drift),
+        "predictions": predictions, "metrics": metrics, "summary": mt.validation_summary(metrics), "drift": spark.read.parquet(*(f"{written}/drift/{out['at']}" for out in done)),
         "calibration": mt.calibration(predictions, by=tuple(FIT)), "importance": importance,
     }
 
@@ -183,30 +201,39 @@ def training_rows(frame: DataFrame, cfg: Settings, horizon: str) -> DataFrame:
 
 
 def train_final(frame: DataFrame, cfg: Settings, fitters: dict[str, Callable] | None = None, horizons: list[str] | None = None) -> dict[tuple[str, str], tuple[PipelineModel, dict]]:
-    """Models of each horizon on all rows before the holdout, with what each was trained on."""
-    fitters = fitters or default_fitters(cfg)
-    columns, out = feature_columns(frame), {}
-    for horizon in horizons or list(cfg.horizons):
-        rows = staged(training_rows(frame, cfg, horizon).select(*KEYS, *TARGETS, *columns))
-        n, first, last = rows.agg(F.count("*"), F.min("date"), F.max("date")).first()
-        if not n:
-            continue
-        for name, fit in fitters.items():
-            about = {"horizon": horizon, "model_name": name, "feature_columns": columns, "trained_rows": n, "train_start": str(first), "train_end": str(last)}
-            out[horizon, name] = fit(rows, columns), about
-    return out
+    """Models of each horizon on all rows before the holdout, with what each was trained on; horizons side by side."""
+    fitters, spark, columns = fitters or default_fitters(cfg), frame.sparkSession, feature_columns(frame)
+
+    def fitted(horizon: str) -> dict:
+        with scratch(spark):
+            rows = staged(training_rows(frame, cfg, horizon).select(*KEYS, *TARGETS, *columns))
+            n, first, last = rows.agg(F.count("*"), F.min("date"), F.max("date")).first()
+            about = {"horizon": horizon, "feature_columns": columns, "trained_rows": n, "train_start": str(first), "train_end": str(last)}
+            return {(horizon, name): (fit(rows, columns), about | {"model_name": name}) for name, fit in fitters.items()} if n else {}
+
+    found = side_by_side(spark, [partial(fitted, h) for h in horizons or list(cfg.horizons)], cfg.validation.fits_at_once)
+    return {key: value for each in found for key, value in each.items()}
 
 
 def save_models(models: dict[tuple[str, str], tuple[PipelineModel, dict]], path: str) -> None:
     """Each model in its own folder by spark.ml's writer, and a registry of what there is, one JSON line each."""
     for (horizon, name), (model, _) in models.items():
-        model.write().overwrite().save(f"{path}/{horizon}_{name}")
+        save_model(model, f"{path}/{horizon}_{name}")
     if models and (spark := SparkSession.getActiveSession()):
         spark.createDataFrame([(json.dumps(about),) for _, about in models.values()], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/registry")
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def save_model(model: PipelineModel | rank_trees.RankTrees, path: str) -> None:
+    if isinstance(model, rank_trees.RankTrees):
+        model.save(SparkSession.getActiveSession(), path)
+    else:
+        model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel | rank_trees.RankTrees:
+    spark = SparkSession.getActiveSession()
+    own = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/rank_trees")
+    return rank_trees.RankTrees.load(spark, path) if own.getFileSystem(spark._jsc.hadoopConfiguration()).exists(own) else PipelineModel.load(path)
 
 
 def last_model_scores(predictions: DataFrame) -> DataFrame:

@@ -19,7 +19,6 @@ from tessera.plans import models as md
 from tessera.plans import stores
 from tessera.sources.landing import LandingConnector
 from tessera.sources.storage import Catalog
-from tessera.sources.tables import incremental_upsert
 from tessera.staging import staged
 
 
@@ -28,7 +27,15 @@ class Project:
         self.spark, self.cfg, self.catalog, self.connector, self.fitters = spark, cfg, Catalog(spark, cfg), connector, fitters
 
     def _raw(self, name: str) -> DataFrame:
-        return self.catalog.read("raw", name)
+        months = self.catalog.snapshots("raw", name)
+        return months.read() if months.exists() else self.catalog.read("raw", name)
+
+    def _keep(self, df: DataFrame, name: str) -> None:
+        """Write a table of (ticker, date) rows in buckets of these, so that stages join such tables without shuffling them."""
+        self.catalog.write(df, "processed", name, ("ticker", "date"))
+
+    def _made(self, stage: str, raw: list[str], done: list[str], outputs: list[tuple[str, str]], settings: object, build) -> bool:
+        return self.catalog.made(stage, [("raw", n) for n in raw] + [("processed", n) for n in done], outputs, settings, build)
 
     def _done(self, name: str) -> DataFrame:
         return self.catalog.read("processed", name)
@@ -39,10 +46,12 @@ class Project:
         tickers = [r[0] for r in listed.select(un.normal_ticker("ticker")).distinct().orderBy(F.lit(1)).collect() if r[0]]  # the index has a few hundred
         for name, symbols in (("prices", tickers), ("benchmark", [d.benchmark_symbol]), ("vix", [d.vix_symbol])):
             fresh = fl.keep_last(c.prices(symbols, d.start_date, d.end_date), ["ticker", "date"], [F.col("source"), F.col("close")])
-            if cat.exists("raw", name) and not d.refresh:
-                cat.write(incremental_upsert(self._raw(name), fresh), "raw", f"{name}_next")  # the old files are read until the new are whole
-                fresh = self._raw(f"{name}_next")
-            cat.write(fresh, "raw", name)
+            months = cat.snapshots("raw", name)  # only months with new rows are written; readers switch over once they are whole
+            if d.refresh:
+                months.overwrite(fresh)
+            else:
+                months.upsert(fresh)
+            months.vacuum(self.cfg.storage.snapshots_kept)
         prices = self._raw("prices")
         missing = fl.tickers_without_prices(listed.select(un.normal_ticker("ticker").alias("ticker")), prices).count()
         logging.getLogger(__name__).info("%d listed tickers have no prices", missing)
@@ -56,15 +65,24 @@ class Project:
         cat.write(un.membership_history(listed, c.changes(), days), "raw", "membership")
         self.prepare()
 
-    def prepare(self) -> None:
-        """Cleaned prices, quality flags and the daily universe from what was ingested."""
-        q, cat = self.cfg.quality, self.catalog
+    def prepare(self) -> bool:
+        """Cleaned prices, quality flags and the daily universe from what was ingested, unless they are made from just that already."""
+        q, raw = self.cfg.quality, ["prices", "benchmark", "membership", "metadata"]
+        outputs = [("processed", n) for n in ("prices_cleaned", "price_quality", "daily_universe")]
+        return self._made("prepare", raw, [], outputs, [q, self.cfg.universe], self._prepare)
+
+    def _prepare(self) -> None:
+        q = self.cfg.quality
         grid = stores.calendar_reindex(self._raw("prices"), self._raw("benchmark").select("date").distinct())
-        cat.write(stores.bounded_fill(grid, q.max_forward_fill_days), "processed", "prices_cleaned")
-        cat.write(stores.quality_flags(grid, q.max_forward_fill_days, q.min_price_history_days, q.ipo_buffer_days, q.stale_price_days), "processed", "price_quality")
-        cat.write(un.daily_universe(self._raw("membership"), self._raw("metadata"), self.cfg.universe.membership_min_reliability), "processed", "daily_universe")
+        self._keep(stores.bounded_fill(grid, q.max_forward_fill_days), "prices_cleaned")
+        self._keep(stores.quality_flags(grid, q.max_forward_fill_days, q.min_price_history_days, q.ipo_buffer_days, q.stale_price_days), "price_quality")
+        self._keep(un.daily_universe(self._raw("membership"), self._raw("metadata"), self.cfg.universe.membership_min_reliability), "daily_universe")
+
+    def features(self) -> bool:
+        raw, done = ["benchmark", "vix", "risk_free", "earnings", "fundamentals"], ["prices_cleaned", "price_quality", "daily_universe"]
+        return self._made("features", raw, done, [("processed", "feature_store")], self.cfg.quality, self._features)
 
-    def features(self) -> None:
+    def _features(self) -> None:
         q, universe = self.cfg.quality, self._done("daily_universe")
         macro = ft.macro_frame(self._raw("benchmark"), self._raw("vix"), self._raw("risk_free"))
         cleaned = self._done("prices_cleaned").join(self._done("price_quality"), ["date", "ticker"], "left")
@@ -72,12 +90,14 @@ class Project:
         sectors = stores.sector_values(universe)
         raw = ft.one_hot(ft.sector_context(ft.security_features(panel)), sectors)
         raw = ft.fundamental_features(ft.earnings_features(raw, self._raw("earnings")), self._raw("fundamentals"), q.stale_fundamental_days)
-        self.catalog.write(ft.finalize_features(raw, sectors, q.max_missing_feature_ratio), "processed", "feature_store")
+        self._keep(ft.finalize_features(raw, sectors, q.max_missing_feature_ratio), "feature_store")
         names = ("name", "formula", "valid_at", "missing_handling", "horizon_sensitive")
         self.catalog.report([dict(zip(names, x)) for x in fc.records([f"sector_{s}" for s in sectors])], "feature_catalog")
 
-    def labels(self) -> None:
-        self.catalog.write(lb.label_store(self._done("prices_cleaned"), self._done("daily_universe"), self._raw("earnings"), self.cfg.horizons), "processed", "label_store")
+    def labels(self) -> bool:
+        done = ["prices_cleaned", "daily_universe"]
+        build = lambda: self._keep(lb.label_store(self._done("prices_cleaned"), self._done("daily_universe"), self._raw("earnings"), self.cfg.horizons), "label_store")
+        return self._made("labels", ["earnings"], done, [("processed", "label_store")], self.cfg.horizons, build)
 
     def model_frame(self) -> DataFrame:
         return stores.model_frame(self._done("feature_store"), self._done("label_store"))

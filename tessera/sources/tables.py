@@ -71,17 +71,19 @@ def pivot_facts(long: DataFrame) -> DataFrame:
     return long.groupBy("ticker", "filed_at", "period_end", "form").pivot("metric", list(METRICS)).agg(F.first("value"))
 
 
+def fresh_rows(fresh: DataFrame, overlap_days: int, last: DataFrame, on: str | None) -> DataFrame:
+    """Rows of fresh from overlap_days before `_last` (a row of last, for each `on` or one for all) on, and those without one."""
+    joined = fresh.join(last, on, "left") if on else fresh.join(F.broadcast(last))  # one row
+    return joined.where(F.col("_last").isNull() | (F.col("date") >= F.date_sub("_last", overlap_days))).drop("_last")
+
+
 def incremental_upsert(stored: DataFrame, fresh: DataFrame, keys: tuple[str, ...] = ("ticker", "date"), overlap_days: int = 10, by_ticker: bool = False) -> DataFrame:
     """stored, with fresh rows from overlap_days before its last date on in place of its own.
 
     by_ticker: each ticker from its own last date, and new tickers whole; else all from the one last date.
     """
-    if by_ticker:
-        last = stored.groupBy("ticker").agg(F.max("date").alias("_last"))
-        new = fresh.join(last, "ticker", "left")
-    else:
-        new = fresh.join(F.broadcast(stored.agg(F.max("date").alias("_last"))))
-    new = new.where(F.col("_last").isNull() | (F.col("date") >= F.date_sub("_last", overlap_days))).drop("_last")
+    last = (stored.groupBy("ticker") if by_ticker else stored).agg(F.max("date").alias("_last"))
+    new = fresh_rows(fresh, overlap_days, last, "ticker" if by_ticker else None)
     both = stored.withColumn("_n", F.lit(0)).unionByName(new.withColumn("_n", F.lit(1)), allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy(F.col("_n").desc())
     return both.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_n", "_r")

@@ -5,7 +5,8 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,9 +32,33 @@ def staging_path(spark: SparkSession) -> str:
     return f"{staging_dir(spark)}/staged/{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are staged inside are deleted at the end, also after a failure: nothing lazy over them may leave."""
+    token = _SCRATCH.set([])
+    try:
+        yield
+    finally:
+        made = _SCRATCH.get()
+        _SCRATCH.reset(token)
+        for path in made:
+            delete(spark, path)
+
+
 def staged(df: DataFrame) -> DataFrame:
     """df, written as Parquet to the shared folder and read again: later reads prune its columns and survive lost executors."""
     path = staging_path(df.sparkSession)
+    if (made := _SCRATCH.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
