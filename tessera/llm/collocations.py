@@ -3,15 +3,19 @@
 Every word begins a suffix of at most max_n words within its piece. Tasks add up equal suffixes
 before they are shuffled by language and first word; a range of suffixes goes to a task, so that a
 frequent first word spreads over several. Sorted reverse-lexicographically, all phrases with a common
-beginning lie together and one stack counts them. Parts of phrases are joined to them afterwards.
+beginning lie together and one stack a language counts them. Parts of phrases are joined to them afterwards.
 """
 
 from __future__ import annotations
 
+import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +27,8 @@ PIECE_END = re.compile(r"[.,;:!?\n-\r]")
 GAP = "\0"
 #: Distinct suffixes that a task adds up before it hands them on.
 HELD = 300_000
+#: Suffixes for each range, and documents, from which the ranges are found.
+SAMPLE = 100
 #: Rows of candidates that are ranked apart within a language before the last ranking.
 GROUPS = 64
 
@@ -38,21 +44,51 @@ def plain(words: list[str]) -> str:
     return phrase.replace("\1\1", GAP).replace("\1\2", "\1") if "\1" in phrase else phrase
 
 
-def suffixes(text: str, max_n: int) -> Iterator[str]:
+def suffixes(text: str, max_n: int) -> list[str]:
     """The suffixes of a text's pieces, cut to max_n words; A to Z are lower-cased, words part at spaces and tabs."""
+    out: list[str] = []
     for piece in PIECE_END.split(escaped(text.encode().lower().decode())):
         words = [w for w in piece.replace("\t", " ").split(" ") if w]
-        joined, begins, at = GAP.join(words), [], 0
-        for w in words:
-            begins.append(at)
-            at += len(w) + 1
-        ends = begins[max_n:] + [at] * max_n
-        for lo, hi in zip(begins, ends):
-            yield joined[lo : hi - 1]
+        ends = list(accumulate(map(len, words), lambda at, n: at + n + 1))
+        joined = GAP.join(words)
+        begins = [0, *(e + 1 for e in ends[:-1])] if words else []
+        out += [joined[lo:hi] for lo, hi in zip(begins, ends[max_n - 1 :] + ends[-1:] * (max_n - 1))]
+    return out
 
 
-def counted_suffixes(docs: DataFrame, max_n: int = 5) -> DataFrame:
-    """(lang, suffix, n): how often a task met a suffix. docs: text, lang."""
+def _columns(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
+
+
+def range_cuts(docs: DataFrame, max_n: int, parts: int, seed: int = 7) -> list[tuple[str, str]]:
+    """Up to parts - 1 (lang, suffix) that cut all suffixes into about equal ranges, from SAMPLE a range of some documents.
+
+    They decide where a suffix is counted, not whether: a bad sample makes ranges uneven.
+    """
+    columns, wanted = _columns(docs), SAMPLE * parts
+    share = min(1.0, wanted / max(columns.count(), 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = random.Random(seed)
+        for batch in batches:
+            some = []
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = list(set(suffixes(text, max_n)))
+                some += [(lang, x) for x in rng.sample(found, min(len(found), 1 + len(found) // 100))]
+            yield pa.RecordBatch.from_pylist([{"lang": lang, "suffix": x} for lang, x in some], schema=pa.schema([("lang", pa.string()), ("suffix", pa.string())]))
+
+    sampled = columns.sample(share, seed).mapInArrow(run, "lang string, suffix string")
+    found = sorted({(r.lang, r.suffix) for r in sampled.orderBy(F.rand(seed)).limit(wanted).collect()})  # SAMPLE a range at most
+    return [found[k * len(found) // parts] for k in range(1, parts)] if found else []
+
+
+def counted_suffixes(docs: DataFrame, max_n: int, cuts: list[tuple[str, str]]) -> DataFrame:
+    """(part, lang, suffix, n): how often a task met a suffix, and the range it is in."""
+    ranges: dict[str, list[str]] = {}
+    for lang, suffix in cuts:
+        ranges.setdefault(lang, []).append(suffix)
+    langs = sorted(ranges)
+    before = [0, *accumulate(len(ranges[x]) for x in langs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
@@ -60,69 +96,67 @@ def counted_suffixes(docs: DataFrame, max_n: int = 5) -> DataFrame:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held.setdefault(lang, Counter()).update(suffixes(text, max_n))
                 if sum(map(len, held.values())) > HELD:
-                    yield from _handed_on(held)
+                    yield from handed_on(held)
                     held = {}
-        yield from _handed_on(held)
-
-    columns = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    return columns.mapInArrow(run, "lang string, suffix string, n long")
+        yield from handed_on(held)
 
+    def handed_on(held: dict[str, Counter], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
+        """In order, so that neighbours share their beginnings, which compresses well, and ranges follow each other."""
+        for lang, counts in held.items():
+            words = sorted(counts)
+            times, first = list(map(counts.__getitem__, words)), before[bisect_left(langs, lang)]
+            edges = [0, *(bisect_left(words, cut) for cut in ranges.get(lang, [])), len(words)]
+            part = np.repeat(np.arange(first, first + len(edges) - 1, dtype=np.int32), np.diff(edges))
+            for lo in range(0, len(words), rows):
+                some = slice(lo, lo + rows)
+                columns = [pa.array(part[some]), pa.array([lang] * len(part[some])), pa.array(words[some], pa.string()), pa.array(times[some], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "lang", "suffix", "n"])
 
-def _handed_on(held: dict[str, Counter], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    for lang, counts in held.items():
-        words, times = list(counts), list(counts.values())
-        for lo in range(0, len(words), rows):
-            part = words[lo : lo + rows]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part, pa.string()), pa.array(times[lo : lo + rows], pa.int64())], names=["lang", "suffix", "n"])
+    return _columns(docs).mapInArrow(run, "part int, lang string, suffix string, n long")
 
 
 class PhraseStack:
-    """Counts all beginnings of suffixes that come in order: the stack holds the last suffix's words and their counts so far.
+    """Counts all beginnings of a language's suffixes that come in order: the stack holds the last suffix's words and their counts so far.
 
     What is popped is whole, but for beginnings of the first and the last suffix, which may go on in a
     neighbouring range: those are given out however rare.
     """
 
-    def __init__(self, least: int) -> None:
-        self.least, self.out, self.total = least, [], 0
-        self.lang, self.words, self.counts, self.edge = None, [], [], []
-
-    def push(self, lang: str, suffix: str, n: int) -> None:
-        words, first = suffix.split(GAP), self.lang is None
-        keep = 0
-        if lang == self.lang:
-            for a, b in zip(words, self.words):
-                if a != b:
-                    break
-                keep += 1
-        self.pop(keep)
-        if lang != self.lang:
-            if not first:
-                self.close_language()
-            self.lang, self.total = lang, 0
+    def __init__(self, lang: str, least: int, out: list[tuple]) -> None:
+        self.lang, self.least, self.out, self.total = lang, least, out, 0
+        self.words: list[str] = []
+        self.counts: list[int] = []
+        self.edge = 0  # so many of the first suffix's words are still on the stack
+
+    def push(self, suffix: str, n: int) -> None:
+        words, keep = suffix.split(GAP), 0
+        for a, b in zip(words, self.words):
+            if a != b:
+                break
+            keep += 1
+        if keep < len(self.words):
+            self.pop(keep)
+        if not self.total:
+            self.edge = len(words)
         if keep < len(words):
             self.words += words[keep:]
             self.counts += [0] * (len(words) - keep)
-            self.edge += [first] * (len(words) - keep)
         self.counts[-1] += n
         self.total += n
 
     def pop(self, keep: int, last: bool = False) -> None:
-        while len(self.words) > keep:
-            n, edge = self.counts.pop(), self.edge.pop()
-            if self.counts:
+        while (size := len(self.words)) > keep:
+            n = self.counts.pop()
+            if size > 1:
                 self.counts[-1] += n
-            if n >= self.least or edge or last:
-                self.out.append((self.lang, plain(self.words), len(self.words), n))
+            if n >= self.least or last or size <= self.edge:
+                self.out.append((self.lang, plain(self.words), size, n))
+                self.edge = min(self.edge, size - 1)
             self.words.pop()
 
-    def close_language(self) -> None:
-        self.out.append((self.lang, "", 0, self.total))
-
     def close(self) -> None:
-        if self.lang is not None:
-            self.pop(0, last=True)
-            self.close_language()
+        self.pop(0, last=True)
+        self.out.append((self.lang, "", 0, self.total))
 
 
 def frequent_phrases(docs: DataFrame, least: int = 100, max_n: int = 5) -> DataFrame:
@@ -132,23 +166,27 @@ def frequent_phrases(docs: DataFrame, least: int = 100, max_n: int = 5) -> DataF
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stack = PhraseStack(least)
+        out: list[tuple] = []
+        stacks: dict[str, PhraseStack] = {}
         for batch in batches:
             for lang, suffix, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                stack.push(lang, suffix, n)
-            yield from _flushed(stack)
-        stack.close()
-        yield from _flushed(stack)
-
-    def _flushed(stack: PhraseStack) -> Iterator[pa.RecordBatch]:
-        if stack.out:
+                if lang not in stacks:
+                    stacks[lang] = PhraseStack(lang, least, out)
+                stacks[lang].push(suffix, n)
+            yield from flushed(out)
+        for stack in stacks.values():
+            stack.close()
+        yield from flushed(out)
+
+    def flushed(out: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if out:
             kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*stack.out), kinds)], names=["lang", "phrase", "words", "f"])
-            stack.out = []
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["lang", "phrase", "words", "f"])
+            out.clear()
 
-    down = [F.col("lang").desc(), F.col("suffix").desc()]
-    dealt = counted_suffixes(docs, max_n).repartitionByRange(*down).sortWithinPartitions(*down)
-    counted = dealt.mapInArrow(run, "lang string, phrase string, words int, f long")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counted_suffixes(docs, max_n, range_cuts(docs, max_n, parts)).repartitionById(parts, "part")
+    counted = dealt.sortWithinPartitions(F.col("suffix").desc()).select("lang", "suffix", "n").mapInArrow(run, "lang string, phrase string, words int, f long")
     return counted.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("words") == 0))
 
 

@@ -192,9 +192,9 @@ def test_collocations(spark, monkeypatch, held, least, absorbed, top):
 
 def test_arithmetic_is_exact():
     """Products of counts pass 64 bits: the stack adds them up whole."""
-    stack = collocations.PhraseStack(100)
+    stack = collocations.PhraseStack("en", 100, [])
     for suffix, n in (("b\0c", 10**15), ("b", 5), ("a", 99)):
-        stack.push("en", suffix, n)
+        stack.push(suffix, n)
     stack.close()
     assert sorted(stack.out) == [("en", "", 0, 10**15 + 104), ("en", "a", 1, 99), ("en", "b", 1, 10**15 + 5), ("en", "b c", 2, 10**15)]
 
