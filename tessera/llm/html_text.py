@@ -3,8 +3,8 @@
 Markup is stripped to lines, one for each source block, each with the length of its text outside of
 links. Lengths are summed over a sliding window of lines; text surges where the sums rise to a share
 of the page's own typical line and dives where they fall below it for good. Tags are a prior: what
-the standard itself calls a menu, form or footer never counts, and an article's ends are surge and
-dive points whatever its lines' lengths.
+the standard itself calls a menu, form or footer never counts, an article's ends are surge and dive
+points, its lines surge at a lower level, and text outside of articles must outweigh them.
 """
 
 from __future__ import annotations
@@ -85,7 +85,7 @@ def is_dropped(tag: str, attributes: str, in_article: bool) -> bool:
         value, name = "".join(values), name.lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and HIDDEN.search(value):
             return True
-        if name == "role" and value.lower() in ROLES or name == "class" and not NEVER.isdisjoint(value.lower().split()):
+        if name == "role" and value.lower() in ROLES or name in ("class", "id") and not NEVER.isdisjoint(value.lower().split()):
             return True
     return False
 
@@ -182,67 +182,86 @@ def typical_length(lengths: list[int]) -> float:
     return sum(n * n for n in lengths) / max(1, sum(lengths))
 
 
-def runs_of(lines: list[Line], window: int, surge: float, least: float) -> list[tuple[int, int]]:
+def runs_of(lines: list[Line], window: int, surge: float, least: float, prior: float) -> list[tuple[int, int]]:
     """Runs (first line, line after the last) between surge and dive points.
 
-    A window sum of at least surge times the typical length is a surge; text dives where sums stay below
-    it for `window` lines. At its ends a run begins and closes with a line that is itself long enough,
-    or that reads as text: a heading before it, a paragraph or a sentence next to it. Runs with less
-    than `least` of the longest one's text are left out.
+    A window sum of at least surge times the typical length is a surge, of prior times that within an
+    article; text dives where sums stay below it for `window` lines, or where an article begins or ends. At its
+    ends a run begins and closes with a line that is itself long enough, or that reads as text: a heading before it, a
+    paragraph or a sentence next to it; and with one of an element that text is written in there, so that a
+    lone line in a plain box isn't taken for a paragraph. Runs with less than `least` of the longest one's
+    text are left out, outside of articles those with less than all articles together; an article's runs
+    stay unless text outside of it is longer.
     """
     lengths = [x.length for x in lines]
     level = surge * typical_length(lengths)
+    levels = [level * (prior if x.article else 1) for x in lines]
     sums = window_sums(lengths, window)
-    high = [i for i, s in enumerate(sums) if s >= level and s > 0]
     spans: list[list[int]] = []
-    for i in high:
-        if spans and i - spans[-1][1] <= window:
+    for i in (i for i, s in enumerate(sums) if s >= levels[i] and s > 0):
+        if spans and i - spans[-1][1] <= window and lines[i].article == lines[spans[-1][1]].article:
             spans[-1][1] = i
         else:
             spans.append([i, i])
-    reads = [x.length > 0 and (x.length >= level / window or x.tag in ("p", "blockquote", "pre") or x.text.endswith(SENTENCE_END)) for x in lines]
-    out = []
+    reads = [x.length > 0 and (x.length >= levels[i] / window or x.tag in ("p", "blockquote", "pre") or x.text.endswith(SENTENCE_END)) for i, x in enumerate(lines)]
+    out: list[tuple[int, int]] = []
     for a, z in spans:
         own = [i for i in range(a, z + 1) if reads[i]]
         if not own:
             continue
-        a, z = own[0], own[-1]
-        while a and (reads[a - 1] and lines[a - 1].tag in PROSE or lines[a - 1].tag in HEADINGS and lines[a - 1].length):
+        a, z, inside = own[0], own[-1], lines[a].article
+        beside = lambda i, inside=inside: 0 <= i < len(lines) and lines[i].article == inside and lines[i].length > 0
+        while beside(a - 1) and (inside or reads[a - 1] and lines[a - 1].tag in PROSE or lines[a - 1].tag in HEADINGS):
             a -= 1
-        while z + 1 < len(lines) and reads[z + 1] and lines[z + 1].tag in PROSE:
+        while beside(z + 1) and (inside or reads[z + 1] and lines[z + 1].tag in PROSE):
             z += 1
+        if not inside:
+            a, z = _in_written_elements(lines, a, z)
         if out and a < out[-1][1]:
             out[-1] = (out[-1][0], max(z + 1, out[-1][1]))
         else:
             out.append((a, z + 1))
-    longest = max((sum(lengths[a:z]) for a, z in out), default=0)
-    return [(a, z) for a, z in out if sum(lengths[a:z]) >= least * longest]
-
-
-def main_text(page: str | None, window: int = 3, surge: float = 0.5, least: float = 0.25) -> str:
-    """The text of all outermost articles, or where a page has none, of the runs that its lines' distribution shows."""
+    size = lambda run: sum(lengths[run[0] : run[1]])
+    articles = sum(size(x) for x in out if lines[x[0]].article)
+    outside = max((size(x) for x in out if not lines[x[0]].article), default=0)
+    longest = max(map(size, out), default=0)
+    kept = lambda x: outside <= articles or size(x) >= least * longest if lines[x[0]].article else size(x) >= max(least * longest, articles)
+    return [x for x in out if kept(x)]
+
+
+def _in_written_elements(lines: list[Line], a: int, z: int, share: float = 0.5) -> tuple[int, int]:
+    """A run without lines at its ends in plain boxes, unless these hold a share of the run's text; a heading may begin it."""
+    held: Counter = Counter()
+    for x in lines[a : z + 1]:
+        held[x.tag] += x.length
+    own = lambda i: lines[i].tag in PROSE or held[lines[i].tag] >= share * held.total()
+    while a < z and not own(a) and not (lines[a].tag in HEADINGS and lines[a + 1].tag not in HEADINGS and own(a + 1)):
+        a += 1
+    while a < z and not own(z):
+        z -= 1
+    return a, z
+
+
+def main_text(page: str | None, window: int = 3, surge: float = 0.5, least: float = 0.25, prior: float = 0.1) -> str:
+    """The text of the runs that the distribution of a page's lines shows; hints in classes and ids count unless all text has them."""
     lines = lines_of(page or "")
-    within = [x.text for x in lines if x.article]
-    if within:
-        return " ".join(within)
-    plain = [x for x in lines if not x.hinted]
-    for own in (plain, lines):
-        if found := runs_of(own, window, surge, least):
+    for own in ([x for x in lines if not x.hinted], lines):
+        if found := runs_of(own, window, surge, least, prior):
             return " ".join(x.text for a, z in found for x in own[a:z])
     return ""
 
 
-def extract_text(pages: DataFrame, window: int = 3, surge: float = 0.5, least: float = 0.25) -> DataFrame:
+def extract_text(pages: DataFrame, window: int = 3, surge: float = 0.5, least: float = 0.25, prior: float = 0.1) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page; other columns are ignored.
 
     Null or empty html, and pages of furniture only, give an empty text; a null page_id or url stays.
-    Rows are independent, so repeats each get the same text. All articles of a page are kept, and all
-    runs with at least `least` of the longest one's text, so ties need no rule.
+    Rows are independent, so repeats each get the same text. All runs that outweigh the others as runs_of
+    says are kept, so ties need no rule.
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(x, window, surge, least) for x in batch.column(2).to_pylist()]
+            texts = [main_text(x, window, surge, least, prior) for x in batch.column(2).to_pylist()]
             columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars"])
 
