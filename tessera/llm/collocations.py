@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import random
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ GAP = "\0"
 HELD = 300_000
 #: Suffixes for each range, and documents, from which the ranges are found.
 SAMPLE = 100
-#: Rows of candidates that are ranked apart within a language before the last ranking.
+#: Parts of a language's candidates that are joined to its total, and ranked before the last ranking, apart.
 GROUPS = 64
 
 
@@ -46,14 +47,17 @@ def plain(words: list[str]) -> str:
 
 def suffixes(text: str, max_n: int) -> list[str]:
     """The suffixes of a text's pieces, cut to max_n words; A to Z are lower-cased, words part at spaces and tabs."""
-    out: list[str] = []
-    for piece in PIECE_END.split(escaped(text.encode().lower().decode())):
-        words = [w for w in piece.replace("\t", " ").split(" ") if w]
-        ends = list(accumulate(map(len, words), lambda at, n: at + n + 1))
-        joined = GAP.join(words)
-        begins = [0, *(e + 1 for e in ends[:-1])] if words else []
-        out += [joined[lo:hi] for lo, hi in zip(begins, ends[max_n - 1 :] + ends[-1:] * (max_n - 1))]
-    return out
+    marked = PIECE_END.sub(" . ", escaped(text.encode().lower().decode()))  # a word can't hold the mark
+    words = [w for w in marked.replace("\t", " ").split(" ") if w]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    marks = np.fromiter((w == "." for w in words), bool, len(words))
+    places = np.arange(len(words))
+    stop = np.minimum.accumulate(np.where(marks, places, len(words))[::-1])[::-1]  # where a word's piece ends
+    last = np.minimum(places + max_n, stop) - 1
+    own = ~marks
+    joined = GAP.join(words)
+    return [joined[lo:hi] for lo, hi in zip((ends - sizes)[own].tolist(), ends[last[own]].tolist())]
 
 
 def _columns(docs: DataFrame) -> DataFrame:
@@ -101,61 +105,71 @@ def counted_suffixes(docs: DataFrame, max_n: int, cuts: list[tuple[str, str]]) -
         yield from handed_on(held)
 
     def handed_on(held: dict[str, Counter], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-        """In order, so that neighbours share their beginnings, which compresses well, and ranges follow each other."""
         for lang, counts in held.items():
-            words = sorted(counts)
-            times, first = list(map(counts.__getitem__, words)), before[bisect_left(langs, lang)]
-            edges = [0, *(bisect_left(words, cut) for cut in ranges.get(lang, [])), len(words)]
-            part = np.repeat(np.arange(first, first + len(edges) - 1, dtype=np.int32), np.diff(edges))
+            own, first = ranges.get(lang, []), before[bisect_left(langs, lang)]
+            words, times = list(counts), list(counts.values())
             for lo in range(0, len(words), rows):
-                some = slice(lo, lo + rows)
-                columns = [pa.array(part[some]), pa.array([lang] * len(part[some])), pa.array(words[some], pa.string()), pa.array(times[some], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["part", "lang", "suffix", "n"])
+                some = words[lo : lo + rows]
+                part = pa.array([first + bisect_right(own, x) for x in some], pa.int32())
+                yield pa.RecordBatch.from_arrays([part, pa.array([lang] * len(some)), pa.array(some, pa.string()), pa.array(times[lo : lo + rows], pa.int64())], names=["part", "lang", "suffix", "n"])
 
     return _columns(docs).mapInArrow(run, "part int, lang string, suffix string, n long")
 
 
 class PhraseStack:
-    """Counts all beginnings of a language's suffixes that come in order: the stack holds the last suffix's words and their counts so far.
+    """Counts all beginnings of a language's suffixes that come in order, a batch of them at a time.
 
-    What is popped is whole, but for beginnings of the first and the last suffix, which may go on in a
-    neighbouring range: those are given out however rare.
+    The stack holds the last suffix's words and how often its beginnings have come so far. Within a batch a beginning
+    ends where the words in common with the next suffix are fewer than its own; what is still on the stack at the end of a batch
+    goes on in the next one. A beginning that ends is whole, but for those of the first and the last suffix, which may go on in a
+    neighbouring range: they are given out however rare.
     """
 
-    def __init__(self, lang: str, least: int, out: list[tuple]) -> None:
-        self.lang, self.least, self.out, self.total = lang, least, out, 0
+    def __init__(self, lang: str, least: int, max_n: int, out: list[tuple]) -> None:
+        self.lang, self.least, self.max_n, self.out, self.total = lang, least, max_n, out, 0
         self.words: list[str] = []
         self.counts: list[int] = []
-        self.edge = 0  # so many of the first suffix's words are still on the stack
-
-    def push(self, suffix: str, n: int) -> None:
-        words, keep = suffix.split(GAP), 0
-        for a, b in zip(words, self.words):
-            if a != b:
-                break
-            keep += 1
-        if keep < len(self.words):
-            self.pop(keep)
-        if not self.total:
-            self.edge = len(words)
-        if keep < len(words):
-            self.words += words[keep:]
-            self.counts += [0] * (len(words) - keep)
-        self.counts[-1] += n
-        self.total += n
-
-    def pop(self, keep: int, last: bool = False) -> None:
-        while (size := len(self.words)) > keep:
-            n = self.counts.pop()
-            if size > 1:
-                self.counts[-1] += n
-            if n >= self.least or last or size <= self.edge:
-                self.out.append((self.lang, plain(self.words), size, n))
-                self.edge = min(self.edge, size - 1)
-            self.words.pop()
+        self.edge = max_n  # so many words of the first suffix have been on the stack from the start
+
+    def push(self, suffixes: pa.Array, times: np.ndarray) -> None:
+        """Suffixes in order and how often each came; the last one's words stay on the stack."""
+        listed = pc.split_pattern(suffixes, GAP)
+        held = len(self.words)
+        sizes = np.r_[held, pc.list_value_length(listed).to_numpy(zero_copy_only=False)] if held else pc.list_value_length(listed).to_numpy(zero_copy_only=False)
+        times = np.r_[0, times] if held else times  # the stack comes first, as a suffix of its own
+        words = pa.concat_arrays([pa.array(self.words, pa.string()), listed.flatten()])
+        begins = np.cumsum(sizes) - sizes
+        numbered = words.dictionary_encode()
+        codes = np.full((len(sizes), self.max_n), -1, np.int64)
+        codes[np.arange(self.max_n) < sizes[:, None]] = numbered.indices.to_numpy()
+        same = (codes[1:] == codes[:-1]) & (codes[1:] >= 0)
+        common = np.r_[0, np.logical_and.accumulate(same, 1).sum(1)]  # words in common with the suffix before
+        names = lambda row, k: words.slice(begins[row], k).to_pylist()
+        counts, edge = [], 0
+        for k in range(1, self.max_n + 1):
+            long = sizes >= k
+            starts = np.flatnonzero(long & (common < k))
+            if not len(starts):
+                continue
+            sums = np.add.reduceat(np.where(long, times, 0), starts)
+            if held >= k:
+                sums[0] += self.counts[k - 1]
+            first = starts[0] == 0 and k <= self.edge
+            goes_on = bool(long[-1])
+            if goes_on:
+                counts.append(int(sums[-1]))
+                if first and len(starts) == 1:
+                    edge = k
+            ends = sums[:-1] if goes_on else sums
+            told = np.flatnonzero(ends >= self.least)
+            if first and len(ends) and ends[0] < self.least:
+                told = np.r_[0, told]
+            self.out += [(self.lang, plain(names(starts[i], k)), k, int(ends[i])) for i in told]
+        self.words, self.counts, self.edge = names(len(sizes) - 1, int(sizes[-1])), counts, edge
+        self.total += int(times.sum())
 
     def close(self) -> None:
-        self.pop(0, last=True)
+        self.out += [(self.lang, plain(self.words[:k]), k, n) for k, n in enumerate(self.counts, 1)]
         self.out.append((self.lang, "", 0, self.total))
 
 
@@ -169,10 +183,12 @@ def frequent_phrases(docs: DataFrame, least: int = 100, max_n: int = 5) -> DataF
         out: list[tuple] = []
         stacks: dict[str, PhraseStack] = {}
         for batch in batches:
-            for lang, suffix, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            langs, times = batch.column(0).dictionary_encode(), batch.column(2).to_numpy()
+            for k, lang in enumerate(langs.dictionary.to_pylist()):
+                own = np.flatnonzero(langs.indices.to_numpy() == k)
                 if lang not in stacks:
-                    stacks[lang] = PhraseStack(lang, least, out)
-                stacks[lang].push(suffix, n)
+                    stacks[lang] = PhraseStack(lang, least, max_n, out)
+                stacks[lang].push(batch.column(1).take(pa.array(own)), times[own])
             yield from flushed(out)
         for stack in stacks.values():
             stack.close()
@@ -210,7 +226,9 @@ def phrase_collocations(docs: DataFrame, least: int = 100, max_n: int = 5, absor
     part = lambda start, size: F.array_join(F.slice(words, start, size), " ")
     cuts = cuts.select("*", part(F.lit(1), F.col("k")).alias("head"), part(F.col("k") + 1, F.col("words") - F.col("k")).alias("rest"))
     heads, rests = (phrases.select("lang", F.col("phrase").alias(name), F.col("f").alias(f)) for name, f in (("head", "l"), ("rest", "r")))
-    cuts = cuts.join(heads, ["lang", "head"]).join(rests, ["lang", "rest"]).join(totals, "lang")
+    group = F.pmod(F.xxhash64("phrase"), F.lit(GROUPS)).cast("int")  # a language may have most rows: its total is dealt to GROUPS keys
+    totals = totals.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1))))
+    cuts = cuts.join(heads, ["lang", "head"]).join(rests, ["lang", "rest"]).withColumn("group", group).join(totals, ["lang", "group"])
     wide = lambda name: F.col(name).cast("decimal(19,0)").cast("decimal(38,0)")
     cuts = cuts.withColumn("score", F.call_function("div", (F.lit(1000).cast("decimal(38,0)") * wide("a") * wide("n")).cast("decimal(38,0)"), (wide("l") * wide("r")).cast("decimal(38,0)")))
     lowest = F.min(F.struct("score", "k", "l", "r")).alias("low")
@@ -222,7 +240,6 @@ def phrase_collocations(docs: DataFrame, least: int = 100, max_n: int = 5, absor
     kept = scored.join(inner, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < absorbed * F.col("a")))
 
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
-    group = F.pmod(F.xxhash64("phrase"), F.lit(GROUPS))
     near = kept.withColumn("group", group).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "group").orderBy(*order))).where(F.col("rank") <= top)
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

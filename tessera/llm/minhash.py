@@ -450,10 +450,11 @@ def one_of_each(docs: DataFrame, **options: float) -> DataFrame:
     _, groups = _groups(docs, **OPTIONS | options)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     row = F.xxhash64(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\0")) for c in docs.columns if c != "text"), F.col("text").isNull())
-    marked = docs.withColumns({"_digest": F.md5(text), "_row": row})
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col("_digest").alias("digest"), F.col("_row").alias("row"))
+    # the caller's columns travel in a struct, so that no name of theirs meets one of these
+    marked = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_own"), F.md5(text).alias("_digest"), row.alias("_row"))
+    rank = F.struct(F.col("_own.doc_id").isNull().alias("none"), F.col("_own.doc_id").cast("long").alias("id"), F.col("_digest").alias("digest"), F.col("_row").alias("row"))
     best = materialize(marked.groupBy("_digest").agg(F.min(rank).alias("best")))
     best = best.join(groups.withColumnRenamed("node", "_digest"), "_digest", "left").groupBy(F.coalesce("component", "_digest").alias("group")).agg(F.min("best").alias("best"))
     stay = materialize(best.select(F.col("best.digest").alias("_digest"), F.col("best.row").alias("_row")))
     # repeated rows are put together map-side; the join is dealt by the same keys, so the texts are shuffled once
-    return marked.dropDuplicates(["_digest", "_row"]).join(stay, ["_digest", "_row"], "left_semi").select(*docs.columns)
+    return marked.dropDuplicates(["_digest", "_row"]).join(stay, ["_digest", "_row"], "left_semi").select("_own.*")

@@ -203,6 +203,8 @@ def test_one_row_of_each_group(spark):
     got = sorted((r.doc_id or -1, r.text or "", r.best) for r in minhash.one_of_each(df).collect())
     assert got == sorted([(1, t, "a"), (5, rows[2][1], "b"), (-1, rows[7][1], "f"), (2, "", "g")])
     assert minhash.one_of_each(df.limit(0)).count() == 0
+    clashing = df.withColumns({c: F.concat(F.lit(c), F.coalesce("best", F.lit(""))) for c in ("_row", "_digest", "_own", "digest", "group", "component")})
+    assert sorted((r.doc_id or -1, r._row, r._digest, r._own, r.digest, r.group, r.component) for r in minhash.one_of_each(clashing).collect()) == sorted((i, *(c + b for c in ("_row", "_digest", "_own", "digest", "group", "component"))) for i, _, b in got)
 
 
 @pytest.mark.parametrize("stage", range(5))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import collocations, periodic, queries, token_counts, vocab
@@ -182,19 +183,44 @@ def phrases_by_counting(rows, least, absorbed, top):
 @pytest.mark.parametrize("held, least, absorbed, top", [(300_000, 5, 100, 2000), (7, 3, 60, 2000), (50, 4, 100, 20)])
 def test_collocations(spark, monkeypatch, held, least, absorbed, top):
     monkeypatch.setattr(collocations, "HELD", held)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3 if held == 7 else 10_000)
     rng, vocabulary = random.Random(held), ["Ab", "c\x01", "\x00", "c", "\x01\x02", "é", "zz", "\x00\x01", "q\xa0r", "🙂", "-"]
     rows = [(k, "".join(rng.choice(vocabulary) + rng.choice([" ", " ", "\t", "  ", ". ", "\n"]) for _ in range(rng.randint(0, 80))), rng.choice(["en", "en", None, "d"])) for k in range(60)]
     rows += [(1, None, "en"), (2, "", None), (3, "hot hot hot " * 200, "en"), (None, ".,;", "x")] + [(4, "same copy of a text here", "en")] * 9
     got = collocations.phrase_collocations(documents(spark, rows).repartition(3), least, 5, absorbed, top).collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
     assert sorted(map(tuple, got)) == phrases_by_counting(rows, least, absorbed, top)
     assert collocations.phrase_collocations(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_stack_gives_whole_counts():
+    """Batches of any size, ranges cut anywhere: sums of what the ranges give are the counts, and only the edges' are rare."""
+    rng = random.Random(8)
+    for _ in range(200):
+        suffixes = sorted({"\0".join(rng.choices("abc", k=rng.randint(1, 4))) for _ in range(30)}, reverse=True)
+        times, cut, step = [rng.randint(1, 3) for _ in suffixes], rng.randint(0, len(suffixes)), rng.randint(1, 7)
+        want, got = Counter(), Counter()
+        for x, n in zip(suffixes, times):
+            for k in range(len(x.split("\0")) + 1):
+                want[" ".join(x.split("\0")[:k])] += n
+        for lo, hi in ((0, cut), (cut, len(suffixes))):
+            stack = collocations.PhraseStack("en", 4, 4, [])
+            for at in range(lo, hi, step):
+                stack.push(pa.array(suffixes[at : min(at + step, hi)]), np.array(times[at : min(at + step, hi)]))
+            stack.close()
+            assert len(stack.out) == len({p for _, p, _, _ in stack.out})
+            for _, phrase, _, n in stack.out:
+                got[phrase] += n
+            inner = [n for _, p, k, n in stack.out if k and not any(f"{x} ".startswith(f"{p} ") for x in (suffixes[lo].replace("\0", " "), suffixes[hi - 1].replace("\0", " ")))]
+            assert all(n >= 4 for n in inner)
+        assert all(got[p] == n for p, n in want.items() if n >= 4) and all(got[p] <= want[p] for p in got)
+
+
 def test_arithmetic_is_exact():
     """Products of counts pass 64 bits: the stack adds them up whole."""
-    stack = collocations.PhraseStack("en", 100, [])
-    for suffix, n in (("b\0c", 10**15), ("b", 5), ("a", 99)):
-        stack.push(suffix, n)
+    stack = collocations.PhraseStack("en", 100, 5, [])
+    stack.push(pa.array(["b\0c"]), np.array([10**15]))
+    stack.push(pa.array(["b", "a"]), np.array([5, 99]))
     stack.close()
     assert sorted(stack.out) == [("en", "", 0, 10**15 + 104), ("en", "a", 1, 99), ("en", "b", 1, 10**15 + 5), ("en", "b c", 2, 10**15)]
 
