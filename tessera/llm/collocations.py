@@ -51,7 +51,9 @@ def suffixes(text: str, max_n: int) -> list[str]:
     words = [w for w in marked.replace("\t", " ").split(" ") if w]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
-    marks = np.fromiter((w == "." for w in words), bool, len(words))
+    marks = sizes == 1
+    single = np.flatnonzero(marks)
+    marks[single] = [words[i] == "." for i in single.tolist()]
     places = np.arange(len(words))
     stop = np.minimum.accumulate(np.where(marks, places, len(words))[::-1])[::-1]  # where a word's piece ends
     last = np.minimum(places + max_n, stop) - 1
@@ -87,7 +89,7 @@ def range_cuts(docs: DataFrame, max_n: int, parts: int, seed: int = 7) -> list[t
 
 
 def counted_suffixes(docs: DataFrame, max_n: int, cuts: list[tuple[str, str]]) -> DataFrame:
-    """(part, lang, suffix, n): how often a task met a suffix, and the range it is in."""
+    """(part, suffix, n): how often a task met a suffix, and the range it is in. A suffix ends in two gaps and its language, which sorts like words."""
     ranges: dict[str, list[str]] = {}
     for lang, suffix in cuts:
         ranges.setdefault(lang, []).append(suffix)
@@ -107,13 +109,14 @@ def counted_suffixes(docs: DataFrame, max_n: int, cuts: list[tuple[str, str]]) -
     def handed_on(held: dict[str, Counter], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
         for lang, counts in held.items():
             own, first = ranges.get(lang, []), before[bisect_left(langs, lang)]
-            words, times = list(counts), list(counts.values())
+            words, times, tail = list(counts), list(counts.values()), pa.scalar(GAP + GAP + escaped(lang))
             for lo in range(0, len(words), rows):
                 some = words[lo : lo + rows]
                 part = pa.array([first + bisect_right(own, x) for x in some], pa.int32())
-                yield pa.RecordBatch.from_arrays([part, pa.array([lang] * len(some)), pa.array(some, pa.string()), pa.array(times[lo : lo + rows], pa.int64())], names=["part", "lang", "suffix", "n"])
+                tailed = pc.binary_join_element_wise(pa.array(some, pa.string()), tail, "")
+                yield pa.RecordBatch.from_arrays([part, tailed, pa.array(times[lo : lo + rows], pa.int64())], names=["part", "suffix", "n"])
 
-    return _columns(docs).mapInArrow(run, "part int, lang string, suffix string, n long")
+    return _columns(docs).mapInArrow(run, "part int, suffix string, n long")
 
 
 class PhraseStack:
@@ -183,12 +186,13 @@ def frequent_phrases(docs: DataFrame, least: int = 100, max_n: int = 5) -> DataF
         out: list[tuple] = []
         stacks: dict[str, PhraseStack] = {}
         for batch in batches:
-            langs, times = batch.column(0).dictionary_encode(), batch.column(2).to_numpy()
+            both, times = pc.split_pattern(batch.column(0), GAP + GAP, max_splits=1, reverse=True).flatten(), batch.column(1).to_numpy()
+            langs = both.take(pa.array(np.arange(1, len(both), 2))).dictionary_encode()
             for k, lang in enumerate(langs.dictionary.to_pylist()):
                 own = np.flatnonzero(langs.indices.to_numpy() == k)
                 if lang not in stacks:
-                    stacks[lang] = PhraseStack(lang, least, max_n, out)
-                stacks[lang].push(batch.column(1).take(pa.array(own)), times[own])
+                    stacks[lang] = PhraseStack(plain([lang]), least, max_n, out)
+                stacks[lang].push(both.take(pa.array(2 * own)), times[own])
             yield from flushed(out)
         for stack in stacks.values():
             stack.close()
@@ -202,7 +206,7 @@ def frequent_phrases(docs: DataFrame, least: int = 100, max_n: int = 5) -> DataF
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = counted_suffixes(docs, max_n, range_cuts(docs, max_n, parts)).repartitionById(parts, "part")
-    counted = dealt.sortWithinPartitions(F.col("suffix").desc()).select("lang", "suffix", "n").mapInArrow(run, "lang string, phrase string, words int, f long")
+    counted = dealt.select("suffix", "n").sortWithinPartitions(F.col("suffix").desc()).mapInArrow(run, "lang string, phrase string, words int, f long")
     return counted.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("words") == 0))
 
 

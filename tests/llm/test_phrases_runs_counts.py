@@ -185,7 +185,7 @@ def test_collocations(spark, monkeypatch, held, least, absorbed, top):
     monkeypatch.setattr(collocations, "HELD", held)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3 if held == 7 else 10_000)
     rng, vocabulary = random.Random(held), ["Ab", "c\x01", "\x00", "c", "\x01\x02", "é", "zz", "\x00\x01", "q\xa0r", "🙂", "-"]
-    rows = [(k, "".join(rng.choice(vocabulary) + rng.choice([" ", " ", "\t", "  ", ". ", "\n"]) for _ in range(rng.randint(0, 80))), rng.choice(["en", "en", None, "d"])) for k in range(60)]
+    rows = [(k, "".join(rng.choice(vocabulary) + rng.choice([" ", " ", "\t", "  ", ". ", "\n"]) for _ in range(rng.randint(0, 80))), rng.choice(["en", "en", None, "d", "e\x00", "e\x01", ""])) for k in range(60)]
     rows += [(1, None, "en"), (2, "", None), (3, "hot hot hot " * 200, "en"), (None, ".,;", "x")] + [(4, "same copy of a text here", "en")] * 9
     got = collocations.phrase_collocations(documents(spark, rows).repartition(3), least, 5, absorbed, top).collect()
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10_000)
