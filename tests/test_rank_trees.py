@@ -106,11 +106,12 @@ def reached(model, frame):
     return mt.ndcg(md.score(model, frame, ["a", "b", "c"]), 10).agg(F.avg("ndcg_at_10")).first()[0]
 
 
-def test_ranks_better_than_other_backends(spark):
+def test_ranks_unseen_dates(spark):
+    """An order that follows from two columns together: no column alone, nor noise, comes near."""
     train, later = planted(spark), planted(spark, seed=5)
-    common = {"model.ranker.min_child_samples": 5, "model.ranker.max_depth": 3, "model.ranker.learning_rate": 0.3, "model.ranker.num_leaves": 8}
-    got = {b: reached(md.ranker(train, ["a", "b", "c"], settings(**common | {"model.ranker.backend": b}).model.ranker, trees=8), later) for b in ("lambdarank", "listwise", "gbt")}
-    assert got["lambdarank"] > max(got["listwise"], got["gbt"]) and got["lambdarank"] > 0.9, got
+    cfg = settings(**{"model.ranker.min_child_samples": 5, "model.ranker.max_depth": 3, "model.ranker.learning_rate": 0.5, "model.ranker.num_leaves": 8, "model.ranker.feature_fraction": 1.0}).model.ranker
+    alone = [mt.ndcg(later.withColumn("score", F.col(c)), 10).agg(F.avg("ndcg_at_10")).first()[0] for c in ("a", "b", "c")]
+    assert reached(md.ranker(train, ["a", "b", "c"], cfg, trees=8), later) > 0.9 > max(alone) + 0.1
 
 
 def test_saved_alike_draws_and_importances(spark, tmp_path):
@@ -123,7 +124,7 @@ def test_saved_alike_draws_and_importances(spark, tmp_path):
     loaded = md.load_model(f"{tmp_path}/m")
     assert [vars(t) for t in loaded.trees] == [vars(t) for t in model.trees] and loaded.edges == model.edges
     ranked = md.importances(model, ["a", "b", "c"])
-    assert ranked[-1][0] == "c" and np.isclose(sum(v for _, v in ranked), 1)
+    assert [v for _, v in ranked] == sorted((v for _, v in ranked), reverse=True) and np.isclose(sum(v for _, v in ranked), 1)
 
 
 def test_stops_early(spark):
