@@ -319,7 +319,7 @@ def model_rows(s: SparkSession, d: str) -> DataFrame:
 
 
 def small(cfg: Settings) -> dict:
-    few = settings(**{"model.baseline.max_iter": 10, "model.ranker.max_depth": 3}).model
+    few = settings(**{"model.baseline.max_iter": 10, "model.ranker.max_depth": 3, "model.ranker.backend": "listwise"}).model
     return {"baseline": lambda f, c: md.baseline(f, c, few.baseline), "ranker": lambda f, c: md.ranker(f, c, few.ranker, trees=2)}
 
 

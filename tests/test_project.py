@@ -44,7 +44,7 @@ def project(spark, tmp_path):
     cfg.validation.splits, cfg.validation.embargo_days, cfg.validation.holdout_start = [Section(train_end="2019-03-29", val_start="2019-04-08", val_end="2019-06-12")], 5, "2019-09-01"
     cfg.features.random_noise_feature_count = 1
     cfg.quality.min_price_history_days, cfg.quality.max_missing_feature_ratio = 60, 0.5
-    p = Project(spark, cfg, fitters={"baseline": lambda f, c: md.baseline(f, c), "ranker": lambda f, c: md.ranker(f, c, settings(**{"model.ranker.min_child_samples": 5, "model.ranker.max_depth": 3}).model.ranker, trees=2)})
+    p = Project(spark, cfg, fitters={"baseline": lambda f, c: md.baseline(f, c), "ranker": lambda f, c: md.ranker(f, c, settings(**{"model.ranker.backend": "listwise", "model.ranker.min_child_samples": 5, "model.ranker.max_depth": 3}).model.ranker, trees=2)})
     put = lambda rows, schema, name: p.catalog.write(spark.createDataFrame(rows, schema), "raw", name)
     schema = "date date, ticker string, open double, high double, low double, close double, adj_close double, volume double, source string"
     put(rows, schema, "prices")
