@@ -50,10 +50,12 @@ def security_features(panel: DataFrame, pad: bool = True) -> DataFrame:
     """Windows over each ticker's rows in date order; panel has prices, volume and spx_ret_{1,5,21,63}d.
 
     pad: returns look across gaps, from the last known price, as the default of older pandas does.
-    All windows share one partitioning, so the panel is shuffled once.
+    known_price, where panel has it, is the last known price of rows whose predecessors aren't there. All windows share one
+    partitioning, so the panel is shuffled once.
     """
     px, vol = F.col("adj_close"), F.col("volume").cast("double")
-    out = panel.withColumns({"_px": padded(px) if pad else px, "_prev": F.lag(px, 1).over(by_ticker()), "_row": F.row_number().over(by_ticker())})
+    known = F.coalesce("adj_close", "known_price") if "known_price" in panel.columns else px
+    out = panel.withColumns({"_px": padded(known) if pad else px, "_prev": F.lag(px, 1).over(by_ticker()), "_row": F.row_number().over(by_ticker())})
     out = out.withColumns({f"ret_{k}d": change(F.col("_px"), k) for k in RETURNS})
     diff = px - F.col("_prev")
     out = out.withColumns(

@@ -104,6 +104,14 @@ def quantile_edges(values: DataFrame, probabilities: list[float], pieces: int =
     return points.groupBy("feature").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "edge"))), lambda x: x["edge"]).alias("edges"))
 
 
+def stability_index(counts: DataFrame, by: list[str]) -> DataFrame:
+    """(*by, psi) from a row for each bin with counts a and b of two sides; a share of 0 counts as 1e-6."""
+    w = Window.partitionBy(*by)
+    share = lambda c: F.coalesce(F.col(c) / F.when(F.sum(c).over(w) > 0, F.sum(c).over(w)), F.lit(0.0))
+    shares = counts.select(*by, *(F.when(share(c) > 0, share(c)).otherwise(1e-6).alias(c) for c in "ab"))
+    return shares.groupBy(*by).agg(F.sum((F.col("b") - F.col("a")) * F.log(F.col("b") / F.col("a"))).alias("psi"))
+
+
 def feature_drift(train: DataFrame, test: DataFrame, features: list[str], bins: int = 10) -> DataFrame:
     """Means, their shift and the population stability index of each feature, largest index first.
 
@@ -119,10 +127,7 @@ def feature_drift(train: DataFrame, test: DataFrame, features: list[str], bins:
     means = values.groupBy("feature").agg(mean("train"), mean("val"))
     binned = values.join(edges, "feature").withColumn("bin", _bin(F.round("x", 9), F.col("edges"))).where("bin is not null")
     counts = binned.groupBy("feature", "bin").agg(F.count(F.when(F.col("side") == "train", 1)).alias("a"), F.count(F.when(F.col("side") == "val", 1)).alias("b"))
-    w = Window.partitionBy("feature")
-    share = lambda c: F.coalesce(F.col(c) / F.when(F.sum(c).over(w) > 0, F.sum(c).over(w)), F.lit(0.0))
-    shares = counts.select("feature", *(F.when(share(c) > 0, share(c)).otherwise(1e-6).alias(c) for c in "ab"))
-    index = shares.groupBy("feature").agg(F.sum((F.col("b") - F.col("a")) * F.log(F.col("b") / F.col("a"))).alias("psi"))
+    index = stability_index(counts, ["feature"])
     out = means.join(edges.select("feature", F.size("edges").alias("_e")), "feature", "left").join(index, "feature", "left")
     known = F.col("train_mean").isNotNull() & F.col("val_mean").isNotNull()
     psi = F.when(known, F.when(F.col("_e") <= 2, 0.0).otherwise(F.col("psi")))

@@ -53,7 +53,12 @@ def with_quality(grid: DataFrame, limit: int = 5, min_history: int = 252, ipo_bu
     at_seen = F.coalesce(padded(F.when(seen, F.col("_missing"))), F.lit(0))
     out = out.withColumn("missing_streak", F.col("_missing") - at_seen)
     out = out.withColumn("max_missing_gap_21d", F.max("missing_streak").over(last_rows(21)))
-    return out.drop("_missing").withColumns(
+    return flagged(out.drop("_missing"), limit, min_history, ipo_buffer, stale_after)
+
+
+def flagged(quality: DataFrame, limit: int, min_history: int, ipo_buffer: int, stale_after: int) -> DataFrame:
+    """quality with its four flags."""
+    return quality.withColumns(
         {
             "insufficient_price_history": F.col("history_days") < min_history,
             "insufficient_post_listing_history": F.col("listing_age_days") < ipo_buffer,
