@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
 from tessera.config import settings
 from tessera.functions.scan import running
 from tessera.operators.asof import asof_join_sliced
-from tessera.operators.features import CONTINUOUS
+from tessera.operators import metrics as mt
+from tessera.operators.features import BINARY, CONTINUOUS
+from tessera.operators.increments import quality_since, quality_tail, security_since, security_tail
 from tessera.operators.labels import HORIZONS
-from tessera.operators.quality import PRICES
+from tessera.operators.quality import PRICES, QUALITY
+from tessera.operators.sketches import ACCURACY, SMALLEST, sketch, unpivoted, windowed_psi
 from tessera.plans import rank_trees as rt
 from tessera.plans import stores
 from tessera.queries import panel as pn
@@ -129,3 +134,71 @@ def histogram_splits(s, d):
     horizon, feature = (F.array(*map(F.lit, x)) for x in (names, CONTINUOUS))
     at = F.array_position(F.array(*map(F.lit, leaves)), F.col("node")).cast("int")
     return best.select(F.element_at(horizon, at).alias("horizon"), F.element_at(feature, F.col("feature")).alias("feature"), F.col("bin").alias("cut"), r("gain", digits=4), F.col("left_n").alias("left_rows"), F.col("right_n").alias("right_rows"))
+
+
+EVERY = CONTINUOUS + BINARY
+SECURITY = CONTINUOUS[: CONTINUOUS.index("sector_rel_ret_1d")] + ["beta_63d"]
+
+
+@query(f"SELECT date, ticker, {', '.join(r6(c) for c in SECURITY)} FROM security2 WHERE date >= DATE '{INCREMENT}'")
+def incremental_features(s, d):
+    """Features of the increment's days from the tails of those before it: no window runs over older rows than these."""
+    rows = pn.panel(s, d).select(*KEYS, *PRICES, "volume", *(f"spx_ret_{k}d" for k in (1, 5, 21, 63)))
+    tail = staged(security_tail(rows.where(F.col("date") < INCREMENT)))
+    return security_since(tail, rows.where(F.col("date") >= INCREMENT)).select(*KEYS, *(r(c) for c in SECURITY))
+
+
+FILLED = [*PRICES, "volume"]
+
+
+@query(
+    f"SELECT c.date, c.ticker, {', '.join(r6(f'c.{c}', c) for c in FILLED)}, {', '.join(f'q.{c}' for c in QUALITY)} FROM cleaned c JOIN flags q ON q.date = c.date AND q.ticker = c.ticker WHERE c.date >= DATE '{INCREMENT}'"
+)
+def incremental_quality(s, d):
+    """Filled prices and quality of the increment's days, from the counters and last rows of those before it."""
+    rows = pn.grid(s, d).select(*KEYS, *FILLED, "was_observed")
+    tail = staged(quality_tail(rows.where(F.col("date") < INCREMENT)))
+    return quality_since(tail, rows.where(F.col("date") >= INCREMENT)).select(*KEYS, *(r(c) for c in FILLED), *QUALITY)
+
+
+_MELTED = f"SELECT date, feature, x FROM (UNPIVOT (SELECT date, {', '.join(r6(c) for c in EVERY)} FROM ratios) ON {', '.join(EVERY)} INTO NAME feature VALUE x)"
+
+
+def melted(s, d):
+    return unpivoted(pn.raw(s, d).select("date", *(r(c) for c in EVERY)), EVERY, ["date"])
+
+
+# Each year against the one before.
+YEARS = [(str(y), date(y - 1, 1, 1), date(y - 1, 12, 31), date(y, 1, 1), date(y, 12, 31)) for y in range(1993, 2002)]
+_WINDOWS = "(VALUES " + ", ".join("('%s', DATE '%s', DATE '%s', DATE '%s', DATE '%s')" % w for w in YEARS) + ") w(win, a, b, c, d)"
+_BUCKET = f"CASE WHEN abs(x) <= {SMALLEST}::double THEN 0 ELSE sign(x) * ceil(ln(abs(x) / {SMALLEST}::double) / ln((1 + {ACCURACY}::double) / (1 - {ACCURACY}::double))) END::int"
+_COUNTS = (
+    f"SELECT win, feature, bucket, count(CASE WHEN date BETWEEN a AND b THEN 1 END) AS a, count(CASE WHEN date BETWEEN c AND d THEN 1 END) AS b, coalesce(sum(CASE WHEN date BETWEEN a AND b THEN x END), 0) AS ta, coalesce(sum(CASE WHEN date BETWEEN c AND d THEN x END), 0) AS tb "
+    f"FROM (SELECT *, {_BUCKET} AS bucket FROM ({_MELTED})), {_WINDOWS} WHERE date BETWEEN a AND b OR date BETWEEN c AND d GROUP BY ALL"
+)
+_EDGED = (
+    "SELECT p.*, e.edges FROM p LEFT JOIN (SELECT win, feature, list_sort(list_distinct(quantile_disc_rank)) AS edges FROM (SELECT win, feature, list(edge) AS quantile_disc_rank FROM "
+    "(SELECT win, feature, k, min(bucket) AS edge FROM (SELECT *, sum(a) OVER (PARTITION BY win, feature ORDER BY bucket) AS upto, sum(a) OVER (PARTITION BY win, feature) AS n FROM p), range(11) g(k) "
+    "WHERE upto > floor(k::double / 10 * (n - 1)) AND n > 0 GROUP BY ALL) GROUP BY ALL)) e USING (win, feature)"
+)
+_BINNED = f"SELECT win, feature, CASE WHEN bucket BETWEEN edges[1] AND edges[-1] THEN greatest(1, len(list_filter(edges, lambda v: v < bucket))) END AS bin, sum(a)::double AS a, sum(b)::double AS b, max(len(edges)) AS e FROM ({_EDGED}) GROUP BY ALL"
+_SHARES = "SELECT win, feature, greatest(coalesce(a / nullif(sum(a) OVER f, 0), 0), 1e-6) AS a, greatest(coalesce(b / nullif(sum(b) OVER f, 0), 0), 1e-6) AS b FROM q WHERE bin IS NOT NULL WINDOW f AS (PARTITION BY win, feature)"
+
+
+@query(
+    f"SELECT * FROM (WITH p AS MATERIALIZED ({_COUNTS}), q AS MATERIALIZED ({_BINNED}), n AS (SELECT win, feature, sum(a)::bigint AS a, sum(b)::bigint AS b, sum(ta) AS ta, sum(tb) AS tb FROM p GROUP BY ALL) "
+    f"SELECT n.win AS period, n.feature, n.a AS reference_rows, n.b AS window_rows, {r6('n.ta / nullif(n.a, 0)', 'reference_mean')}, {r6('n.tb / nullif(n.b, 0)', 'window_mean')}, {r6('CASE WHEN n.a > 0 AND n.b > 0 THEN CASE WHEN q2.e <= 2 THEN 0 ELSE i.psi END END', 'psi', 4)} FROM n "
+    f"JOIN (SELECT win, feature, max(e) AS e FROM q GROUP BY ALL) q2 USING (win, feature) LEFT JOIN (SELECT win, feature, sum((b - a) * ln(b / a)) AS psi FROM ({_SHARES}) GROUP BY ALL) i USING (win, feature))"
+)
+def psi_by_year(s, d):
+    """Stability of all features, each year against the one before, from sketches of days that are written once."""
+    days = staged(sketch(melted(s, d), ["date"]))
+    out = windowed_psi(days, YEARS)
+    return out.select(F.col("window").alias("period"), "feature", "reference_rows", "window_rows", r("reference_mean"), r("window_mean"), r("psi", digits=4))
+
+
+@query(pn.drift_sql(_MELTED, 4))
+def feature_drift_all(s, d):
+    """Drift of all features with exact quantiles."""
+    x, split = pn.raw(s, d).select("date", *(r(c) for c in EVERY)), F.col("date") <= F.lit(pn.TRAIN_END).cast("date")
+    return mt.feature_drift(x.where(split), x.where(~split), EVERY).select("feature", r("train_mean"), r("val_mean"), r("mean_shift"), r("psi", digits=4))

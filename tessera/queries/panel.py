@@ -516,12 +516,19 @@ def class_imbalance(s, d):
 
 DRIFT = ["ret_21d", "rsi_14", "spx_above_200d"]
 _MELT = " UNION ALL ".join(f"SELECT '{c}' AS feature, date, round({c}, 6) + cast(0 AS double) AS x FROM ratios WHERE {c} IS NOT NULL" for c in DRIFT)
-_PSI = f"""SELECT f.feature, {r6('f.a', 'train_mean')}, {r6('f.b', 'val_mean')}, {r6('f.b - f.a', 'mean_shift')}, {r6('CASE WHEN len(e.edges) <= 2 THEN 0 ELSE p.psi END', 'psi')} FROM
- (SELECT feature, avg(CASE WHEN date <= DATE '{TRAIN_END}' THEN x END) AS a, avg(CASE WHEN date > DATE '{TRAIN_END}' THEN x END) AS b FROM ({_MELT}) GROUP BY feature) f
- JOIN (SELECT feature, list_sort(list_distinct(list_transform(quantile_cont(x, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]), lambda v: round(v, 9)))) AS edges FROM ({_MELT}) WHERE date <= DATE '{TRAIN_END}' GROUP BY feature) e ON e.feature = f.feature
+
+
+def drift_sql(melted: str, digits: int = 6) -> str:
+    """SQL of feature_drift over rows (feature, date, x)."""
+    return f"""SELECT f.feature, {r6('f.a', 'train_mean')}, {r6('f.b', 'val_mean')}, {r6('f.b - f.a', 'mean_shift')}, {r6('CASE WHEN len(e.edges) <= 2 THEN 0 ELSE p.psi END', 'psi', digits)} FROM
+ (SELECT feature, avg(CASE WHEN date <= DATE '{TRAIN_END}' THEN x END) AS a, avg(CASE WHEN date > DATE '{TRAIN_END}' THEN x END) AS b FROM ({melted}) GROUP BY feature) f
+ JOIN (SELECT feature, list_sort(list_distinct(list_transform(quantile_cont(x, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]), lambda v: round(v, 9)))) AS edges FROM ({melted}) WHERE date <= DATE '{TRAIN_END}' GROUP BY feature) e ON e.feature = f.feature
  LEFT JOIN (SELECT feature, sum((b - a) * ln(b / a)) AS psi FROM (SELECT feature, bin, greatest(a / sum(a) OVER (PARTITION BY feature), 1e-6) AS a, greatest(b / sum(b) OVER (PARTITION BY feature), 1e-6) AS b FROM
-  (SELECT m.feature, greatest(1, len(list_filter(edges, lambda v: v < m.x))) AS bin, count(CASE WHEN date <= DATE '{TRAIN_END}' THEN 1 END)::double AS a, count(CASE WHEN date > DATE '{TRAIN_END}' THEN 1 END)::double AS b FROM ({_MELT}) m
-   JOIN (SELECT feature, list_sort(list_distinct(list_transform(quantile_cont(x, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]), lambda v: round(v, 9)))) AS edges FROM ({_MELT}) WHERE date <= DATE '{TRAIN_END}' GROUP BY feature) e ON e.feature = m.feature WHERE m.x BETWEEN edges[1] AND edges[-1] GROUP BY 1, 2)) GROUP BY feature) p ON p.feature = f.feature"""
+  (SELECT m.feature, greatest(1, len(list_filter(edges, lambda v: v < m.x))) AS bin, count(CASE WHEN date <= DATE '{TRAIN_END}' THEN 1 END)::double AS a, count(CASE WHEN date > DATE '{TRAIN_END}' THEN 1 END)::double AS b FROM ({melted}) m
+   JOIN (SELECT feature, list_sort(list_distinct(list_transform(quantile_cont(x, [0, .1, .2, .3, .4, .5, .6, .7, .8, .9, 1]), lambda v: round(v, 9)))) AS edges FROM ({melted}) WHERE date <= DATE '{TRAIN_END}' GROUP BY feature) e ON e.feature = m.feature WHERE m.x BETWEEN edges[1] AND edges[-1] GROUP BY 1, 2)) GROUP BY feature) p ON p.feature = f.feature"""
+
+
+_PSI = drift_sql(_MELT)
 
 
 def _drift(s, d):
