@@ -8,10 +8,12 @@ that are read are binary, and what is derived from them goes by their bytes.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 from html import unescape
 from urllib.parse import urljoin
 
@@ -172,17 +174,49 @@ def serialize(records: DataFrame) -> Column:
     return F.concat(head.cast("binary"), F.coalesce(F.col("block").cast("binary"), F.lit("").cast("binary")))
 
 
+CLOSING = gzip.compress(CRLF.encode() * 2, mtime=0)
+
+
 def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Write records as WARC files: each is followed by two line ends, which Spark's text writer adds. Bytes are written as they are."""
-    records.select(serialize(records).cast("string").alias("value")).write.option("lineSep", CRLF * 2).option("compression", compression).text(path)
+    """Write records as WARC files: each is followed by two line ends. Bytes are written as they are.
+
+    gzip: a record begins a member of its own, so readers can start at any record's offset; the line ends that close it are a
+    small member after it, which Spark's text writer adds as its separator. Files are written below path under a hidden
+    name and then renamed to *.warc.gz; _SUCCESS comes last. Other names are Spark's codecs, over whole files. A path
+    that is there is an error.
+    """
+    rows = records.select(serialize(records).alias("value"))
+    if compression != "gzip":
+        rows.select(F.col("value").cast("string")).write.option("lineSep", CRLF * 2).option("compression", compression).text(path)
+        return
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(value.as_py(), mtime=0)], pa.binary())], names=["value"])
+
+    spark = records.sparkSession
+    at = lambda *parts: spark._jvm.org.apache.hadoop.fs.Path("/".join((path.rstrip("/"), *parts)))
+    files = at().getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(at()):
+        raise FileExistsError(path)
+    hidden = f"_members-{uuid.uuid4().hex}"
+    packed = rows.mapInArrow(members, "value binary").select(F.col("value").cast("string"))
+    packed.write.option("lineSep", CLOSING.decode("iso-8859-1")).option("encoding", "iso-8859-1").text(f"{path.rstrip('/')}/{hidden}")
+    for status in files.listStatus(at(hidden)):  # a name a task, no data
+        name = status.getPath().getName()
+        if name.endswith(".txt") and not files.rename(at(hidden, name), at(name.removesuffix(".txt") + ".warc.gz")):
+            raise OSError(f"{name} could not be renamed in {path}")
+    files.delete(at(hidden), True)
+    files.create(at("_SUCCESS")).close()
 
 
 RECORD = "warc_type string, record_id string, headers map<string,string>, fields array<struct<name:string,value:string>>, block binary"
 VERSION_LINE = re.compile(rb"WARC/[0-9.]+\s*\Z")
 
 
-def records_in(chunks: Iterator[bytes]) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
-    """(named fields, block) of the records in a file's bytes, cut by Content-Length; a file that ends early gives what it has.
+def records_in(chunks: Iterator[bytes]) -> Iterator[tuple[list[tuple[str, str]], bytes, bool]]:
+    """(named fields, block, whether it is whole) of the records in a file's bytes, cut by Content-Length; a file that ends early gives what it has.
 
     Between records lines are skipped until one holds a version alone. A field's continuation lines are joined by one space.
     """
@@ -221,31 +255,68 @@ def records_in(chunks: Iterator[bytes]) -> Iterator[tuple[list[tuple[str, str]],
         size = next((int(v) for n, v in fields if n.lower() == "content-length" and v.isdigit()), 0)
         while len(buffer) < size and not done and more():
             pass
-        yield fields, bytes(buffer[:size])
+        yield fields, bytes(buffer[:size]), found is not None and len(buffer) >= size
         del buffer[:size]
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of WARC files, of any version and with any bytes: warc_type, record_id, headers, fields, block (binary).
+MARK = "WARC/"
 
-    headers has the first value of each name but type and id, fields every field in order, repeated
-    ones too. Gzipped files (*.gz) are read as a stream of lines, one task a file, with one record in memory at a
-    time. Others are read whole, so they should be no larger than a task's memory allows.
+
+def _parsed(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """Records of pieces (_file, _from, bytes) that follow each other within a task; new values of keys begin anew.
+
+    Pieces of plain files come without the letters that they were cut at: all but a file's first get them back. Where _from is
+    NULL pieces are as they were. Records have _file, _from and _whole; keys end with a row of which all else is NULL.
     """
+    columns = ["_file", "_from"]
+    schema = f"_file string, _from long, {RECORD}, _whole boolean"
+    kinds = pa.schema([("_file", pa.string()), ("_from", pa.int64()), *_RECORD_ARROW, ("_whole", pa.bool_())])
+    ids = [columns.index(c) for c in keys]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = ((p, v) for batch in batches for p, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
-        for _, own in groupby(rows, key=lambda r: r[0]):
-            for fields, block in records_in(v for _, v in own):
+        rows = (tuple(x.as_py() for x in row) for batch in batches for row in zip(*batch.columns))
+        for _, own in groupby(rows, key=lambda r: [r[k] for k in ids]):
+            head = next(own)
+            mark = b"" if head[1] is None else MARK.encode()
+            opening = head[2] if not head[1] else mark + head[2]
+            place = dict(zip(columns, head))
+            for fields, block, whole in records_in(chain([opening], (mark + r[2] for r in own))):
                 first = dict(reversed([(n, v) for n, v in fields]))
                 kept = [(n, v) for n, v in fields if n not in ("WARC-Type", "WARC-Record-ID")]
-                row = {"warc_type": first.get("WARC-Type"), "record_id": first.get("WARC-Record-ID"), "headers": list(dict(reversed(kept)).items())[::-1], "fields": [{"name": n, "value": v} for n, v in kept], "block": block}
-                yield pa.RecordBatch.from_pylist([row], schema=_RECORD_ARROW)
+                row = place | {"warc_type": first.get("WARC-Type"), "record_id": first.get("WARC-Record-ID"), "headers": list(dict(reversed(kept)).items())[::-1]}
+                row |= {"fields": [{"name": n, "value": v} for n, v in kept], "block": block, "_whole": whole}
+                yield pa.RecordBatch.from_pylist([row], schema=kinds)
+            yield pa.RecordBatch.from_pylist([place | dict.fromkeys(kinds.names[2:])], schema=kinds)
+
+    return pieces.select(*columns, "bytes").mapInArrow(parse, schema)
+
+
+def _records(parsed: DataFrame) -> DataFrame:
+    return parsed.where("_whole is not null").select("warc_type", "record_id", "headers", "fields", "block")
+
 
-    streamed = spark.read.option("pathGlobFilter", "*.gz").option("lineSep", "\n").text(path)
-    streamed = streamed.select(F.col("_metadata.file_path").alias("file"), F.concat(F.col("value").cast("binary"), F.lit("\n").cast("binary")).alias("bytes"))
-    whole = spark.read.format("binaryFile").option("pathGlobFilter", "*[!z]").load(path).select(F.col("path").alias("file"), F.col("content").alias("bytes"))
-    return streamed.mapInArrow(parse, RECORD).unionByName(whole.mapInArrow(parse, RECORD))
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Records of WARC files, of any version and with any bytes: warc_type, record_id, headers, fields, block (binary).
+
+    headers has the first value of each name but type and id, fields every field in order, repeated
+    ones too. Gzipped files (*.gz) are read as a stream, one task a file. Others are read by ranges of spark.sql.files.maxPartitionBytes,
+    however large they are: Spark's text reader cuts them at the letters that begin a version line, and a task joins what
+    lies between two of them by Content-Length. A range that ends within a record leaves it open which of the next one's
+    letters begin one (a block that quotes WARC files, or a file that is cut off and goes on); such files are taken again as a stream, in
+    order of their pieces. Either way a task holds one record at a time. Finding those files takes a pass over the plain files of its own.
+    """
+    file = F.col("_metadata.file_path").alias("_file")
+    zipped = spark.read.option("pathGlobFilter", "*.gz").option("lineSep", "\n").text(path)
+    zipped = zipped.select(file, F.lit(None).cast("long").alias("_from"), F.concat(F.col("value").cast("binary"), F.lit("\n").cast("binary")).alias("bytes"))
+
+    plain = spark.read.option("pathGlobFilter", "*[!z]").option("lineSep", MARK).text(path)
+    plain = plain.select(file, F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_at"), F.col("value").cast("binary").alias("bytes"))
+    ranges = _parsed(plain, ["_file", "_from"])
+    ends = ranges.groupBy("_file").agg(F.max("_from").alias("_to"), F.min(F.when(~F.col("_whole"), F.col("_from"))).alias("_open"))
+    torn = ends.where(F.col("_open") < F.col("_to")).select("_file")
+    again = plain.join(torn, "_file", "left_semi").repartition("_file").sortWithinPartitions("_file", "_from", "_at")
+    sound = ranges.join(torn, "_file", "left_anti")
+    return _records(_parsed(zipped, ["_file"])).unionByName(_records(sound)).unionByName(_records(_parsed(again, ["_file"])))
 
 
 _RECORD_ARROW = pa.schema(

@@ -505,6 +505,62 @@ def test_read_warc_by_length(spark, tmp_path):
     assert made["<a>", "metadata"].headers["WARC-Source-Payload-Digest"] == sha
 
 
+@pytest.mark.parametrize("kind", ["plain", "quotes", "lines", "cut"])
+def test_read_warc_by_ranges(spark, tmp_path, kind):
+    """Plain files in ranges smaller than a record, blocks that quote WARC files across ranges, line ends of one letter, files that are cut off."""
+    rng, end = random.Random(kind), b"\n" if kind == "lines" else b"\r\n"
+    record = lambda k, block: end.join([b"WARC/1.0", b"WARC-Type: resource", b"WARC-Record-ID: <%d>" % k, b"X-Software: WARC/tool", b"Content-Length: %d" % len(block), b"", block, b"", b""])
+    letters = lambda n: bytes(rng.choice(b"ab \r\n\x00\xff/W") for _ in range(n))
+    want, files = {}, []
+    for f in range(3):
+        data = b""
+        for k in range(100 * f, 100 * f + 40):
+            block = letters(rng.choice([0, 5, 300, 2000]))
+            if kind == "quotes" and k % 3 == 0:
+                block = b"".join(record(-j, letters(200)) for j in range(rng.choice([1, 4, 12]))) + letters(50)
+            want[f"<{k}>"], data = block, data + record(k, block)
+        files.append(data if kind != "cut" else data[: -len(end) * 2 - len(block) // 2])
+        (tmp_path / f"{f}.warc").write_bytes(files[-1])
+    before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for c in before:
+            spark.conf.set(c, "1000")
+        found = warc.read_warc(spark, str(tmp_path)).collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    got = {r.record_id: bytes(r.block) for r in found}
+    assert len(got) == len(found) == len(want) and all(want[k] == got[k] or kind == "cut" and want[k].startswith(got[k]) for k in want)
+    assert kind == "cut" or want == got
+    whole = [(dict(fields)["WARC-Record-ID"], block) for data in files for fields, block, _ in warc.records_in(iter([data]))]
+    assert sorted(whole) == sorted(got.items())
+
+
+def test_written_records_are_members(spark, tmp_path):
+    pages = spark.createDataFrame([(k, f"http://x/{k}", "<p>é %d</p>" % k * k) for k in range(9)], "page_id long, url string, html string").coalesce(2)
+    records = warc.responses_from_pages(pages)
+    path = f"{tmp_path}/w"
+    warc.write_warc(records, path)
+    ids = []
+    for name in (tmp_path / "w").glob("*.warc.gz"):
+        rest = name.read_bytes()
+        while rest:
+            member = zlib.decompressobj(31)
+            text = member.decompress(rest)
+            rest = member.unused_data
+            if text != b"\r\n\r\n":
+                ((fields, block, whole),) = warc.records_in(iter([text]))
+                assert whole and block.startswith(b"HTTP/1.1 200 OK")
+                ids.append(dict(fields)["WARC-Record-ID"])
+    assert sorted(ids) == sorted(r.record_id for r in records.collect()) and (tmp_path / "w" / "_SUCCESS").exists()
+    assert sorted(r.record_id for r in warc.read_warc(spark, path).collect()) == sorted(ids)
+    assert not [p for p in (tmp_path / "w").iterdir() if p.name.startswith("_members")]
+    with pytest.raises(FileExistsError):
+        warc.write_warc(records, path)
+    warc.write_warc(records, f"{tmp_path}/plain", "none")
+    assert sorted(r.record_id for r in warc.read_warc(spark, f"{tmp_path}/plain").collect()) == sorted(ids)
+
+
 # --- language
 
 
