@@ -22,7 +22,16 @@ METRICS = {
     "operating_income": ("us-gaap", ["OperatingIncomeLoss"], "USD"),
     "depreciation_amortization": ("us-gaap", ["DepreciationDepletionAndAmortization"], "USD"),
 }
-FACTS = "facts map<string, map<string, struct<units: map<string, array<struct<form: string, filed: string, end: string, val: double>>>>>>"
+_ITEMS = "map<string, array<struct<form: string, filed: string, end: string, val: double>>>"
+
+
+def facts_schema(metrics: dict[str, tuple[str, list[str], str]]) -> str:
+    """The part of a company-facts body that metrics need, as a schema: the parser passes over all other concepts and keeps nothing of them."""
+    concepts: dict[str, list[str]] = {}
+    for taxonomy, names, _ in metrics.values():
+        concepts.setdefault(taxonomy, []).extend(n for n in names if n not in concepts.get(taxonomy, []))
+    each = lambda names: ", ".join(f"`{n}`: struct<units: {_ITEMS}>" for n in names)
+    return "facts struct<" + ", ".join(f"`{t}`: struct<{each(names)}>" for t, names in concepts.items()) + ">"
 
 
 def to_number(text: Column) -> Column:
@@ -50,13 +59,18 @@ def company_facts(bodies: DataFrame) -> DataFrame:
 
     For each metric the first of its concepts with any usable value is taken; of its units the exact one, else the
     first that contains it; of equal keys the last value. Values of other forms, or without a filing
-    or period date, go. A body that isn't JSON has no facts.
+    or period date, go. A body that isn't JSON has no facts. Bodies hold thousands of concepts: only the ones above are
+    read from them.
     """
-    parsed = bodies.select("ticker", F.from_json("body", FACTS).alias("f"))
+    parsed = bodies.select("ticker", F.from_json("body", facts_schema(METRICS)).alias("f"))
     wanted = F.array(
-        *(F.struct(F.lit(m).alias("metric"), F.lit(rank).alias("rank"), F.lit(tax).alias("taxonomy"), F.lit(c).alias("concept"), F.lit(unit).alias("unit")) for m, (tax, concepts, unit) in METRICS.items() for rank, c in enumerate(concepts))
+        *(
+            F.struct(F.lit(m).alias("metric"), F.lit(rank).alias("rank"), F.lit(unit).alias("unit"), F.col(f"f.facts.`{tax}`.`{c}`.units").alias("units"))
+            for m, (tax, concepts, unit) in METRICS.items()
+            for rank, c in enumerate(concepts)
+        )
     )
-    each = parsed.select("ticker", "f", F.explode(wanted).alias("w")).select("ticker", "w.*", F.expr("f.facts[w.taxonomy][w.concept].units").alias("units"))
+    each = parsed.select("ticker", F.explode(wanted).alias("w")).select("ticker", "w.*").where("units is not null")
     names = F.map_keys("units")
     unit = F.coalesce(F.get(F.filter(names, lambda u: u == F.col("unit")), F.lit(0)), F.get(F.filter(names, lambda u: F.contains(u, F.col("unit"))), F.lit(0)))
     items = each.withColumn("items", F.col("units")[unit]).select("ticker", "metric", "rank", F.posexplode("items").alias("pos", "i"))

@@ -1,6 +1,7 @@
 """Panel operators on small tables, against pandas or hand-made results."""
 
 import datetime as dt
+import json
 import math
 import random
 
@@ -316,6 +317,43 @@ def test_company_facts(spark):
     assert rows["2018-05-15", "10-Q"].revenue == 3.0 and rows["2018-05-15", "10-Q"].common_shares_outstanding == 6.0 and rows["2018-02-15", "10-K"].total_assets == 7.0
 
 
+def wanted_facts(bodies):
+    """company_facts by loops: (ticker, filed, end, form, metric) to value."""
+    out = {}
+    for ticker, body in bodies:
+        facts = json.loads(body).get("facts") or {}
+        for metric, (taxonomy, concepts, unit) in src.METRICS.items():
+            for concept in concepts:
+                units = ((facts.get(taxonomy) or {}).get(concept) or {}).get("units") or {}
+                name = unit if unit in units else next((u for u in units if unit in u), None)
+                items = [i for i in units.get(name) or [] if i.get("form") in src.FORMS and i.get("filed") and i.get("end")]
+                for i in items:
+                    out[ticker, i["filed"], i["end"], i["form"], metric] = i.get("val")
+                if items:
+                    break
+    return {k: v for k, v in out.items() if v is not None}
+
+
+def test_company_facts_among_many_concepts(spark):
+    """Thousands of other concepts, odd units, empty lists and missing parts beside the ones that are wanted."""
+    rng = random.Random(5)
+    pick = lambda *x: rng.choice(x)
+    item = lambda: {"form": pick("10-Q", "10-K", "S-1", None), "filed": pick("2018-05-15", "2018-08-15", None), "end": pick("2018-03-31", "2018-06-30", None), "val": rng.randint(1, 99) / 4, "accn": "x", "fy": 2018}
+    units = lambda unit: {u: [item() for _ in range(rng.randint(0, 4))] for u in rng.sample([unit, f"K{unit}", f"{unit}/x", "EUR"], rng.randint(0, 4))}
+    bodies = []
+    for k in range(60):
+        facts = {"us-gaap": {f"Other{j}": {"label": "x", "units": units("USD")} for j in range(100)}, "dei": {}, "ifrs-full": {"Revenues": {"units": units("USD")}}, "srt": [1, "odd"]}
+        for taxonomy, concepts, unit in src.METRICS.values():
+            for concept in concepts:
+                if rng.random() < 0.7:
+                    facts[taxonomy][concept] = {"label": None, "units": units(unit)}
+        bodies.append((f"T{k}", json.dumps({"cik": k, "entityName": "x", "facts": facts})))
+    frame = src.company_facts(spark.createDataFrame([*bodies, ("none", None), ("bad", "{"), ("empty", "{}"), ("null", '{"facts": null}')], "ticker string, body string"))
+    got = {(r.ticker, str(r.filed_at), str(r.period_end), r.form, m): r[m] for r in frame.collect() for m in src.METRICS if r[m] is not None}
+    assert got == wanted_facts(bodies) and len(got) > 100
+    assert "Other" not in src.facts_schema(src.METRICS) and src.facts_schema(src.METRICS).count("units") == sum(len(c) for _, c, _ in src.METRICS.values())
+
+
 def test_change_log_headers():
     head = ld.flat_headers([("Effective Date", "Effective Date"), ("Added", "Ticker"), ("Added", "Security"), ("Removed", "Ticker"), ("Unnamed: 1", "Reason")])
     assert head == ["Effective Date", "Added Ticker", "Added Security", "Removed Ticker", "Reason"]
