@@ -8,7 +8,6 @@ lattices learns the pieces' probabilities from labelled words.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,15 +20,20 @@ from pyspark.sql import functions as F
 from tessera.llm.common import materialize
 from tessera.llm.vocab import HashedPieces, byte_pieces
 
-# Letters alone: \w less digits and underscore still has numerals such as one half, superscript two or Roman four.
-_NUMERALS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMERALS)}]+")
+LETTERS = re.compile(r"[^\W\d_]+")  # letters, and numerals such as one half, superscript two or Roman four, which words_of cuts out
 LONG = 64  # bytes from which a word's lattice is laid out by positions instead of with other words of its length
 
 
 def words_of(text: str) -> list[str]:
-    """Runs of letters, whole, in lower case."""
-    return LETTERS.findall(text.lower())
+    """Runs of letters, whole, in lower case.
+
+    Only runs that hold a numeral are gone through by characters: a pattern that names the thousand numerals, most of them
+    beyond the basic plane, tries them one by one on every letter of every text.
+    """
+    found = LETTERS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in ([run] if run.isalpha() else "".join(c if c.isalpha() else " " for c in run).split())]
 
 
 @lru_cache(2)

@@ -6,6 +6,9 @@ import hashlib
 import html.parser
 import random
 import re
+import sys
+import time
+import unicodedata
 import zlib
 from collections import Counter
 from itertools import product
@@ -632,6 +635,27 @@ def test_long_words_are_scored_whole(monkeypatch):
     assert language_id.words_of("a½ ² Ⅳ Bc９ " + "x" * 500) == ["a", "bc", "x" * 500]
 
 
+def test_words_are_runs_of_letters():
+    """Of every code point, beside letters and beside itself; a letter is a character of category L."""
+    text = "".join(f"a{c}b {c}{c}" for c in map(chr, range(sys.maxunicode + 1)) if not "\ud800" <= c <= "\udfff")
+    want = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower()).split(" ")
+    assert language_id.words_of(text) == [w for w in want if w]
+
+
+def test_words_take_the_time_of_a_plain_pattern():
+    text = words(100_000, 5) + " ½ été"
+
+    def least(f):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert least(lambda: language_id.words_of(text)) < 5 * least(lambda: re.findall(r"[^\W\d_]+", text.lower()))
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_every_query_on_odd_rows(spark, tmp_path, name):
     """Nulls in any column, empty, repeated and clashing rows, then empty tables: every query gives its rows."""
